@@ -16,7 +16,7 @@ ARROW_ROWS = 512
 #: A key with more than this share (one in so many) of the rows is hot; there can be no more than HOT_SHARE of them.
 HOT_SHARE = 1000
 #: A side of at most so many narrow rows (about 16 bytes each) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def worker_store(name: str) -> dict:
+    """A dictionary that outlives a task in its Python worker; for caches, which may be lost at any time."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_rasterfold_worker", types.ModuleType("_rasterfold_worker")).__dict__.setdefault(name, {})
+
+
 # ---- words and shingles, in numpy -------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -10,7 +10,9 @@ has at most `capacity` entries, so this part is the same size for any corpus; on
 from __future__ import annotations
 
 import bisect
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,36 +20,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import cut, documents_of, gapless_rank, prepare
+from rasterfold.llm.common import cut, documents_of, gapless_rank, prepare, worker_store
 
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Words whose ids a worker remembers, as they stand in the text and without the punctuation after them.
+CACHE, BARE_CACHE = 500_000, 600_000
+PUNCTUATION = ".,;:!?"
 
 
 # ---- tokens -----------------------------------------------------------------------------------
 
 
+class Words:
+    """Ids of white-space separated words as bytes, remembered. The tokenizer's pattern cuts letters from punctuation, so `word,` is `word` and `,`."""
+
+    def __init__(self, tokenizer: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.encoder = Tokenizer.from_file(tokenizer)
+        self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if len(self.bare) > BARE_CACHE:
+            self.bare.clear()
+        known, bare = self.known, self.bare
+        known[""] = b""
+        new = [w for w in words if w not in known]
+        bases = [w.rstrip(PUNCTUATION) for w in new]
+        bases = [(x.lower() if x.isascii() else x) if x.isalpha() else w for x, w in zip(bases, new)]
+        whole = {x for x in bases if x not in bare}
+        whole.update(x for x in {w[len(b) :] for w, b in zip(new, bases)} if x not in bare)
+        # Plain small letters pass the normaliser and the pattern as they are.
+        plain = [x for x in whole if x.isascii() and x.isalpha() and x.islower()]
+        tokenize = self.encoder.model.tokenize
+        for x in plain:
+            bare[x] = array("I", [t.id for t in tokenize(x)]).tobytes()
+        rest = list(whole.difference(plain))
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
+            bare.update(zip(part, [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(part, add_special_tokens=False)]))
+        known.update(zip(new, [bare[b] + bare[w[len(b) :]] if len(b) < len(w) else bare[b] for w, b in zip(new, bases)]))
+
+
 def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(tokenizer)
-        known: dict[str, bytes] = {}
+        gc.freeze()
+        gc.disable()  # the caches hold no cycles, and walking them costs more than the work
+        store = worker_store("packing")
+        if tokenizer not in store:
+            store[tokenizer] = Words(tokenizer)
+        words_ids = store[tokenizer]
         tail = np.array([end], "<u4").tobytes()
         wide = 4 * capacity
         for batch in batches:
             # These four are white space to the tokenizer's normaliser, and no token crosses white space.
             split = [t.as_py().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch["text"]]
-            if len(known) > CACHE:
-                known.clear()
-            known[""] = b""
-            new = list({w for words in split for w in words if w not in known})
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoder.encode_batch_fast(part, add_special_tokens=False))))
+            words_ids.learn(set().union(*split))
+            known = words_ids.known
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for doc, words in zip(batch["doc_id"].to_pylist(), split):
                 ids = b"".join([known[w] for w in words]) + tail

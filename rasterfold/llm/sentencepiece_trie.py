@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rasterfold.llm.common import documents_of, prepare
+from rasterfold.llm.common import documents_of, prepare, worker_store
 
 MARK = "▁"
-#: Distinct words whose ids a task remembers.
+#: Distinct words whose ids a worker remembers, and pairs of pieces.
 CACHE = 400_000
 _MARKED = re.compile(MARK + "+[^" + MARK + "]*")
 
@@ -100,6 +100,8 @@ class Model:
         """Whether merging the characters of a + b keeps the boundary: undo merges from the latest on and look at the pair across."""
         known = self._meets.get((a, b))
         if known is None:
+            if len(self._meets) > CACHE:
+                self._meets.clear()
             known = self._meets[a, b] = self._boundary(a, b)
         return known
 
@@ -181,7 +183,10 @@ class Model:
 
 def _encode(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(path), {}
+        store = worker_store("sentencepiece")
+        if path not in store:
+            store[path] = Model(path), {}
+        model, known = store[path]
         for batch in batches:
             texts = batch["text"].to_pylist()
             raw = model.encode_batch(texts, known)
