@@ -147,7 +147,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], th
     marks = sampled(labels.select("doc_id", *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories)]).filter("doc_id is not null").dropDuplicates(["doc_id"]), sample)
     ys = [f"y{k}" for k in range(len(categories))]
     # The sample is bounded, so its labels may be broadcast: texts needn't move.
-    known = docs.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])
+    # Copies teach a model nothing more, so a text counts once for each set of labels.
+    known = docs.join(F.broadcast(marks), "doc_id").withColumn("copy", F.xxhash64("text", *ys))
+    first = cut(known.groupBy("copy").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    known = docs.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"])
     rows = cut(known.select("doc_id", "text").mapInArrow(_inputs, "doc_id long, inputs array<long>").join(F.broadcast(marks), "doc_id"))
     totals = rows.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     n = totals["n"]
@@ -160,13 +163,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], th
 
     best = cut(counts.select("input", F.greatest(*[surprise(y) for y in ys], F.lit(0.0)).alias("s")).orderBy(F.desc("s"), "input").limit(inputs).select("input"))
     chosen = sorted(r["input"] for r in best.collect())
-    place = {h: i for i, h in enumerate(chosen)}
     # Both are bounded: the sample's labels and, for each of its documents, at most `inputs` marks.
     small = rows.select("doc_id", *ys, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).alias("fold")).orderBy("doc_id").collect()
-    index = {r["doc_id"]: i for i, r in enumerate(small)}
-    pairs = rows.select("doc_id", F.explode("inputs").alias("input")).join(F.broadcast(best), "input").collect()
+    pairs = rows.select("doc_id", F.explode("inputs").alias("input")).join(F.broadcast(best), "input").toPandas()
     if small and chosen:
-        at, cols = np.array(sorted((index[r["doc_id"]], place[r["input"]]) for r in pairs), np.int64).reshape(-1, 2).T
+        pairs = pairs.sort_values(["doc_id", "input"])
+        at, cols = (np.searchsorted(v, pairs[c].to_numpy()) for v, c in ((np.array([r["doc_id"] for r in small]), "doc_id"), (np.array(chosen), "input")))
         weights = fit_chain(at, cols, np.array([[r[y] > 0 for y in ys] for r in small], float), np.array([r["fold"] for r in small]), len(chosen))
     else:
         weights = [np.concatenate([np.zeros(len(chosen) + k), [-8.0]]) for k in range(len(categories))]
