@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rasterfold.llm.common import BROADCAST_ROWS, ascii_lower, attach_groups, cut, mix, prepare, text_of
 
 #: Digests that one filter covers.
-BUCKET_KEYS = 100_000
+BUCKET_KEYS = 10_000
 FILTER = "bucket long, seed long, segment long, segments long, prints binary"
 
 
@@ -136,7 +136,7 @@ def _bytes_checked(texts: DataFrame, rows: DataFrame, several: DataFrame) -> Dat
     it stops the job rather than merge texts that differ.
     """
     digests = several.select("text_sha256")
-    digests = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
+    digests = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS // 4 else digests
     members = texts.withColumn("text_sha256", F.sha2("text", 256)).join(digests, "text_sha256", "left_semi")
     ends = members.groupBy("text_sha256").agg((F.min("text") == F.max("text")).alias("same"))
     same = F.when(F.col("same"), F.lit(True)).otherwise(F.raise_error(F.lit("one digest for two texts")).cast("boolean"))
