@@ -157,15 +157,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], th
     counts = rows.select(F.explode("inputs").alias("input"), *ys).groupBy("input").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).filter("n > 1")
 
     def surprise(y: str):
-        """Signed-root style: (observed - expected) squared over the variance, for the category's share of an input's documents."""
+        """(Observed - expected) squared over the variance, for inputs that the category has more often than expected; others tell little."""
         p = min(max((totals[y] or 0) / max(n, 1), 1e-6), 1 - 1e-6)
-        return F.pow(F.col(y) - F.col("n") * p, 2) / (F.col("n") * p * (1 - p) + 1)
+        return F.pow(F.greatest(F.col(y) - F.col("n") * p, F.lit(0.0)), 2) / (F.col("n") * p * (1 - p) + 1)
 
     best = cut(counts.select("input", F.greatest(*[surprise(y) for y in ys], F.lit(0.0)).alias("s")).orderBy(F.desc("s"), "input").limit(inputs).select("input"))
     chosen = sorted(r["input"] for r in best.collect())
     # Both are bounded: the sample's labels and, for each of its documents, at most `inputs` marks.
     small = rows.select("doc_id", *ys, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).alias("fold")).orderBy("doc_id").collect()
-    pairs = rows.select("doc_id", F.explode("inputs").alias("input")).join(F.broadcast(best), "input").toPandas()
+    pairs = rows.select("doc_id", F.explode("inputs").alias("input")).join(F.broadcast(best), "input").toArrow().to_pandas()
     if small and chosen:
         pairs = pairs.sort_values(["doc_id", "input"])
         at, cols = (np.searchsorted(v, pairs[c].to_numpy()) for v, c in ((np.array([r["doc_id"] for r in small]), "doc_id"), (np.array(chosen), "input")))
