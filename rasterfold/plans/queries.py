@@ -25,8 +25,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to six digits, as sums depend on their order; + 0.0 turns a negative zero into zero."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to six digits, as sums depend on their order. The tables hold short decimals, so results often lie halfway between
+    two roundings: a hair is added first. + 0.0 turns a negative zero into zero."""
+    return df.select(*[(F.round(F.col(c) + 2.7e-10, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def gray(spark: SparkSession, d: str) -> DataFrame:
