@@ -57,6 +57,18 @@ def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch["doc_id"], "inputs": pa.array(rows, pa.list_(pa.int64()))})
 
 
+def _chosen(chosen: list[int]):
+    """Positions in `chosen` of a row's inputs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {h: i for i, h in enumerate(chosen)}
+        for batch in batches:
+            cols = [sorted(place[h] for h in row if h in place) for row in batch["inputs"].to_pylist()]
+            yield pa.record_batch({n: batch[n] for n in batch.schema.names if n != "inputs"} | {"cols": pa.array(cols, pa.list_(pa.int32()))})
+
+    return run
+
+
 # ---- the chain --------------------------------------------------------------------------------
 
 
@@ -164,12 +176,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], th
     best = cut(counts.select("input", F.greatest(*[surprise(y) for y in ys], F.lit(0.0)).alias("s")).orderBy(F.desc("s"), "input").limit(inputs).select("input"))
     chosen = sorted(r["input"] for r in best.collect())
     # Both are bounded: the sample's labels and, for each of its documents, at most `inputs` marks.
-    small = rows.select("doc_id", *ys, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).alias("fold")).orderBy("doc_id").collect()
-    pairs = rows.select("doc_id", F.explode("inputs").alias("input")).join(F.broadcast(best), "input").toArrow().to_pandas()
-    if small and chosen:
-        pairs = pairs.sort_values(["doc_id", "input"])
-        at, cols = (np.searchsorted(v, pairs[c].to_numpy()) for v, c in ((np.array([r["doc_id"] for r in small]), "doc_id"), (np.array(chosen), "input")))
-        weights = fit_chain(at, cols, np.array([[r[y] > 0 for y in ys] for r in small], float), np.array([r["fold"] for r in small]), len(chosen))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold")
+    schema = ", ".join(["doc_id long", *[f"{y} int" for y in ys], "fold int", "cols array<int>"])
+    small = rows.select("doc_id", *ys, fold, "inputs").mapInArrow(_chosen(chosen), schema).toArrow().sort_by("doc_id")
+    if len(small) and chosen:
+        at = np.repeat(np.arange(len(small)), [len(c) for c in small["cols"]])
+        cols = small["cols"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        y = np.column_stack([small[y].to_numpy() > 0 for y in ys]).astype(float)
+        weights = fit_chain(at, cols, y, small["fold"].to_numpy(), len(chosen))
     else:
         weights = [np.concatenate([np.zeros(len(chosen) + k), [-8.0]]) for k in range(len(categories))]
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in categories)
