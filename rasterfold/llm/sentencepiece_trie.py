@@ -12,6 +12,7 @@ library's ids exactly. Words that start with several marks have pieces of equal
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -55,6 +56,12 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses from a letter to a mark")
         self.longest = max(map(len, self.ids))
+        # Lengths of the pieces that end in two given characters, the longest first: most endings have few.
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {e: sorted(n, reverse=True) for e, n in ends.items()}
         self.least = min(self.scores.values()) - 10
         self.table = [p.piece.encode() if p.type == 1 else bytes([self.bytes.index(i)]) if p.type == 6 else b"" for i, p in enumerate(proto.pieces)]
         self._splits: dict[str, tuple[str, str] | None] = {}
@@ -126,6 +133,7 @@ class Model:
         """Pieces of each word; words are sorted and distinct."""
         score, last = [0.0], [""]
         before = ""
+        extend = self._viterbi if self.unigram else self._merged
         for word in words:
             if not self.unigram and word[1:2] == MARK:
                 yield self.merge(word)[0]
@@ -138,30 +146,46 @@ class Model:
             del score[k + 1 :], last[k + 1 :]
             before = word
             for end in range(k + 1, len(word) + 1):
-                self._extend(word, end, score, last)
+                extend(word, end, score, last)
             pieces, end = [], len(word)
             while end:
                 pieces.append(last[end])
                 end -= len(last[end])
             yield pieces[::-1]
 
-    def _extend(self, word: str, end: int, score: list[float], last: list[str]) -> None:
+    def _viterbi(self, word: str, end: int, score: list[float], last: list[str]) -> None:
         best, piece = -math.inf, word[end - 1]
-        for start in range(max(0, end - self.longest), end):
-            part = word[start:end]
-            if self.unigram:
-                s = self.scores.get(part, self.least if start == end - 1 else None)
-                if s is not None and score[start] + s > best:
-                    best, piece = score[start] + s, part
-            elif start == end - 1 or part in self.scores:
-                if len(part) > 1 and self.split(part) is None:
-                    continue
-                if not start or self.meets(last[start], part):
-                    best, piece = 0.0, part
-                    break
+        for n in (*self.lengths.get(word[end - 2 : end] if end > 1 else "", ()), 1):
+            if n <= end:
+                part = word[end - n : end]
+                s = self.scores.get(part, self.least if n == 1 else None)
+                if s is not None and score[end - n] + s > best:
+                    best, piece = score[end - n] + s, part
         score.append(best)
         last.append(piece)
 
+    def _merged(self, word: str, end: int, score: list[float], last: list[str]) -> None:
+        if end > 1:
+            scores, meets = self.scores, self._meets
+            for n in self.lengths.get(word[end - 2 : end], ()):
+                if n > end:
+                    continue
+                part = word[end - n : end]
+                if part not in scores or self._splits.get(part, 0) is None:
+                    continue
+                if n == end:
+                    ok = self.split(part) is not None
+                else:
+                    ok = meets.get((last[end - n], part))
+                    if ok is None:
+                        ok = self.split(part) is not None and self.meets(last[end - n], part)
+                if ok:
+                    score.append(0.0)
+                    last.append(part)
+                    return
+        score.append(0.0)
+        last.append(word[end - 1])
+
     def piece_ids(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
@@ -183,6 +207,8 @@ class Model:
 
 def _encode(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.freeze()
+        gc.disable()  # the caches hold no cycles, and walking them costs more than the work
         store = worker_store("sentencepiece")
         if path not in store:
             store[path] = Model(path), {}
