@@ -64,6 +64,7 @@ class Model:
         self.lengths = {e: sorted(n, reverse=True) for e, n in ends.items()}
         self.least = min(self.scores.values()) - 10
         self.table = [p.piece.encode() if p.type == 1 else bytes([self.bytes.index(i)]) if p.type == 6 else b"" for i, p in enumerate(proto.pieces)]
+        self._raw: dict[str, bytes] = {}
         self._splits: dict[str, tuple[str, str] | None] = {}
         self._meets: dict[tuple[str, str], bool] = {}
 
@@ -189,6 +190,14 @@ class Model:
     def piece_ids(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
+    def raw_ids(self, piece: str) -> bytes:
+        out = self._raw.get(piece)
+        if out is None:
+            out = np.array(self.piece_ids(piece), "<u4").tobytes()
+            if piece in self.ids:
+                self._raw[piece] = out
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """Marks become spaces, the first one goes; control pieces have no text; broken byte sequences become U+FFFD."""
         text = b"".join([self.table[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
@@ -201,7 +210,7 @@ class Model:
         split = [marked_words(t) for t in texts]
         new = sorted({w for words in split for w in words if w not in known})
         for word, pieces in zip(new, self.encode_sorted(new)):
-            known[word] = np.array([i for p in pieces for i in self.piece_ids(p)], "<u4").tobytes()
+            known[word] = b"".join(map(self.raw_ids, pieces))
         return [b"".join([known[w] for w in words]) for words in split]
 
 
