@@ -6,9 +6,14 @@ by hash into k + 1 blocks, so such rows must agree entirely on one block at leas
 discards nearly all pairs before any product. Rows are compared only within size classes (a row's own class and the next),
 where k is one number.
 
+Blocks with fewer than two entries say little, and many rows would agree on them. So E spare blocks are added: then linked
+rows agree on E + 1 blocks at least. Blocks that agree are small in both rows or in neither, so a row with at most E small
+blocks may leave all of them out and still shares a block of two entries or more with each of its links. The few rows with
+more small blocks keep them.
+
 1. One pass over the texts gives each row's size, a digest of its set and a digest of each of its column blocks.
-2. Rows that agree on a block are paired with the smallest of them (a star), not with each other. The product of the two
-   rows is accumulated over COARSE column ranges; a pair is dropped as soon as its differences pass its own k.
+2. Rows that agree on a block are paired with the smallest of them (a star), not with each other. Entries counted over column
+   ranges bound the differences of a pair from below; a pair beyond its own k is dropped before the product of its two rows.
 3. Components of the pairs that meet the bound contract the blocks' groups. Groups that still hold more than one component
    are compared exactly: in row blocks of at most ROW_BLOCK rows, only pairs of different components, discarding by size and
    by the L1 distance of their counts per column range, which never exceeds the number of differences. What remains goes
@@ -18,6 +23,7 @@ So no link between different texts is lost and equal texts are never paired with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, mix, prepare, shingle_set
+from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, mix, prepare, shingle_set, worker_store
 
-#: Column ranges over which overlaps are accumulated.
-COARSE = 64
+#: Column ranges in which a row's entries are counted (up to 255 each), and the wider ranges that are compared first.
+RANGES, WIDE = 256, 32
 #: Rows of a group that one task compares with as many others.
 ROW_BLOCK = 2000
 #: Digests of sets that a task remembers, so that copies within it are emitted once.
@@ -52,8 +58,24 @@ def differences(total: int, num: int, den: int) -> int:
     return total * (den - num) // (den + num)
 
 
-def block_digests(h: np.ndarray, c: int, blocks: int) -> np.ndarray:
-    """A digest of each column block of a sorted row; blocks are equal ranges of the hash space."""
+def spare_blocks(k: int, least: int) -> int:
+    """How many blocks to add beyond k + 1, so that most rows of `least` entries or more have no more small blocks than that; 0 if that takes too many."""
+    known = worker_store("spare blocks")
+    if (k, least) not in known:
+        known[k, least] = 0
+        for spare in range(k // 3 + 2):
+            n = k + 1 + spare
+            small = n * math.exp(-least / n) * (1 + least / n)
+            if spare >= small + 2.5 * math.sqrt(small):
+                known[k, least] = spare
+                break
+    return known[k, least]
+
+
+def block_digests(h: np.ndarray, c: int, k: int, least: int) -> np.ndarray:
+    """Digests of the column blocks of a sorted row; blocks are equal ranges of the hash space."""
+    spare = spare_blocks(k, least)
+    blocks = k + 1 + spare
     edges = (np.arange(blocks + 1, dtype=np.float64) / blocks * 2.0**64).astype(np.float64)
     at = np.empty(blocks + 1, np.int64)
     at[0], at[-1] = 0, len(h)
@@ -61,19 +83,19 @@ def block_digests(h: np.ndarray, c: int, blocks: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
         own = total[at[1:]] - total[at[:-1]]
-        return mix(own + mix(np.arange(blocks, dtype=np.uint64) + np.uint64((c + 1) << 40)))
+        out = mix(own + mix(np.arange(blocks, dtype=np.uint64) + np.uint64((c + 1) << 40)))
+    small = np.diff(at) < 2
+    return out[~small] if small.sum() <= spare else out
 
 
 def range_counts(h: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(h, (np.arange(1, COARSE, dtype=np.uint64) << np.uint64(58)))
-    return np.diff(np.concatenate([[0], at, [len(h)]]))
+    """Entries per column range. The L1 distance of two rows' counts, clipped or not, is at most the number of their differences."""
+    at = np.searchsorted(h, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(56))
+    return np.minimum(np.diff(np.concatenate([[0], at, [len(h)]])), 255).astype(np.uint8)
 
 
-def overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> int:
-    """The overlap of two sorted rows, or -1 once their differences pass what their sizes allow."""
-    left = differences(len(a) + len(b), num, den)
-    if min(len(a), len(b)) * den < max(len(a), len(b)) * num or np.abs(range_counts(a) - range_counts(b)).sum() > left:
-        return -1
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """The product of two sorted rows: the number of columns that both have."""
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
@@ -85,7 +107,7 @@ def _set_digests(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            ids, sizes, sets, digests = [], [], [], []
+            ids, sizes, sets, counts, digests = [], [], [], [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 h = shingle_set(text.as_py(), size)
                 n = len(h)
@@ -93,17 +115,20 @@ def _set_digests(size: int, num: int, den: int):
                 sizes.append(n)
                 own = xxhash.xxh3_128_digest(h.tobytes()) if n else None
                 sets.append(own)
+                counts.append(range_counts(h).tobytes() if n else None)
                 if not n or own in seen:
                     digests.append(None)
                     continue
                 if len(seen) < SEEN:
                     seen.add(own)
                 c, high, far = size_classes(n, num, den)
-                parts = [block_digests(h, c, differences(2 * high, num, den) + 1)]
+                # A class's blocks also hold the rows of the class below, down to about num / den squared of its largest.
+                least = [max(1, x * num * num // (den * den)) for x in (high, far)]
+                parts = [block_digests(h, c, differences(2 * high, num, den), least[0])]
                 if n * den // num > high:
-                    parts.append(block_digests(h, c + 1, differences(2 * far, num, den) + 1))
+                    parts.append(block_digests(h, c + 1, differences(2 * far, num, den), least[1]))
                 digests.append(np.concatenate(parts).view(np.int64))
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "set_digest": pa.array(sets, pa.binary()), "blocks": pa.array(digests, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "set_digest": pa.array(sets, pa.binary()), "counts": pa.array(counts, pa.binary()), "blocks": pa.array(digests, pa.list_(pa.int64()))})
 
     return run
 
@@ -122,17 +147,24 @@ def _product(num: int, den: int):
             keep = []
             for x, y in zip(batch["x"], batch["y"]):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = overlap(a, b, num, den)
-                keep.append(both >= 0 and den * both >= num * (len(a) + len(b) - both))
+                both = overlap(a, b)
+                keep.append(den * both >= num * (len(a) + len(b) - both))
             yield pa.record_batch({"u": batch["u"], "v": batch["v"], "linked": pa.array(keep, pa.bool_())})
 
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [range_counts(np.frombuffer(x.as_buffer(), np.uint64)).astype(np.uint32).tobytes() for x in batch["hashes"]]
-        yield pa.record_batch({"doc_id": batch["doc_id"], "counts": pa.array(rows, pa.binary())})
+def _plausible(num: int, den: int):
+    """Keeps pairs that sizes and range counts don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in ("x", "y"))
+            n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
+            keep = (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (np.abs(a - b).sum(1) <= (n + m) * (den - num) // (den + num))
+            yield pa.record_batch({"u": batch["u"], "v": batch["v"]}).filter(pa.array(keep))
+
+    return run
 
 
 def _across(num: int, den: int):
@@ -140,21 +172,20 @@ def _across(num: int, den: int):
 
     def run(group: pa.Table) -> pa.Table:
         ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
-        side = group["side"].to_numpy()
-        counts = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in group["counts"]]).astype(np.int32)
-        total = counts.sum(1)
+        side, total = group["side"].to_numpy(), group["n_shingles"].to_numpy()
+        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+        wide = counts.reshape(len(ids), WIDE, -1).sum(2, dtype=np.int16)
         rows, cols = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         us, vs = [], []
-        for i in rows:
-            j = cols[(comp[cols] != comp[i]) & (cols != i)]
-            if side[i] == 0:
-                j = j[ids[j] > ids[i]]
-            lo, hi = np.minimum(total[j], total[i]), np.maximum(total[j], total[i])
-            j = j[lo * den >= hi * num]
-            if len(j):
-                j = j[np.abs(counts[j] - counts[i]).sum(1) <= (total[j].astype(np.int64) + total[i]) * (den - num) // (den + num)]
-                us.append(np.full(len(j), ids[i]))
-                vs.append(ids[j])
+        for at in range(0, len(rows), 32):
+            i = rows[at : at + 32, None]
+            fits = (comp[i] != comp[cols]) & (np.minimum(total[i], total[cols]) * den >= np.maximum(total[i], total[cols]) * num) & ((side[i] != 0) | (ids[i] < ids[cols]))
+            fits &= np.abs(wide[i] - wide[cols]).sum(2) <= (total[i] + total[cols]) * (den - num) // (den + num)
+            x, y = np.nonzero(fits)
+            x, y = i[x, 0], cols[y]
+            near = np.abs(counts[x] - counts[y]).sum(1) <= (total[x] + total[y]) * (den - num) // (den + num)
+            us.append(ids[x[near]])
+            vs.append(ids[y[near]])
         u = np.concatenate(us) if us else np.zeros(0, np.int64)
         v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
@@ -162,6 +193,13 @@ def _across(num: int, den: int):
     return run
 
 
+def _rows_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The rows of the incidence matrix that pairs need, from the texts."""
+    ends = cut(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    return cut(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), LONG_BINARY).dropDuplicates(["doc_id"]))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     x = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("x")), "u")
     y = x.join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("y")), "v")
@@ -177,32 +215,36 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     """
     spark = prepare(docs.sparkSession)
     docs = documents_of(docs)
-    found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, blocks array<long>")
-    own = cut(found.select("doc_id", "n_shingles", "set_digest"))
+    found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, counts binary, blocks array<long>")
+    own = cut(found.select("doc_id", "n_shingles", "set_digest", "counts"))
+    # One row of each doc_id, for joins by it.
+    rows = own.filter("counts is not null").select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"])
     # Members of blocks that several rows share, with the smallest of them.
     members = found.select("doc_id", F.explode("blocks").alias("block"))
     by_block = Window.partitionBy("block")
     shared = members.select("block", "doc_id", F.min("doc_id").over(by_block).alias("center"), F.max("doc_id").over(by_block).alias("_last"), F.count("*").over(by_block).alias("n"))
     shared = cut(shared.filter("center != _last").drop("_last"))
     star = cut(shared.filter("doc_id != center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct())
-    ends = star.select(F.col("u").alias("doc_id")).union(star.select("v")).distinct()
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    sets = cut(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), LONG_BINARY).dropDuplicates(["doc_id"]))
-    checked = cut(_verified(star, sets, num, den))
+    x = star.join(rows.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("counts").alias("x")), "u")
+    y = x.join(rows.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("counts").alias("y")), "v")
+    likely = cut(y.select("u", "v", "n", "m", "x", "y").mapInArrow(_plausible(num, den), "u long, v long"))
+    sets = _rows_of(docs, likely, size)
+    checked = cut(_verified(likely, sets, num, den))
     links = checked.filter("linked").select("u", "v")
     first = components(links)
-    # Groups that one star didn't join.
-    at = shared.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("block", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    # Groups that one star didn't join; in a group of two the star was the only pair.
+    at = shared.filter("n > 2").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("block", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     open_ = at.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("block")
     rest = at.join(open_, "block")
     parts = F.ceil(F.col("n") / ROW_BLOCK).cast("int")
     rest = rest.withColumn("_k", parts).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
     rest = rest.select("block", "doc_id", "component", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
     rest = rest.select("block", "doc_id", "component", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), F.when(F.col("_b") == F.col("_o"), 0).when(F.col("_b") < F.col("_o"), 1).otherwise(2).alias("side"))
-    rest = rest.join(sets.mapInArrow(_counts, "doc_id long, counts binary"), "doc_id")
+    rest = rest.join(rows, "doc_id")
     pairs = rest.groupBy("block", "i", "j").applyInArrow(_across(num, den), "u long, v long").distinct()
     pairs = pairs.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    more = _verified(cut(pairs), sets, num, den).filter("linked").select("u", "v")
+    pairs = cut(pairs)
+    more = _verified(pairs, _rows_of(docs, pairs, size), num, den).filter("linked").select("u", "v")
     # Copies: each with the smallest row of its set.
     copies = own.filter("set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("_last"), F.count("*").alias("group_size"))
     copies = cut(copies.filter("u != _last").drop("_last"))
