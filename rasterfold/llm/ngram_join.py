@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, mix, prepare, shingle_set, worker_store
+from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, mix, prepare, removed, shingle_set, stored, worker_store
 
 #: Column ranges in which a row's entries are counted (up to 255 each), and the wider ranges that are compared first.
 RANGES, WIDE = 256, 32
@@ -223,7 +223,8 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     members = found.select("doc_id", F.explode("blocks").alias("block"))
     by_block = Window.partitionBy("block")
     shared = members.select("block", "doc_id", F.min("doc_id").over(by_block).alias("center"), F.max("doc_id").over(by_block).alias("_last"), F.count("*").over(by_block).alias("n"))
-    shared = cut(shared.filter("center != _last").drop("_last"))
+    # A group of two is its star alone: its one pair is kept, and not its block.
+    shared, path = stored(shared.filter("center != _last and (n > 2 or doc_id != center)").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center", "n"))
     star = cut(shared.filter("doc_id != center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct())
     x = star.join(rows.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("counts").alias("x")), "u")
     y = x.join(rows.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("counts").alias("y")), "v")
@@ -244,6 +245,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     pairs = rest.groupBy("block", "i", "j").applyInArrow(_across(num, den), "u long, v long").distinct()
     pairs = pairs.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     pairs = cut(pairs)
+    removed(spark, path)
     more = _verified(pairs, _rows_of(docs, pairs, size), num, den).filter("linked").select("u", "v")
     # Copies: each with the smallest row of its set.
     copies = own.filter("set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("_last"), F.count("*").alias("group_size"))
