@@ -32,7 +32,18 @@ def settle(sightings: DataFrame, seconds: float = SETTLE) -> DataFrame:
                     yield pd.DataFrame({"path": [key[0]], "at": [float(r.at)]})
         state.update((size, mtime, since, done))
 
+    def at_once(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        size, mtime, since = -1, -1.0, 0.0
+        for r in frame.sort_values("at").itertuples():
+            if (r.size, r.mtime) != (size, mtime):
+                size, mtime, since = r.size, r.mtime, r.at
+            elif r.at - since >= seconds:
+                return pd.DataFrame({"path": [key[0]], "at": [float(r.at)]})
+        return pd.DataFrame({"path": [], "at": []})
+
     rows = sightings.select("path", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), F.col("at").cast("double").alias("at"))
+    if not sightings.isStreaming:
+        return rows.groupBy("path").applyInPandas(at_once, "path string, at double")
     return rows.groupBy("path").applyInPandasWithState(run, "path string, at double", "size long, mtime double, since double, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
