@@ -49,6 +49,14 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of results that nothing refers to any more; else they wait for the driver's next collection."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

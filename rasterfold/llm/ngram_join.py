@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, mix, prepare, removed, shingle_set, stored, worker_store
+from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, mix, prepare, release, removed, shingle_set, stored, worker_store
 
 #: Column ranges in which a row's entries are counted (up to 255 each), and the wider ranges that are compared first.
-RANGES, WIDE = 256, 32
+RANGES, WIDE = 128, 32
 #: Rows of a group that one task compares with as many others.
 ROW_BLOCK = 2000
 #: Digests of sets that a task remembers, so that copies within it are emitted once.
@@ -90,7 +90,7 @@ def block_digests(h: np.ndarray, c: int, k: int, least: int) -> np.ndarray:
 
 def range_counts(h: np.ndarray) -> np.ndarray:
     """Entries per column range. The L1 distance of two rows' counts, clipped or not, is at most the number of their differences."""
-    at = np.searchsorted(h, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(56))
+    at = np.searchsorted(h, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(57))
     return np.minimum(np.diff(np.concatenate([[0], at, [len(h)]])), 255).astype(np.uint8)
 
 
@@ -225,6 +225,8 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     shared = members.select("block", "doc_id", F.min("doc_id").over(by_block).alias("center"), F.max("doc_id").over(by_block).alias("_last"), F.count("*").over(by_block).alias("n"))
     # A group of two is its star alone: its one pair is kept, and not its block.
     shared, path = stored(shared.filter("center != _last and (n > 2 or doc_id != center)").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center", "n"))
+    del found, members
+    release(spark)
     star = cut(shared.filter("doc_id != center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct())
     x = star.join(rows.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("counts").alias("x")), "u")
     y = x.join(rows.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("counts").alias("y")), "v")
