@@ -162,7 +162,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Each round takes the least label of the neighbours, then the label of that label, so that chains halve. Labels and
     edges stay distributed; hubs are summed up before the shuffle.
     """
-    both = cut(edges.select(F.col(u).alias("a"), F.col(v).alias("b")).unionByName(edges.select(F.col(v).alias("a"), F.col(u).alias("b"))).filter("a != b").distinct())
+    ways = F.array(F.struct(F.col(u).alias("a"), F.col(v).alias("b")), F.struct(F.col(v).alias("a"), F.col(u).alias("b")))
+    both = cut(edges.filter(F.col(u) != F.col(v)).select(F.explode(ways).alias("_way")).select("_way.a", "_way.b").distinct())  # edges are evaluated once
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
