@@ -13,7 +13,8 @@ more small blocks keep them.
 
 1. One pass over the texts gives each row's size, a digest of its set and a digest of each of its column blocks.
 2. Rows that agree on a block are paired with the smallest of them (a star), not with each other. Entries counted over column
-   ranges bound the differences of a pair from below; a pair beyond its own k is dropped before the product of its two rows.
+   ranges bound the differences of a pair from below; a pair beyond its own k is dropped. So do parity bits, about as many
+   as a row has entries, which also tell long rows apart. Only what passes both costs the product of two whole rows.
 3. Components of the pairs that meet the bound contract the blocks' groups. Groups that still hold more than one component
    are compared exactly: in row blocks of at most ROW_BLOCK rows, only pairs of different components, discarding by size and
    by the L1 distance of their counts per column range, which never exceeds the number of differences. What remains goes
@@ -94,6 +95,24 @@ def range_counts(h: np.ndarray) -> np.ndarray:
     return np.minimum(np.diff(np.concatenate([[0], at, [len(h)]])), 255).astype(np.uint8)
 
 
+def parity_bits(h: np.ndarray) -> bytes:
+    """Whether the entries per residue are odd in number, for a power of two of residues from the row's size on, 64 at least. An entry that one row alone has flips one bit."""
+    n = 1 << max(6, (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def flipped(x: bytes, y: bytes) -> int:
+    """Parity bits that differ: at most the number of differences of the two rows. The wider bits are folded to the other's width."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x) * 8
+    while bits > len(y) * 8:
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """The product of two sorted rows: the number of columns that both have."""
     if len(a) > len(b):
@@ -107,7 +126,7 @@ def _set_digests(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            ids, sizes, sets, counts, digests = [], [], [], [], []
+            ids, sizes, sets, counts, parities, digests = [], [], [], [], [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 h = shingle_set(text.as_py(), size)
                 n = len(h)
@@ -116,6 +135,7 @@ def _set_digests(size: int, num: int, den: int):
                 own = xxhash.xxh3_128_digest(h.tobytes()) if n else None
                 sets.append(own)
                 counts.append(range_counts(h).tobytes() if n else None)
+                parities.append(parity_bits(h) if n else None)
                 if not n or own in seen:
                     digests.append(None)
                     continue
@@ -128,7 +148,7 @@ def _set_digests(size: int, num: int, den: int):
                 if n * den // num > high:
                     parts.append(block_digests(h, c + 1, differences(2 * far, num, den), least[1]))
                 digests.append(np.concatenate(parts).view(np.int64))
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "set_digest": pa.array(sets, pa.binary()), "counts": pa.array(counts, pa.binary()), "blocks": pa.array(digests, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "set_digest": pa.array(sets, pa.binary()), "counts": pa.array(counts, pa.binary()), "parity": pa.array(parities, pa.binary()), "blocks": pa.array(digests, pa.list_(pa.int64()))})
 
     return run
 
@@ -167,6 +187,17 @@ def _plausible(num: int, den: int):
     return run
 
 
+def _near(num: int, den: int):
+    """Keeps pairs that parity bits don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [flipped(x, y) <= differences(total, num, den) for x, y, total in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), batch["total"].to_pylist())]
+            yield pa.record_batch({"u": batch["u"], "v": batch["v"]}).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _across(num: int, den: int):
     """Pairs of different components in one group's pair of row blocks that sizes and range counts don't rule out."""
 
@@ -200,6 +231,12 @@ def _rows_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     return cut(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), LONG_BINARY).dropDuplicates(["doc_id"]))
 
 
+def _screened(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    x = pairs.join(rows.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("parity").alias("x")), "u")
+    y = x.join(rows.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("parity").alias("y")), "v")
+    return cut(y.select("u", "v", (F.col("n") + F.col("m")).alias("total"), "x", "y").mapInArrow(_near(num, den), "u long, v long"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     x = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("x")), "u")
     y = x.join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("y")), "v")
@@ -215,10 +252,10 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     """
     spark = prepare(docs.sparkSession)
     docs = documents_of(docs)
-    found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, counts binary, blocks array<long>")
-    own = cut(found.select("doc_id", "n_shingles", "set_digest", "counts"))
+    found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, counts binary, parity binary, blocks array<long>")
+    own = cut(found.select("doc_id", "n_shingles", "set_digest", "counts", "parity"))
     # One row of each doc_id, for joins by it.
-    rows = own.filter("counts is not null").select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"])
+    rows = own.filter("counts is not null").select("doc_id", "n_shingles", "counts", "parity").dropDuplicates(["doc_id"])
     # Members of blocks that several rows share, with the smallest of them.
     members = found.select("doc_id", F.explode("blocks").alias("block"))
     by_block = Window.partitionBy("block")
@@ -231,6 +268,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     x = star.join(rows.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("counts").alias("x")), "u")
     y = x.join(rows.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("counts").alias("y")), "v")
     likely = cut(y.select("u", "v", "n", "m", "x", "y").mapInArrow(_plausible(num, den), "u long, v long"))
+    likely = _screened(likely, rows, num, den)
     sets = _rows_of(docs, likely, size)
     checked = cut(_verified(likely, sets, num, den))
     links = checked.filter("linked").select("u", "v")
@@ -243,10 +281,10 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     rest = rest.withColumn("_k", parts).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
     rest = rest.select("block", "doc_id", "component", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
     rest = rest.select("block", "doc_id", "component", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), F.when(F.col("_b") == F.col("_o"), 0).when(F.col("_b") < F.col("_o"), 1).otherwise(2).alias("side"))
-    rest = rest.join(rows, "doc_id")
+    rest = rest.join(rows.drop("parity"), "doc_id")
     pairs = rest.groupBy("block", "i", "j").applyInArrow(_across(num, den), "u long, v long").distinct()
     pairs = pairs.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    pairs = cut(pairs)
+    pairs = _screened(cut(pairs), rows, num, den)
     removed(spark, path)
     more = _verified(pairs, _rows_of(docs, pairs, size), num, den).filter("linked").select("u", "v")
     # Copies: each with the smallest row of its set.
