@@ -77,12 +77,35 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def worker_store(name: str) -> dict:
-    """A dictionary that outlives a task in its Python worker; for caches, which may be lost at any time."""
+def _stores() -> dict:
     import sys
     import types
 
-    return sys.modules.setdefault("_rasterfold_worker", types.ModuleType("_rasterfold_worker")).__dict__.setdefault(name, {})
+    return sys.modules.setdefault("_rasterfold_worker", types.ModuleType("_rasterfold_worker")).__dict__.setdefault("stores", {})
+
+
+def worker_store(name: str) -> dict:
+    """A dictionary that outlives a task in its Python worker; for caches, which may be lost at any time."""
+    return _stores().setdefault(name, {})
+
+
+def fresh_worker(keep: str = "") -> None:
+    """At a task's start, rid its Python worker of what other operators left there: their caches, and their pause of garbage collection."""
+    import ctypes
+    import gc
+
+    stores = _stores()
+    others = [name for name in stores if name != keep]
+    for name in others:
+        del stores[name]
+    if not gc.isenabled():
+        gc.unfreeze()
+        gc.enable()
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 # ---- words and shingles, in numpy -------------------------------------------------------------

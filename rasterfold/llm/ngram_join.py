@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, mix, prepare, release, removed, shingle_set, stored, worker_store
+from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, fresh_worker, mix, prepare, release, removed, shingle_set, stored, worker_store
 
 #: Column ranges in which a row's entries are counted (up to 255 each), and the wider ranges that are compared first.
 RANGES, WIDE = 128, 32
@@ -124,6 +124,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def _set_digests(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker(keep="spare blocks")
         seen: set[bytes] = set()
         for batch in batches:
             ids, sizes, sets, counts, parities, digests = [], [], [], [], [], []

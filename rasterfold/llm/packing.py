@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import cut, documents_of, gapless_rank, prepare, worker_store
+from rasterfold.llm.common import cut, documents_of, fresh_worker, gapless_rank, prepare, worker_store
 
 #: Words whose ids a worker remembers, as they stand in the text and without the punctuation after them.
 CACHE, BARE_CACHE = 500_000, 600_000
@@ -69,6 +69,7 @@ def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        fresh_worker(keep="packing")
         gc.freeze()
         gc.disable()  # the caches hold no cycles, and walking them costs more than the work
         store = worker_store("packing")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import cut, documents_of, prepare
+from rasterfold.llm.common import cut, documents_of, fresh_worker, prepare
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -57,6 +57,7 @@ def statistics(text: str) -> list[float]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker()
     for batch in batches:
         rows = [np.asarray(statistics(t.as_py()), np.float64) for t in batch["text"]]
         yield pa.record_batch({"doc_id": batch["doc_id"], "x": pa.array(rows, pa.list_(pa.float64()))})

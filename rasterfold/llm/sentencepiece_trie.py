@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rasterfold.llm.common import documents_of, prepare, worker_store
+from rasterfold.llm.common import documents_of, fresh_worker, prepare, worker_store
 
 MARK = "▁"
 #: Distinct words whose ids a worker remembers, and pairs of pieces.
@@ -216,6 +216,7 @@ class Model:
 
 def _encode(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker(keep="sentencepiece")
         gc.freeze()
         gc.disable()  # the caches hold no cycles, and walking them costs more than the work
         store = worker_store("sentencepiece")

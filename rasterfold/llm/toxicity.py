@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import cut, documents_of, prepare
+from rasterfold.llm.common import cut, documents_of, fresh_worker, prepare
 from rasterfold.llm.quality import sampled
 
 #: Labelled documents that a chain is fitted on, at most, and inputs that it looks at, at most.
@@ -52,6 +52,7 @@ def text_inputs(text: str) -> list[int]:
 
 
 def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker()
     for batch in batches:
         rows = [text_inputs(t.as_py()) for t in batch["text"]]
         yield pa.record_batch({"doc_id": batch["doc_id"], "inputs": pa.array(rows, pa.list_(pa.int64()))})
@@ -117,6 +118,7 @@ def chain_scores(weights: list[np.ndarray], rows: np.ndarray, cols: np.ndarray,
 
 def _score(chosen: list[int], weights: list[np.ndarray], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         place = {h: i for i, h in enumerate(chosen)}
         known: dict[str, tuple[int | None, list[str]]] = {}
         levels: dict[str, list[tuple[int, int]]] = {}
