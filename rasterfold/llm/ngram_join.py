@@ -17,8 +17,8 @@ more small blocks keep them.
    as a row has entries, which also tell long rows apart. Only what passes both costs the product of two whole rows.
 3. Components of the pairs that meet the bound contract the blocks' groups. Groups that still hold more than one component
    are compared exactly: in row blocks of at most ROW_BLOCK rows, only pairs of different components, discarding by size and
-   by the L1 distance of their counts per column range, which never exceeds the number of differences. What remains goes
-   through the same product.
+   by the L1 distance of their counts per column range, which never exceeds the number of differences, and by
+   parity bits. What remains goes through the same product.
 So no link between different texts is lost and equal texts are never paired with each other.
 """
 
@@ -200,13 +200,14 @@ def _near(num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Pairs of different components in one group's pair of row blocks that sizes and range counts don't rule out."""
+    """Pairs of different components in one group's pair of row blocks that sizes, range counts and parity bits don't rule out."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
         side, total = group["side"].to_numpy(), group["n_shingles"].to_numpy()
         counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
         wide = counts.reshape(len(ids), WIDE, -1).sum(2, dtype=np.int16)
+        parity = group["parity"].to_pylist()
         rows, cols = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         us, vs = [], []
         for at in range(0, len(rows), 32):
@@ -216,8 +217,10 @@ def _across(num: int, den: int):
             x, y = np.nonzero(fits)
             x, y = i[x, 0], cols[y]
             near = np.abs(counts[x] - counts[y]).sum(1) <= (total[x] + total[y]) * (den - num) // (den + num)
-            us.append(ids[x[near]])
-            vs.append(ids[y[near]])
+            x, y = x[near], y[near]
+            close = np.fromiter((flipped(parity[a], parity[b]) <= differences(n, num, den) for a, b, n in zip(x.tolist(), y.tolist(), (total[x] + total[y]).tolist())), bool, len(x))
+            us.append(ids[x[close]])
+            vs.append(ids[y[close]])
         u = np.concatenate(us) if us else np.zeros(0, np.int64)
         v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
@@ -282,10 +285,10 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     rest = rest.withColumn("_k", parts).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
     rest = rest.select("block", "doc_id", "component", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
     rest = rest.select("block", "doc_id", "component", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), F.when(F.col("_b") == F.col("_o"), 0).when(F.col("_b") < F.col("_o"), 1).otherwise(2).alias("side"))
-    rest = rest.join(rows.drop("parity"), "doc_id")
+    rest = rest.join(rows, "doc_id")
     pairs = rest.groupBy("block", "i", "j").applyInArrow(_across(num, den), "u long, v long").distinct()
     pairs = pairs.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    pairs = _screened(cut(pairs), rows, num, den)
+    pairs = cut(pairs)
     removed(spark, path)
     more = _verified(pairs, _rows_of(docs, pairs, size), num, den).filter("linked").select("u", "v")
     # Copies: each with the smallest row of its set.
