@@ -117,7 +117,7 @@ def crop(spark, d):
 
 @query
 def rect_intersect(spark, d):
-    t = table(spark, d, "lineitem").filter("l_orderkey < 2000").select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y"), (F.col("l_linenumber") * 5).alias("w"), (F.col("l_quantity").cast("int")).alias("h"), (F.col("l_partkey") % 37).alias("x2"), (F.col("l_suppkey") % 41).alias("y2"), F.lit(12).alias("w2"), F.lit(9).alias("h2"))
+    t = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y"), (F.col("l_linenumber") * 5).alias("w"), (F.col("l_quantity").cast("int")).alias("h"), (F.col("l_partkey") % 37).alias("x2"), (F.col("l_suppkey") % 41).alias("y2"), F.lit(12).alias("w2"), F.lit(9).alias("h2"))
     return geometry.intersect(t).select(*[F.col(c).cast("long").alias(c) for c in ("ix", "iy", "iw", "ih")]).groupBy("ix", "iy", "iw", "ih").agg(F.count("*").alias("n"))
 
 
