@@ -110,7 +110,8 @@ def cull(frames: DataFrame, shares: DataFrame, percent: float) -> DataFrame:
 def output_name(template: Column, n: Column, count: Column, first: Column, directory: Column) -> Column:
     """{n}, {first} and {dir} replaced; without them _NN goes before the extension if there are several."""
     width = F.greatest(F.length(F.greatest(count, F.lit(1)).cast("string")), F.lit(2))
-    number = F.lpad(n.cast("string"), width, F.lit("0")) if isinstance(width, Column) else n
+    digits = n.cast("string")
+    number = F.lpad(digits, F.greatest(width, F.length(digits)), F.lit("0"))  # lpad alone would cut longer numbers
     filled = F.replace(F.replace(F.replace(template, F.lit("{n}"), number), F.lit("{first}"), first), F.lit("{dir}"), directory)
     numbered = F.when(template.rlike(r"[^/\\]\.[^./\\]*$"), F.concat(F.regexp_extract(template, r"^(.*[^/\\])(\.[^./\\]*)$", 1), F.lit("_"), number, F.regexp_extract(template, r"(\.[^./\\]*)$", 1))).otherwise(F.concat(template, F.lit("_"), number))
     return F.when(template.rlike(r"\{(n|first|dir)\}"), filled).when(count < 2, template).otherwise(numbered)

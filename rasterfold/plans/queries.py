@@ -511,8 +511,9 @@ def path_parts(spark, d):
 @query
 def output_names(spark, d):
     f = _frames(spark, d)
+    f = f.crossJoin(F.broadcast(f.agg(F.count("*").alias("count"))))
     n = (F.col("pos") + 1).cast("int")
-    args = (n, F.lit(536), batch.stem(F.col("path")), batch.dir_name(F.col("path")))
+    args = (n, F.col("count"), batch.stem(F.col("path")), batch.dir_name(F.col("path")))
     return f.select("pos", batch.output_name(F.lit("out/{dir}_{n}_{first}.tif"), *args).alias("a"), batch.output_name(F.lit("out/fused.tif"), *args).alias("b"))
 
 

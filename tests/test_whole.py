@@ -1,8 +1,12 @@
 """Queries use all of their input. Where a query's SQL keeps a part of the rows, the test leaves that part's condition out of its own copy."""
 
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from rasterfold.operators import batch
 from rasterfold.plans.oracle import ORACLE_SQL
 from rasterfold.plans.queries import QUERIES
 
@@ -22,3 +26,18 @@ def test_rect_intersect_takes_every_row(spark, con):
     assert sum(got.values()) == con.sql("select count(*) from lineitem").fetchall()[0][0]
     sql = ORACLE_SQL["rect_intersect"].replace("WHERE l_orderkey < 2000", "")
     assert got == {r[:4]: r[4] for r in con.sql(f"select ix, iy, iw, ih, n from ({sql})").fetchall()}
+
+
+@pytest.mark.parametrize(("sf", "width"), [("sf0.001", 2), ("sf0.1", 4)])
+def test_output_names_number_as_many_frames_as_there_are(spark, sf, width):
+    rows = QUERIES["output_names"](spark, f"/root/testdata/{sf}").collect()
+    assert len(str(len(rows))) == width and sorted(r["pos"] for r in rows) == list(range(len(rows)))
+    for r in rows:
+        n = f"{r['pos'] + 1:0{width}}"
+        assert r["b"] == f"out/fused_{n}.tif" and re.fullmatch(rf"out/[^/]+_{n}_f\d+\.tif", r["a"])
+
+
+def test_numbers_of_names_are_never_cut(spark):
+    df = spark.createDataFrame([(n, c) for n, c in ((7, 2), (100, 99), (1000, 536), (1001, 536), (12345, 5012))], "n int, c long")
+    name = batch.output_name(F.lit("{n}.tif"), F.col("n"), F.col("c"), F.lit("f"), F.lit("d"))
+    assert [r[0] for r in df.orderBy("n").select(name).collect()] == ["07.tif", "100.tif", "1000.tif", "1001.tif", "12345.tif"]
