@@ -566,7 +566,7 @@ def smoothed_sweeps(spark, d):
 
 @query
 def registration(spark, d):
-    return rounded(solvers.align(gray(spark, d).filter("frame < 3").withColumn("stack", F.lit(0).cast("long"))).drop("m"), 5)
+    return rounded(solvers.align(gray(spark, d).withColumn("stack", F.lit(0).cast("long"))).drop("m"), 5)
 
 
 @query

@@ -3,12 +3,14 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterfold.operators import batch
+from rasterfold.operators import batch, solvers
+from rasterfold.operators.geometry import Transform
 from rasterfold.plans.oracle import ORACLE_SQL
-from rasterfold.plans.queries import QUERIES
+from rasterfold.plans.queries import QUERIES, gray
 
 DIR = "/root/testdata/sf0.01"
 
@@ -41,3 +43,22 @@ def test_numbers_of_names_are_never_cut(spark):
     df = spark.createDataFrame([(n, c) for n, c in ((7, 2), (100, 99), (1000, 536), (1001, 536), (12345, 5012))], "n int, c long")
     name = batch.output_name(F.lit("{n}.tif"), F.col("n"), F.col("c"), F.lit("f"), F.lit("d"))
     assert [r[0] for r in df.orderBy("n").select(name).collect()] == ["07.tif", "100.tif", "1000.tif", "1001.tif", "12345.tif"]
+
+
+def planes(spark, sf):
+    out = np.zeros((7, 24, 32))
+    for r in gray(spark, sf).collect():
+        out[r["frame"], r["y"], r["x"]] = r["v"]
+    return out
+
+
+def test_registration_aligns_the_whole_stack(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["frame"]: r for r in QUERIES["registration"](spark, sf).collect()}
+    assert sorted(got) == list(range(7))
+    last, ref = Transform(), None
+    for f, img in enumerate(planes(spark, sf)):
+        last = last if ref is None else solvers.align_pair(ref, img, last, solvers.MODELS["similarity"])
+        assert all(abs(got[f][k] - getattr(last, k)) < 2e-5 for k in solvers.FIELDS), f
+        at, ok = solvers.warp_bilinear(img, last.matrix(*img.shape))
+        ref = np.where(ok, at, img)
