@@ -163,7 +163,7 @@ def guided_filter(spark, d):
 
 @query
 def ring_difference(spark, d):
-    return rounded(stencil.convolve(gray(spark, d).filter("frame < 2"), stencil.ring_taps(1, 3), H, W, "v", ["frame"]).withColumn("v", F.abs("v")))
+    return rounded(stencil.convolve(gray(spark, d), stencil.ring_taps(1, 3), H, W, "v", ["frame"]).withColumn("v", F.abs("v")))
 
 
 @query

@@ -62,3 +62,15 @@ def test_registration_aligns_the_whole_stack(spark):
         assert all(abs(got[f][k] - getattr(last, k)) < 2e-5 for k in solvers.FIELDS), f
         at, ok = solvers.warp_bilinear(img, last.matrix(*img.shape))
         ref = np.where(ok, at, img)
+
+
+def test_ring_difference_of_every_frame(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r["frame"], r["y"], r["x"]): r["v"] for r in QUERIES["ring_difference"](spark, sf).collect()}
+    assert len(got) == 7 * 24 * 32
+    wide = np.pad(planes(spark, sf), ((0, 0), (3, 3), (3, 3)), mode="reflect")
+    near = [(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4)]
+    at = {d: wide[:, 3 + d[0] : 27 + d[0], 3 + d[1] : 35 + d[1]] for d in near}
+    disk, ring = ([at[d] for d in near if a < d[0] ** 2 + d[1] ** 2 <= b] for a, b in ((-1, 1), (1, 9)))
+    want = np.abs(np.mean(disk, 0) - np.mean(ring, 0))
+    assert max(abs(v - want[k]) for k, v in got.items()) < 1e-6
