@@ -95,14 +95,14 @@ def quantise(spark, d):
 
 @query
 def gray_stretch(spark, d):
-    g = gray(spark, d).filter("frame = 0")
-    ends = g.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return g.crossJoin(F.broadcast(ends)).select("y", "x", F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * 255 + 0.5).cast("int").alias("v"))
+    g = gray(spark, d)
+    ends = g.groupBy("frame").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return g.join(F.broadcast(ends), "frame").select("frame", "y", "x", F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * 255 + 0.5).cast("int").alias("v"))
 
 
 @query
 def turbo_map(spark, d):
-    return rounded(gray(spark, d).filter("frame = 0").select("y", "x", *[v.alias(c) for v, c in zip(P.turbo(P.clamp(F.col("v"))), RGB)]), 5)
+    return rounded(gray(spark, d).select("frame", "y", "x", *[v.alias(c) for v, c in zip(P.turbo(P.clamp(F.col("v"))), RGB)]), 5)
 
 
 @query

@@ -74,3 +74,19 @@ def test_ring_difference_of_every_frame(spark):
     disk, ring = ([at[d] for d in near if a < d[0] ** 2 + d[1] ** 2 <= b] for a, b in ((-1, 1), (1, 9)))
     want = np.abs(np.mean(disk, 0) - np.mean(ring, 0))
     assert max(abs(v - want[k]) for k, v in got.items()) < 1e-6
+
+
+def test_colour_queries_map_every_frame(spark):
+    sf = "/root/testdata/sf0.001"
+    img = planes(spark, sf)
+    lo, hi = (f(img, axis=(1, 2), keepdims=True) for f in (np.min, np.max))
+    want = (img - lo) / (hi - lo) * 255 + 0.5
+    rows = QUERIES["gray_stretch"](spark, sf).collect()
+    assert len({(r["frame"], r["y"], r["x"]) for r in rows}) == len(rows) == img.size
+    assert all(np.floor(want[r["frame"], r["y"], r["x"]] - 1e-9) <= r["v"] <= np.floor(want[r["frame"], r["y"], r["x"]] + 1e-9) for r in rows)
+    assert {(r["frame"], r["v"]) for r in rows} >= {(f, v) for f in range(7) for v in (0, 255)}
+    t = np.clip(img, 0, 1)[..., None] ** np.arange(6)
+    red = np.clip(t @ [0.13572138, 4.6153926, -42.66032258, 132.13108234, -152.94239396, 59.28637943], 0, 1)
+    rows = QUERIES["turbo_map"](spark, sf).collect()
+    assert len({(r["frame"], r["y"], r["x"]) for r in rows}) == len(rows) == img.size
+    assert max(abs(r["r"] - red[r["frame"], r["y"], r["x"]]) for r in rows) < 1e-5
