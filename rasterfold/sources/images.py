@@ -176,6 +176,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, raw in zip(batch["path"].to_pylist(), batch["content"]):
             data = raw.as_py()
+            if data[:2] == b"\xff\xd8":
+                raise ValueError(f"{path}: JPEG files aren't decoded, only their metadata is read")
             px, bits = decode_png(data) if data[:8] == _PNG else decode_tiff(data)
             y, x = np.indices(px.shape[:2])
             yield pa.record_batch({"path": pa.array([path] * y.size), "bit_depth": pa.array(np.full(y.size, bits), pa.int32()), "y": pa.array(y.ravel(), pa.int32()), "x": pa.array(x.ravel(), pa.int32()), **{c: px[..., k].ravel() for k, c in enumerate("rgb")}})

@@ -11,6 +11,7 @@ from rasterfold.operators import batch, solvers
 from rasterfold.operators.geometry import Transform
 from rasterfold.plans.oracle import ORACLE_SQL
 from rasterfold.plans.queries import QUERIES, gray
+from rasterfold.sources import images
 
 DIR = "/root/testdata/sf0.01"
 
@@ -90,3 +91,11 @@ def test_colour_queries_map_every_frame(spark):
     rows = QUERIES["turbo_map"](spark, sf).collect()
     assert len({(r["frame"], r["y"], r["x"]) for r in rows}) == len(rows) == img.size
     assert max(abs(r["r"] - red[r["frame"], r["y"], r["x"]]) for r in rows) < 1e-5
+
+
+def test_jpeg_is_refused_plainly(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff\xd9")
+    files = images.read_folder(spark, str(tmp_path))
+    assert images.extract_metadata(files).count() == 1
+    with pytest.raises(Exception, match="a.jpg: JPEG files aren't decoded"):
+        images.decode(files).collect()
