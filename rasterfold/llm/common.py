@@ -202,6 +202,9 @@ LONG_BINARY = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't in ids, a table of one column; texts only move if the ids are too many to broadcast."""
+    """Rows whose doc_id isn't in ids, a table of one column; texts only move if the ids are too many to broadcast.
+
+    A null doc_id is in no table, so its row stays; all rows of a doc_id in ids go, whatever their texts.
+    """
     ids = cut(ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct())
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)

@@ -106,6 +106,7 @@ def deduplicate(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
     Rows for which `incoming` holds are the new batch, the others the snapshot; which half a row is in doesn't change the
     result. Texts are equal when identical after lower-casing A-Z; null counts as empty. Rows that repeat a doc_id with the same
     text count in group_size, and all of them carry the mark of the row that stays. An empty table gives no rows; other columns are ignored.
+    A null doc_id counts in group_size, but its row is marked kept even if another of its group stays.
     """
     prepare(docs.sparkSession)
     incoming = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 1 if incoming is None else incoming
