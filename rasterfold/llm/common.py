@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows in one Arrow batch; long texts make a batch of the default 10,000 rows too large for a Python worker.
@@ -29,6 +29,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
@@ -183,22 +185,25 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(id, component) for every end of an edge; component is the smallest id that edges reach.
 
     Each round takes the least label of the neighbours, then the label of that label, so that chains halve. Labels and
-    edges stay distributed; hubs are summed up before the shuffle.
+    edges stay distributed; hubs are summed up before the shuffle. A round's labels are a table and not a checkpoint, as a
+    checkpoint keeps the estimated size of its plan, which would be multiplied by itself in each round.
     """
     ways = F.array(F.struct(F.col(u).alias("a"), F.col(v).alias("b")), F.struct(F.col(v).alias("a"), F.col(u).alias("b")))
-    both = cut(edges.filter(F.col(u) != F.col(v)).select(F.explode(ways).alias("_way")).select("_way.a", "_way.b").distinct())  # edges are evaluated once
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
-    while True:
+    both, path = stored(edges.filter(F.col(u) != F.col(v)).select(F.explode(ways).alias("_way")).select("_way.a", "_way.b").distinct())  # edges are evaluated once
+    labels, last = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    done = False
+    while not done:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         took = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("far"))
-        new = cut(took.join(jump, "c", "left").select("id", "was", F.least("c", F.coalesce("far", "c")).alias("component")))
-        labels = new.select("id", "component")
-        if not new.filter("was != component").limit(1).count():
-            return labels
-
-
-LONG_BINARY = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hashes", T.BinaryType())])
+        new, at = stored(took.join(jump, "c", "left").select("id", "was", F.least("c", F.coalesce("far", "c")).alias("component")))
+        done = new.filter("was != component").isEmpty()
+        removed(labels.sparkSession, last)
+        labels, last = new.select("id", "component"), at
+    labels = cut(labels)
+    removed(labels.sparkSession, last)
+    removed(labels.sparkSession, path)
+    return labels
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

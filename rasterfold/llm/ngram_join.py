@@ -3,7 +3,7 @@
 The incidence matrix has a row for each document and a column for each shingle. Two rows of a and b entries whose Jaccard
 similarity is at least num/den differ in at most k = floor((a + b) * (den - num) / (den + num)) entries. Columns are dealt
 by hash into k + 1 blocks, so such rows must agree entirely on one block at least: this bound, which depends on sizes alone,
-discards nearly all pairs before any product. Rows are compared only within size classes (a row's own class and the next),
+says which entries of the product are wanted. Rows are compared only within size classes (a row's own class and the next),
 where k is one number.
 
 Blocks with fewer than two entries say little, and many rows would agree on them. So E spare blocks are added: then linked
@@ -11,15 +11,19 @@ rows agree on E + 1 blocks at least. Blocks that agree are small in both rows or
 blocks may leave all of them out and still shares a block of two entries or more with each of its links. The few rows with
 more small blocks keep them.
 
-1. One pass over the texts gives each row's size, a digest of its set and a digest of each of its column blocks.
-2. Rows that agree on a block are paired with the smallest of them (a star), not with each other. Entries counted over column
-   ranges bound the differences of a pair from below; a pair beyond its own k is dropped. So do parity bits, about as many
-   as a row has entries, which also tell long rows apart. Only what passes both costs the product of two whole rows.
-3. Components of the pairs that meet the bound contract the blocks' groups. Groups that still hold more than one component
-   are compared exactly: in row blocks of at most ROW_BLOCK rows, only pairs of different components, discarding by size and
-   by the L1 distance of their counts per column range, which never exceeds the number of differences, and by
-   parity bits. What remains goes through the same product.
-So no link between different texts is lost and equal texts are never paired with each other.
+1. One pass over the texts gives each row's size, a digest of its set and a digest of each of its column blocks. Equal sets
+   count once from here on, as the smallest document that has them.
+2. Rows that agree on a block are paired with the smallest of them (a star), not with each other. Sizes, entries counted over
+   column ranges and parity bits (about as many as a row has entries) bound the differences of a pair from below; a pair
+   beyond its own k is dropped. The product of the others accumulates their overlap over column ranges; an entry is dropped
+   as soon as what it has and what the rows have left can't reach the size-derived count.
+3. Links contract the groups. In groups that still hold several components, rows outside of the group's largest component are
+   compared with the group, in row blocks. A task screens the pairs of its two row blocks that lie in different components,
+   and sends only a spanning forest of those that may link: fewer pairs than rows. Their products contract the groups again.
+4. Row blocks that sent something are looked at once more. Rows that still may link across components come with their entries,
+   their product is accumulated within the task, and again only a spanning forest of the links leaves it.
+So no link between different texts is lost, equal texts are never paired with each other, and what is sent of a group grows
+with its rows, not with its pairs.
 """
 
 from __future__ import annotations
@@ -34,12 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterfold.llm.common import BROADCAST_ROWS, LONG_BINARY, attach_groups, components, cut, documents_of, fresh_worker, mix, prepare, release, removed, shingle_set, stored, worker_store
+from rasterfold.llm.common import BROADCAST_ROWS, attach_groups, components, cut, documents_of, fresh_worker, mix, prepare, release, removed, shingle_set, stored, worker_store
 
 #: Column ranges in which a row's entries are counted (up to 255 each), and the wider ranges that are compared first.
 RANGES, WIDE = 128, 32
 #: Rows of a group that one task compares with as many others.
 ROW_BLOCK = 2000
+#: Bytes of the rows that one row block holds, at most (a single row may be larger).
+BLOCK_BYTES = 32 << 20
+#: Column ranges over which overlaps are accumulated, a power of two; entries and bytes that are handled at once.
+COLUMN_BLOCKS, PRODUCT_ENTRIES, PAIR_BYTES = 8, 2_000_000, 16 << 20
 #: Digests of sets that a task remembers, so that copies within it are emitted once.
 SEEN = 200_000
 
@@ -102,24 +110,82 @@ def parity_bits(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def flipped(x: bytes, y: bytes) -> int:
-    """Parity bits that differ: at most the number of differences of the two rows. The wider bits are folded to the other's width."""
-    if len(x) < len(y):
-        x, y = y, x
-    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x) * 8
-    while bits > len(y) * 8:
-        bits //= 2
-        a = (a >> bits) ^ (a & ((1 << bits) - 1))
-    return (a ^ b).bit_count()
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """The product of two sorted rows: the number of columns that both have."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int((b[at] == a).sum())
+class Parities:
+    """Parity bits of many rows, a matrix for each width."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.place = np.zeros(len(bits), np.int64)
+        self.matrix: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.matrix[w] = np.frombuffer(b"".join([bits[i] for i in own.tolist()]), np.uint64).reshape(len(own), -1)
+
+    def flipped(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits that differ between rows x and rows y: at most the number of differences of the two rows. Wider bits are folded to the other's width."""
+        out = np.zeros(len(x), np.int64)
+        both = self.width[x] * (1 << 40) + self.width[y]
+        for pair in np.unique(both).tolist():
+            wx, wy = divmod(pair, 1 << 40)
+            at = np.flatnonzero(both == pair)
+            step = max(1, PAIR_BYTES // (wx + wy))
+            for k in range(0, len(at), step):
+                own = at[k : k + step]
+                a, b = self.matrix[wx][self.place[x[own]]], self.matrix[wy][self.place[y[own]]]
+                while a.shape[1] != b.shape[1]:
+                    if a.shape[1] < b.shape[1]:
+                        a, b = b, a
+                    half = a.shape[1] // 2
+                    a = a[:, :half] ^ a[:, half:]
+                out[own] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        return out
+
+
+def linked(values: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which entries (a, b) of the sparse product of the matrix with its transpose meet the bound.
+
+    The matrix has the row values[ends[i] : ends[i + 1]], sorted, for each i. Overlaps are accumulated over COLUMN_BLOCKS column
+    ranges, for all entries together. An entry is dropped once its overlap and what is left of the shorter row can't reach
+    num/den, and accepted once it has.
+    """
+    out = np.zeros(len(a), bool)
+    if not len(values) or not len(a):
+        return out
+    columns, column = np.unique(values, return_inverse=True)
+    sizes = np.diff(ends)
+    key = np.repeat(np.arange(len(sizes)), sizes) * len(columns) + column
+    # Where the column ranges of each row start.
+    ranges = np.repeat(np.arange(len(sizes)), sizes) * COLUMN_BLOCKS + (values >> np.uint64(64 - COLUMN_BLOCKS.bit_length() + 1)).astype(np.int64)
+    parts = np.bincount(ranges, minlength=len(sizes) * COLUMN_BLOCKS).reshape(len(sizes), COLUMN_BLOCKS)
+    starts = np.concatenate([ends[:-1, None], ends[:-1, None] + parts.cumsum(1)], 1)
+    need = -(-num * (sizes[a] + sizes[b]) // (num + den))
+    alive = np.flatnonzero(np.minimum(sizes[a], sizes[b]) >= np.maximum(need, 1))
+    step = max(1, int(PRODUCT_ENTRIES * max(len(alive), 1) / max(int(sizes[a[alive]].sum()), 1)))
+    for at in range(0, len(alive), step):
+        own = alive[at : at + step]
+        count = np.zeros(len(own), np.int64)
+        for c in range(COLUMN_BLOCKS):
+            x, y = a[own], b[own]
+            n = starts[x, c + 1] - starts[x, c]
+            pair = np.repeat(np.arange(len(own)), n)
+            entry = np.arange(len(pair)) + np.repeat(starts[x, c] - (n.cumsum() - n), n)
+            wanted = column[entry] + y[pair] * len(columns)
+            found = np.searchsorted(key, wanted)
+            hit = key[np.minimum(found, len(key) - 1)] == wanted
+            count += np.bincount(pair[hit], minlength=len(own))
+            reached = count >= need[own]
+            out[own[reached]] = True
+            left = np.minimum(ends[x + 1] - starts[x, c + 1], ends[y + 1] - starts[y, c + 1])
+            stay = ~reached & (count + left >= need[own])
+            own, count = own[stay], count[stay]
+    return out
+
+
+def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row ends of rows given as bytes."""
+    ends = np.concatenate([[0], np.cumsum([len(r) // 8 for r in rows], dtype=np.int64)])
+    return np.frombuffer(b"".join(rows), np.uint64), ends
 
 
 def _set_digests(size: int, num: int, den: int):
@@ -157,20 +223,21 @@ def _set_digests(size: int, num: int, den: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch["doc_id"], "hashes": pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch["text"]], pa.binary())})
+            rows = [shingle_set(t.as_py(), size).tobytes() for t in batch["text"]]
+            yield pa.record_batch({"doc_id": batch["doc_id"], "digest": pa.array([xxhash.xxh3_64_intdigest(r) >> 1 for r in rows], pa.int64()), "hashes": pa.array(rows, pa.binary())})
 
     return run
 
 
 def _product(num: int, den: int):
+    """Products of the pairs of a batch: both ends' rows make the matrix, and the pairs are the entries wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = overlap(a, b)
-                keep.append(den * both >= num * (len(a) + len(b) - both))
-            yield pa.record_batch({"u": batch["u"], "v": batch["v"], "linked": pa.array(keep, pa.bool_())})
+            n = len(batch)
+            values, ends = matrix(batch["x"].to_pylist() + batch["y"].to_pylist())
+            keep = linked(values, ends, np.arange(n), np.arange(n, 2 * n), num, den)
+            yield pa.record_batch({"u": batch["u"], "v": batch["v"]}).filter(pa.array(keep))
 
     return run
 
@@ -193,58 +260,170 @@ def _near(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [flipped(x, y) <= differences(total, num, den) for x, y, total in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), batch["total"].to_pylist())]
-            yield pa.record_batch({"u": batch["u"], "v": batch["v"]}).filter(pa.array(keep, pa.bool_()))
+            n = len(batch)
+            flips = Parities(batch["x"].to_pylist() + batch["y"].to_pylist()).flipped(np.arange(n), np.arange(n, 2 * n))
+            yield pa.record_batch({"u": batch["u"], "v": batch["v"]}).filter(pa.array(flips <= differences(batch["total"].to_numpy(), num, den)))
 
     return run
 
 
-def _across(num: int, den: int):
-    """Pairs of different components in one group's pair of row blocks that sizes, range counts and parity bits don't rule out."""
+# ---- groups that stars don't join -------------------------------------------------------------
 
-    def run(group: pa.Table) -> pa.Table:
-        ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
-        side, total = group["side"].to_numpy(), group["n_shingles"].to_numpy()
-        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
-        wide = counts.reshape(len(ids), WIDE, -1).sum(2, dtype=np.int16)
-        parity = group["parity"].to_pylist()
+TILE = "block long, kind int, i int, j int"
+TILE_ROWS = f"{TILE}, side int, doc_id long, component long, n_shingles long, counts binary, parity binary"
+
+
+class Tile:
+    """A pair of row blocks of one group: which of its pairs in different components may link."""
+
+    def __init__(self, group: pa.Table, num: int, den: int) -> None:
+        self.group = group = group.sort_by("doc_id")
+        self.num, self.den = num, den
+        self.ids, self.total = group["doc_id"].to_numpy(), group["n_shingles"].to_numpy()
+        self.side = group["side"].to_numpy()
+        self.label = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        self.counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+        self.wide = self.counts.reshape(len(self.ids), WIDE, -1).sum(2, dtype=np.int16)
+        self.parities = Parities(group["parity"].to_pylist())
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows that sizes, range counts and parity bits don't rule out, in parts, the nearest of a part first; labels may be merged in between."""
+        total, side, counts, wide = self.total, self.side, self.counts, self.wide
         rows, cols = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        us, vs = [], []
         for at in range(0, len(rows), 32):
             i = rows[at : at + 32, None]
-            fits = (comp[i] != comp[cols]) & (np.minimum(total[i], total[cols]) * den >= np.maximum(total[i], total[cols]) * num) & ((side[i] != 0) | (ids[i] < ids[cols]))
-            fits &= np.abs(wide[i] - wide[cols]).sum(2) <= (total[i] + total[cols]) * (den - num) // (den + num)
+            fits = (self.label[i] != self.label[cols]) & (np.minimum(total[i], total[cols]) * self.den >= np.maximum(total[i], total[cols]) * self.num) & ((side[i] != 0) | (self.ids[i] < self.ids[cols]))
             x, y = np.nonzero(fits)
             x, y = i[x, 0], cols[y]
-            near = np.abs(counts[x] - counts[y]).sum(1) <= (total[x] + total[y]) * (den - num) // (den + num)
-            x, y = x[near], y[near]
-            close = np.fromiter((flipped(parity[a], parity[b]) <= differences(n, num, den) for a, b, n in zip(x.tolist(), y.tolist(), (total[x] + total[y]).tolist())), bool, len(x))
-            us.append(ids[x[close]])
-            vs.append(ids[y[close]])
-        u = np.concatenate(us) if us else np.zeros(0, np.int64)
-        v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            for screen in (wide, counts):
+                near = np.abs(screen[x] - screen[y]).sum(1) <= differences(total[x] + total[y], self.num, self.den)
+                x, y = x[near], y[near]
+            flips = self.parities.flipped(x, y)
+            near = flips <= differences(total[x] + total[y], self.num, self.den)
+            order = np.argsort(flips[near], kind="stable")
+            yield x[near][order], y[near][order]
+
+    def merged(self, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        """Merge the labels of these pairs; returns the pairs that were needed for it."""
+        out = []
+        for a, b in zip(x.tolist(), y.tolist()):
+            one, other = self.label[a], self.label[b]
+            if one != other:
+                self.label[self.label == other] = one
+                out.append((a, b))
+        return out
+
+    def edges(self, found: list[tuple[int, int]]) -> dict[str, np.ndarray]:
+        at = np.array(found, np.int64).reshape(-1, 2)
+        u, v = self.ids[at[:, 0]], self.ids[at[:, 1]]
+        return {"u": np.minimum(u, v), "v": np.maximum(u, v)}
+
+
+def _forest(num: int, den: int):
+    """A spanning forest of the pairs that may link, with the tile's key."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tile = Tile(group, num, den)
+        found = [pair for x, y in tile.pairs() for pair in tile.merged(x, y)]
+        key = {c: np.full(len(found), group[c][0].as_py()) for c in ("block", "kind", "i", "j")}
+        return pa.table({"block": pa.array(key["block"], pa.int64()), **{c: pa.array(key[c], pa.int32()) for c in ("kind", "i", "j")}, **tile.edges(found)})
 
     return run
 
 
-def _rows_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The rows of the incidence matrix that pairs need, from the texts."""
-    ends = cut(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+def _open_rows(num: int, den: int):
+    """The rows of a tile that may link across components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tile = Tile(group, num, den)
+        mark = np.zeros(len(group), bool)
+        for x, y in tile.pairs():
+            mark[x], mark[y] = True, True
+        return tile.group.filter(pa.array(mark))
+
+    return run
+
+
+def _forest_of_links(num: int, den: int):
+    """A spanning forest of the links across components, from the product within the tile."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tile = Tile(group, num, den)
+        values, ends = matrix(tile.group["hashes"].to_pylist())
+        found = []
+        for x, y in tile.pairs():
+            meets = linked(values, ends, x, y, num, den)
+            found += tile.merged(x[meets], y[meets])
+        return pa.table(tile.edges(found))
+
+    return run
+
+
+def _tiles(members: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """The tiles' rows of groups with several components: block, kind, i, j, side, doc_id, component.
+
+    Rows outside of the group's largest component (minor ones) are compared with each other (kind 0) and with the others (kind
+    1), each in row blocks, so a group that is one component but for a few rows is dealt out about once.
+    """
+    at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(rows.select("doc_id", "n_shingles"), "doc_id")
+    at = at.select("block", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
+    parts = at.groupBy("block", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    whole = parts.groupBy("block").agg(F.count("*").alias("_c"), F.max(F.struct("n", "s", "component")).alias("_big"), F.sum("n").alias("_n"), F.sum("s").alias("_s")).filter("_c > 1")
+
+    def blocks(n, s):
+        return F.greatest(F.ceil(n / ROW_BLOCK), F.ceil(s * 8 / BLOCK_BYTES)).cast("int")
+
+    big = F.col("_big")
+    whole = whole.select("block", big["component"].alias("_largest"), blocks(F.col("_n") - big["n"], F.col("_s") - big["s"]).alias("_m"), blocks(big["n"], big["s"]).alias("_k"))
+    rest = at.join(whole, "block").withColumn("_minor", F.col("component") != F.col("_largest"))
+    rest = rest.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.when(F.col("_minor"), F.col("_m")).otherwise(F.col("_k"))).cast("int"))
+
+    def places(n, f):
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+
+    def place(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    b = F.col("_b")
+    among = places("_m", lambda o: place(0, F.least(b, o), F.greatest(b, o), F.when(b == o, 0).when(b < o, 1).otherwise(2)))
+    to_major = places("_k", lambda o: place(1, b, o, F.lit(1)))
+    to_minor = places("_m", lambda o: place(1, o, b, F.lit(2)))
+    spread = F.explode(F.when(F.col("_minor"), F.concat(among, to_major)).otherwise(to_minor)).alias("_t")
+    return rest.select("block", "doc_id", "component", spread).select("block", "_t.kind", "_t.i", "_t.j", "_t.side", "doc_id", "component")
+
+
+# ---- the join ---------------------------------------------------------------------------------
+
+
+def _rows_of(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """The rows of the incidence matrix of the documents in ends, from the texts."""
+    ends = cut(ends.distinct())
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    return cut(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), LONG_BINARY).dropDuplicates(["doc_id"]))
+    return cut(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, digest long, hashes binary").dropDuplicates(["doc_id", "digest"]))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v"))
+
+
+def _attached(pairs: DataFrame, rows: DataFrame, *names: tuple[str, str, str]) -> DataFrame:
+    """Columns of both ends; each name is (column, its name for u, its name for v)."""
+    for end, k in (("u", 1), ("v", 2)):
+        pairs = pairs.join(rows.select(F.col("doc_id").alias(end), *[F.col(n[0]).alias(n[k]) for n in names]), end)
+    return pairs
 
 
 def _screened(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    x = pairs.join(rows.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("parity").alias("x")), "u")
-    y = x.join(rows.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("parity").alias("y")), "v")
-    return cut(y.select("u", "v", (F.col("n") + F.col("m")).alias("total"), "x", "y").mapInArrow(_near(num, den), "u long, v long"))
+    counted = _attached(pairs, rows, ("n_shingles", "n", "m"), ("counts", "x", "y"))
+    likely = cut(counted.select("u", "v", "n", "m", "x", "y").mapInArrow(_plausible(num, den), "u long, v long"))
+    both = _attached(likely, rows, ("n_shingles", "n", "m"), ("parity", "x", "y"))
+    return cut(both.select("u", "v", (F.col("n") + F.col("m")).alias("total"), "x", "y").mapInArrow(_near(num, den), "u long, v long"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    x = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("x")), "u")
-    y = x.join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("y")), "v")
-    return y.select("u", "v", "x", "y").mapInArrow(_product(num, den), "u long, v long, linked boolean")
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs that link, by the product of their whole rows."""
+    both = _attached(pairs, _rows_of(docs, _ends(pairs), size), ("hashes", "x", "y"))
+    return cut(both.select("u", "v", "x", "y").mapInArrow(_product(num, den), "u long, v long"))
 
 
 def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -252,48 +431,47 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     Words are runs of non-blank characters after lower-casing A-Z. Fewer than `size` words: the whole sequence is the one
     shingle. Null text, empty text and text without words: an empty set, linked with nothing, its own component. Copies share
-    a component. Repeated doc_ids count as one document per row in the output. Empty table: no rows. Other columns are ignored.
+    a component. A doc_id that repeats gives each of its rows; with different texts it is linked with whatever any of them
+    links with. A null doc_id is linked with nothing and its component is null. Empty table: no rows. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     docs = documents_of(docs)
     found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, counts binary, parity binary, blocks array<long>")
     own = cut(found.select("doc_id", "n_shingles", "set_digest", "counts", "parity"))
-    # One row of each doc_id, for joins by it.
-    rows = own.filter("counts is not null").select("doc_id", "n_shingles", "counts", "parity").dropDuplicates(["doc_id"])
+    sets = own.filter("set_digest is not null and doc_id is not null")
+    rows = sets.select("doc_id", "n_shingles", "set_digest", "counts", "parity").dropDuplicates(["doc_id", "set_digest"]).drop("set_digest")
+    # Copies: each with the smallest document of its set, which stands for all of them.
+    copies = sets.groupBy("set_digest").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("_last"), F.count("*").alias("group_size"))
+    copies = cut(copies.filter("u != _last").drop("_last"))
+    same = cut(attach_groups(sets.select("set_digest", F.col("doc_id").alias("v")), copies, "set_digest", "group_size", own.count()).filter("u != v").select("u", "v").distinct())
+
+    def standing(df: DataFrame, name: str) -> DataFrame:
+        return df.join(same.select(F.col("v").alias(name), F.col("u").alias("_s")), name, "left").withColumn(name, F.coalesce("_s", name)).drop("_s")
+
     # Members of blocks that several rows share, with the smallest of them.
-    members = found.select("doc_id", F.explode("blocks").alias("block"))
+    members = found.filter("doc_id is not null").select("doc_id", F.explode("blocks").alias("block"))
     by_block = Window.partitionBy("block")
     shared = members.select("block", "doc_id", F.min("doc_id").over(by_block).alias("center"), F.max("doc_id").over(by_block).alias("_last"), F.count("*").over(by_block).alias("n"))
     # A group of two is its star alone: its one pair is kept, and not its block.
-    shared, path = stored(shared.filter("center != _last and (n > 2 or doc_id != center)").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center", "n"))
+    shared, path = stored(shared.filter("center != _last and (n > 2 or doc_id != center)").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center"))
     del found, members
     release(spark)
-    star = cut(shared.filter("doc_id != center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct())
-    x = star.join(rows.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("counts").alias("x")), "u")
-    y = x.join(rows.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("counts").alias("y")), "v")
-    likely = cut(y.select("u", "v", "n", "m", "x", "y").mapInArrow(_plausible(num, den), "u long, v long"))
-    likely = _screened(likely, rows, num, den)
-    sets = _rows_of(docs, likely, size)
-    checked = cut(_verified(likely, sets, num, den))
-    links = checked.filter("linked").select("u", "v")
-    first = components(links)
-    # Groups that one star didn't join; in a group of two the star was the only pair.
-    at = shared.filter("n > 2").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("block", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    open_ = at.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("block")
-    rest = at.join(open_, "block")
-    parts = F.ceil(F.col("n") / ROW_BLOCK).cast("int")
-    rest = rest.withColumn("_k", parts).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
-    rest = rest.select("block", "doc_id", "component", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
-    rest = rest.select("block", "doc_id", "component", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), F.when(F.col("_b") == F.col("_o"), 0).when(F.col("_b") < F.col("_o"), 1).otherwise(2).alias("side"))
-    rest = rest.join(rows, "doc_id")
-    pairs = rest.groupBy("block", "i", "j").applyInArrow(_across(num, den), "u long, v long").distinct()
-    pairs = pairs.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    pairs = cut(pairs)
+    star = standing(standing(shared.filter("doc_id != center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct(), "u"), "v")
+    star = cut(star.filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    links = _verified(_screened(star, rows, num, den), docs, size, num, den)
+    groups, path2 = stored(standing(shared.filter("block is not null").select("block", "doc_id"), "doc_id").distinct())
     removed(spark, path)
-    more = _verified(pairs, _rows_of(docs, pairs, size), num, den).filter("linked").select("u", "v")
-    # Copies: each with the smallest row of its set.
-    copies = own.filter("set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("_last"), F.count("*").alias("group_size"))
-    copies = cut(copies.filter("u != _last").drop("_last"))
-    same = attach_groups(own.filter("set_digest is not null").select("set_digest", F.col("doc_id").alias("v")), copies, "set_digest", "group_size", own.count()).filter("u != v").select("u", "v")
-    last = components(links.unionByName(more).unionByName(same))
-    return own.join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # First a spanning forest of what may link in each tile, then, in tiles that sent one, of what links.
+    tiles = _tiles(groups, components(links), rows).join(rows, "doc_id")
+    key = ["block", "kind", "i", "j"]
+    forest = cut(tiles.groupBy(*key).applyInArrow(_forest(num, den), f"{TILE}, u long, v long"))
+    links = links.unionByName(_verified(forest.select("u", "v").distinct(), docs, size, num, den)).unionByName(same)
+    labels = components(links)
+    again = tiles.drop("component").join(forest.select(*key).distinct(), key, "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    again = again.select(*key, "side", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "counts", "parity")
+    open_ = cut(again.groupBy(*key).applyInArrow(_open_rows(num, den), TILE_ROWS))
+    more = open_.join(_rows_of(docs, open_.select("doc_id"), size).drop("digest"), "doc_id").groupBy(*key).applyInArrow(_forest_of_links(num, den), "u long, v long")
+    more = cut(more.distinct())
+    removed(spark, path2)
+    labels = labels if more.isEmpty() else components(links.unionByName(more))
+    return own.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
