@@ -46,6 +46,8 @@ RANGES, WIDE = 128, 32
 ROW_BLOCK = 2000
 #: Bytes of the rows that one row block holds, at most (a single row may be larger).
 BLOCK_BYTES = 32 << 20
+#: Rows of small tiles that one call handles together; pairs that it looks at together.
+TASK_ROWS, PAIRS = 4000, 100_000
 #: Column ranges over which overlaps are accumulated, a power of two; entries and bytes that are handled at once.
 COLUMN_BLOCKS, PRODUCT_ENTRIES, PAIR_BYTES = 8, 2_000_000, 16 << 20
 #: Digests of sets that a task remembers, so that copies within it are emitted once.
@@ -270,32 +272,47 @@ def _near(num: int, den: int):
 # ---- groups that stars don't join -------------------------------------------------------------
 
 TILE = "block long, kind int, i int, j int"
-TILE_ROWS = f"{TILE}, side int, doc_id long, component long, n_shingles long, counts binary, parity binary"
+TILE_KEY = ["block", "kind", "i", "j"]
+TILE_ROWS = f"bucket int, {TILE}, side int, doc_id long, component long, n_shingles long, counts binary, parity binary"
 
 
-class Tile:
-    """A pair of row blocks of one group: which of its pairs in different components may link."""
+class Tiles:
+    """Pairs of row blocks of groups: which pairs of rows in different components may link. A task sees many small ones at once."""
 
     def __init__(self, group: pa.Table, num: int, den: int) -> None:
-        self.group = group = group.sort_by("doc_id")
+        self.group = group = group.sort_by([(c, "ascending") for c in (*TILE_KEY, "doc_id")])
         self.num, self.den = num, den
         self.ids, self.total = group["doc_id"].to_numpy(), group["n_shingles"].to_numpy()
         self.side = group["side"].to_numpy()
-        self.label = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        keys = np.stack([group[c].to_numpy() for c in TILE_KEY], 1)
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
+        self.tile = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        self.start, self.end = starts[self.tile], np.append(starts[1:], len(keys))[self.tile]
+        component = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        self.label = np.unique(self.tile * len(keys) + component, return_inverse=True)[1]
         self.counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
         self.wide = self.counts.reshape(len(self.ids), WIDE, -1).sum(2, dtype=np.int16)
         self.parities = Parities(group["parity"].to_pylist())
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows that sizes, range counts and parity bits don't rule out, in parts, the nearest of a part first; labels may be merged in between."""
-        total, side, counts, wide = self.total, self.side, self.counts, self.wide
-        rows, cols = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        for at in range(0, len(rows), 32):
-            i = rows[at : at + 32, None]
-            fits = (self.label[i] != self.label[cols]) & (np.minimum(total[i], total[cols]) * self.den >= np.maximum(total[i], total[cols]) * self.num) & ((side[i] != 0) | (self.ids[i] < self.ids[cols]))
-            x, y = np.nonzero(fits)
-            x, y = i[x, 0], cols[y]
-            for screen in (wide, counts):
+        total, side = self.total, self.side
+        rows = np.flatnonzero(side != 2)
+        before = np.concatenate([[0], np.cumsum(self.end[rows] - self.start[rows])])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, side="right")) - 1)
+            own = rows[at:to]
+            n = self.end[own] - self.start[own]
+            x = np.repeat(own, n)
+            y = np.arange(len(x)) + np.repeat(self.start[own] - (n.cumsum() - n), n)
+            at = to
+            fits = (side[y] != 1) & (self.label[x] != self.label[y]) & ((side[x] != 0) | (self.ids[x] < self.ids[y]))
+            x, y = x[fits], y[fits]
+            fits = np.minimum(total[x], total[y]) * self.den >= np.maximum(total[x], total[y]) * self.num
+            x, y = x[fits], y[fits]
+            for screen in (self.wide, self.counts):
                 near = np.abs(screen[x] - screen[y]).sum(1) <= differences(total[x] + total[y], self.num, self.den)
                 x, y = x[near], y[near]
             flips = self.parities.flipped(x, y)
@@ -309,7 +326,8 @@ class Tile:
         for a, b in zip(x.tolist(), y.tolist()):
             one, other = self.label[a], self.label[b]
             if one != other:
-                self.label[self.label == other] = one
+                own = self.label[self.start[a] : self.end[a]]
+                own[own == other] = one
                 out.append((a, b))
         return out
 
@@ -320,41 +338,41 @@ class Tile:
 
 
 def _forest(num: int, den: int):
-    """A spanning forest of the pairs that may link, with the tile's key."""
+    """A spanning forest of the pairs that may link, with their tile's key."""
 
     def run(group: pa.Table) -> pa.Table:
-        tile = Tile(group, num, den)
-        found = [pair for x, y in tile.pairs() for pair in tile.merged(x, y)]
-        key = {c: np.full(len(found), group[c][0].as_py()) for c in ("block", "kind", "i", "j")}
-        return pa.table({"block": pa.array(key["block"], pa.int64()), **{c: pa.array(key[c], pa.int32()) for c in ("kind", "i", "j")}, **tile.edges(found)})
+        tiles = Tiles(group, num, den)
+        found = [pair for x, y in tiles.pairs() for pair in tiles.merged(x, y)]
+        key = tiles.group.select(TILE_KEY).take(pa.array([a for a, _ in found], pa.int64()))
+        return pa.table({c: key[c] for c in TILE_KEY} | tiles.edges(found))
 
     return run
 
 
 def _open_rows(num: int, den: int):
-    """The rows of a tile that may link across components."""
+    """The rows that may link across components of a tile."""
 
     def run(group: pa.Table) -> pa.Table:
-        tile = Tile(group, num, den)
+        tiles = Tiles(group, num, den)
         mark = np.zeros(len(group), bool)
-        for x, y in tile.pairs():
+        for x, y in tiles.pairs():
             mark[x], mark[y] = True, True
-        return tile.group.filter(pa.array(mark))
+        return tiles.group.filter(pa.array(mark))
 
     return run
 
 
 def _forest_of_links(num: int, den: int):
-    """A spanning forest of the links across components, from the product within the tile."""
+    """A spanning forest of the links across components, from the product within a tile."""
 
     def run(group: pa.Table) -> pa.Table:
-        tile = Tile(group, num, den)
-        values, ends = matrix(tile.group["hashes"].to_pylist())
+        tiles = Tiles(group, num, den)
+        values, ends = matrix(tiles.group["hashes"].to_pylist())
         found = []
-        for x, y in tile.pairs():
+        for x, y in tiles.pairs():
             meets = linked(values, ends, x, y, num, den)
-            found += tile.merged(x[meets], y[meets])
-        return pa.table(tile.edges(found))
+            found += tiles.merged(x[meets], y[meets])
+        return pa.table(tiles.edges(found))
 
     return run
 
@@ -437,7 +455,8 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     spark = prepare(docs.sparkSession)
     docs = documents_of(docs)
     found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, counts binary, parity binary, blocks array<long>")
-    own = cut(found.select("doc_id", "n_shingles", "set_digest", "counts", "parity"))
+    found, path3 = stored(found)
+    own = found.select("doc_id", "n_shingles", "set_digest", "counts", "parity")
     sets = own.filter("set_digest is not null and doc_id is not null")
     rows = sets.select("doc_id", "n_shingles", "set_digest", "counts", "parity").dropDuplicates(["doc_id", "set_digest"]).drop("set_digest")
     # Copies: each with the smallest document of its set, which stands for all of them.
@@ -454,7 +473,6 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     shared = members.select("block", "doc_id", F.min("doc_id").over(by_block).alias("center"), F.max("doc_id").over(by_block).alias("_last"), F.count("*").over(by_block).alias("n"))
     # A group of two is its star alone: its one pair is kept, and not its block.
     shared, path = stored(shared.filter("center != _last and (n > 2 or doc_id != center)").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center"))
-    del found, members
     release(spark)
     star = standing(standing(shared.filter("doc_id != center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct(), "u"), "v")
     star = cut(star.filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -462,16 +480,20 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     groups, path2 = stored(standing(shared.filter("block is not null").select("block", "doc_id"), "doc_id").distinct())
     removed(spark, path)
     # First a spanning forest of what may link in each tile, then, in tiles that sent one, of what links.
-    tiles = _tiles(groups, components(links), rows).join(rows, "doc_id")
-    key = ["block", "kind", "i", "j"]
-    forest = cut(tiles.groupBy(*key).applyInArrow(_forest(num, den), f"{TILE}, u long, v long"))
+    places, path4 = stored(_tiles(groups, components(links), rows))
+    bucket = F.pmod(F.xxhash64(*TILE_KEY), F.lit(-(-places.count() // TASK_ROWS) + 1)).cast("int").alias("bucket")
+    tiles = places.select(bucket, "*").join(rows, "doc_id")
+    forest = cut(tiles.groupBy("bucket").applyInArrow(_forest(num, den), f"{TILE}, u long, v long"))
     links = links.unionByName(_verified(forest.select("u", "v").distinct(), docs, size, num, den)).unionByName(same)
     labels = components(links)
-    again = tiles.drop("component").join(forest.select(*key).distinct(), key, "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    again = again.select(*key, "side", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "counts", "parity")
-    open_ = cut(again.groupBy(*key).applyInArrow(_open_rows(num, den), TILE_ROWS))
-    more = open_.join(_rows_of(docs, open_.select("doc_id"), size).drop("digest"), "doc_id").groupBy(*key).applyInArrow(_forest_of_links(num, den), "u long, v long")
+    again = places.select(bucket, "*").drop("component").join(forest.select(*TILE_KEY).distinct(), TILE_KEY, "left_semi").join(rows, "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    again = again.select("bucket", *TILE_KEY, "side", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "counts", "parity")
+    open_ = cut(again.groupBy("bucket").applyInArrow(_open_rows(num, den), TILE_ROWS))
+    more = open_.join(_rows_of(docs, open_.select("doc_id"), size).drop("digest"), "doc_id").groupBy("bucket").applyInArrow(_forest_of_links(num, den), "u long, v long")
     more = cut(more.distinct())
-    removed(spark, path2)
+    for at in (path2, path4):
+        removed(spark, at)
     labels = labels if more.isEmpty() else components(links.unionByName(more))
-    return own.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = cut(own.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    removed(spark, path3)
+    return out
