@@ -1,10 +1,13 @@
 """Op 2: packing token sequences by the configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits in one sequence. The covering program (fewest configurations so that every
-length is covered as often as it occurs) is solved by multiplicative weights: each round prices lengths by their weights and
-an unbounded-knapsack dynamic program finds the configuration of highest price; weights of what it covers fall. The weighted
-configurations are rounded down to whole ones and the rest is packed best-fit decreasing over the histogram. The histogram
-has at most `capacity` entries, so this part is the same size for any corpus; only assigning pieces to places is distributed.
+length is covered as often as it occurs) is solved by multiplicative weights: each round prices lengths by their weights, and
+an unbounded-knapsack dynamic program over the capacity gives the highest price of a configuration. The same table yields a
+configuration of (nearly) that price for each length still uncovered; it is taken a whole number of times, at most the supply,
+so the solution is rounded down as it grows. Weights of what is covered fall. Each round's prices are a solution of the dual
+program, and the best of them bounds the number of sequences from below. The little that is left is packed best-fit
+decreasing; if best fit alone needs fewer sequences, its packing is kept. The histogram has at most `capacity` entries, so
+this part is the same size for any corpus; only assigning pieces to places is distributed.
 """
 
 from __future__ import annotations
@@ -109,30 +112,37 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int
 # ---- the program ------------------------------------------------------------------------------
 
 
-def _knapsack(lengths: np.ndarray, price: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of highest price; none holds more of a length than occurs."""
+def _prices(size: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """The highest price that fits in each capacity (an unbounded knapsack)."""
     best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1, np.int64)
-    for c in range(1, capacity + 1):
-        m = int(np.searchsorted(lengths, c, side="right"))
-        if best[c - 1] > 0:
-            best[c] = best[c - 1]
-        if m:
-            value = price[:m] + best[c - lengths[:m]]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], took[c] = value[i], i
-    used: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        i = int(took[c])
-        if i < 0:
-            c -= 1
-            continue
-        if used.get(i, 0) < counts[i]:
-            used[i] = used.get(i, 0) + 1
-        c -= int(lengths[i])
-    return used
+    fits = np.searchsorted(size, np.arange(capacity + 1), side="right")
+    for c in range(int(size[0]), capacity + 1):
+        m = fits[c]
+        best[c] = max(best[c - 1], (price[:m] + best[c - size[:m]]).max())
+    return best
+
+
+def _configuration(first: int, size: np.ndarray, price: np.ndarray, best: np.ndarray, left: np.ndarray, capacity: int, slack: float) -> dict[int, int] | None:
+    """A configuration with `first` in it, whose price is the highest but for `slack`; of lengths that serve, the largest that is left."""
+    used = {first: 1}
+    left[first] -= 1
+    c = capacity - int(size[first])
+    slack -= best[capacity] - price[first] - best[c]
+    while slack >= 0 and best[c] > 0:
+        m = int(np.searchsorted(size, c, side="right"))
+        loss = best[c] - price[:m] - best[c - size[:m]]
+        serve = np.flatnonzero((loss <= slack) & (left[:m] > 0))
+        if not len(serve):
+            slack -= best[c]
+            break
+        i = int(serve[-1])
+        slack -= max(float(loss[i]), 0.0)
+        used[i] = used.get(i, 0) + 1
+        left[i] -= 1
+        c -= int(size[i])
+    for i, n in used.items():
+        left[i] += n
+    return used if slack >= 0 else None
 
 
 def _fill(used: dict[int, int], lengths: list[int], left: np.ndarray, capacity: int) -> int:
@@ -148,39 +158,9 @@ def _fill(used: dict[int, int], lengths: list[int], left: np.ndarray, capacity:
     return free
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = 150, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """Configurations ({length: times}, sequences) that hold each length exactly as often as the histogram says."""
-    lengths = sorted(histogram)
-    if not lengths:
-        return []
-    size, counts = np.array(lengths), np.array([histogram[x] for x in lengths], np.int64)
-    # Multiplicative weights on the covering program: a length's weight falls with the share of it that is covered.
-    weight = size * counts / (size * counts).sum()
-    solution: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    for _ in range(rounds if counts.sum() > 1 else 0):
-        used = _knapsack(size, weight / counts, counts, capacity)
-        _fill(used, lengths, counts, capacity)
-        if not used:
-            break
-        index, times = np.array(list(used)), np.array(list(used.values()))
-        step = float((counts[index] / times).min())
-        key = tuple(sorted(used.items()))
-        solution[key] = solution.get(key, 0.0) + step
-        share = step * times / counts[index]
-        covered[index] += share
-        weight[index] *= np.exp(-rate * share)
-        weight /= weight.sum()
-    least = covered[covered > 0].mean() if (covered > 0).any() else 1.0
-    left, out = counts.copy(), []
-    for key, x in sorted(solution.items(), key=lambda kv: (-kv[1], kv[0])):
-        whole = min([int(x / least), *(int(left[i]) // n for i, n in key)])
-        # Only configurations that are full are kept whole; the others' items go with the rest.
-        if whole > 0 and capacity - sum(lengths[i] * n for i, n in key) <= capacity // 1000:
-            for i, n in key:
-                left[i] -= whole * n
-            out.append((dict(key), whole))
-    # The rest, largest first: a sequence takes the largest that still fit, and is repeated while the supply lasts.
+def _best_fit(lengths: list[int], left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Largest first: a sequence takes the largest that still fit, and is repeated while the supply lasts. Empties `left`."""
+    out = []
     i = len(lengths) - 1
     while i >= 0:
         if left[i] == 0:
@@ -192,6 +172,47 @@ def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = 150,
         for j, n in used.items():
             left[j] -= n * times
         out.append((used, times))
+    return out
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int = 5, rate: float = 0.5, report: dict | None = None) -> list[tuple[dict[int, int], int]]:
+    """Configurations ({length: times}, sequences) that hold each length exactly as often as the histogram says.
+
+    `report` receives sequences, bound (the best dual value, which no packing undercuts), share (of the tokens that lie in
+    configurations of the program and not in the best-fit rest) and rounds.
+    """
+    lengths = sorted(histogram)
+    if not lengths:
+        return []
+    size, counts = np.array(lengths), np.array([histogram[x] for x in lengths], np.int64)
+    tokens = int((size * counts).sum())
+    left, weight = counts.copy(), np.ones(len(lengths))
+    out, bound, taken, done = [], 0.0, 0, 0
+    while done < rounds and left.any():
+        # Any prices, over the highest price of a configuration, are a solution of the dual program.
+        price = size * weight / capacity
+        best = _prices(size, price, capacity)
+        bound = max(bound, float((price * counts).sum() / best[capacity]))
+        # Configurations within a slack of the highest price, longest lengths first, each as often as the supply lasts.
+        slack = 1e-9 + (0.0, 0.0005, 0.002, 0.008)[min(done, 3)] * best[capacity]
+        for i in range(len(lengths) - 1, -1, -1):
+            while left[i] > 0 and (used := _configuration(i, size, price, best, left, capacity, slack)):
+                times = min(int(left[j]) // n for j, n in used.items())
+                for j, n in used.items():
+                    left[j] -= n * times
+                    taken += n * times * lengths[j]
+                out.append((used, times))
+        done += 1
+        # What is covered loses weight, so that the next prices ask for what is left.
+        weight *= np.exp(-rate * (1 - left / counts))
+        if (size * left).sum() < max(capacity, tokens // 100):
+            break
+    out += _best_fit(lengths, left, capacity)
+    greedy = _best_fit(lengths, counts.copy(), capacity)
+    if sum(n for _, n in greedy) < sum(n for _, n in out):
+        out, taken = greedy, 0
+    if report is not None:
+        report |= {"sequences": sum(n for _, n in out), "bound": bound, "share": taken / tokens, "rounds": done}
     return [({lengths[i]: n for i, n in used.items()}, times) for used, times in out]
 
 
@@ -210,7 +231,7 @@ def places(configurations: list[tuple[dict[int, int], int]]) -> list[tuple[int,
     return runs
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 4096, rounds: int = 150) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 4096, rounds: int = 5) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to capacity).
 
     Sequences number from 0; offsets within one leave no gap. Rows of the same length are interchangeable; the histogram and
@@ -234,7 +255,7 @@ def _last_run(runs, rank):
     return F.element_at(F.filter(runs, lambda r: r["first"] <= rank), -1)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False, rounds: int = 150) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False, rounds: int = 5) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset.
 
     Null and empty texts are one piece of the end id alone. Only documents over capacity are cut. Repeated rows are each packed;
