@@ -6,6 +6,7 @@ import re
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,9 +106,10 @@ def fresh_worker(keep: str = "") -> None:
         gc.enable()
     if others:
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 # ---- words and shingles, in numpy -------------------------------------------------------------

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from rasterfold.llm.common import table
 
 #: Categories of the chain, in order; see toxic_labels.
-CATEGORIES = ["toxic_junk", "toxic_prose", "toxic"]
+CATEGORIES = ["low_quality", "toxic"]
 
 
 def toxic_labels(labels: DataFrame) -> DataFrame:
-    """labels has one toxicity mark and one quality mark; together they give three categories: toxic junk, toxic prose, toxic."""
-    toxic, good = F.coalesce(F.col("toxic"), F.lit(0)), F.coalesce(F.col("quality"), F.lit(0))
-    return labels.select("doc_id", (toxic * (1 - good)).alias("toxic_junk"), (toxic * good).alias("toxic_prose"), toxic.alias("toxic"))
+    """The two marks that labels has, as categories: low quality (quality marked 0) and toxic. A mark that is null counts as neither."""
+    return labels.select("doc_id", (1 - F.coalesce(F.col("quality"), F.lit(1))).alias("low_quality"), F.coalesce(F.col("toxic"), F.lit(0)).alias("toxic"))
 
 
 def tokenizer_path(name: str) -> str:

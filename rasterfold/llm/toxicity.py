@@ -1,9 +1,9 @@
 """Op 8: toxicity categories by a classifier chain of linear models.
 
-Categories are predicted one after the other; the log-odds that earlier models give are inputs of the later ones. While the
-later ones are trained, those inputs are out-of-fold: each training row's come from models that haven't seen it. The other
-inputs are marks of presence for words and word beginnings, the ones most associated with a category in a bounded sample of
-labelled documents; a beginning has a mark for each of LEVELS, if so many distinct words of the text start with it. Scoring
+Categories are predicted one after the other; the probabilities that earlier models give are inputs of the later ones. While
+the later ones are trained, those inputs are out-of-fold: each training row's come from models that haven't seen it, over inputs
+chosen without it. The other inputs are marks of presence for words and word beginnings, by default the ones most associated
+with a category in a bounded sample of labelled documents (or all of them, with inputs=None); a beginning has a mark for each of LEVELS, if so many distinct words of the text start with it. Scoring
 looks each distinct word of a whole text up once.
 """
 
@@ -16,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterfold.llm.common import cut, documents_of, fresh_worker, prepare
 from rasterfold.llm.quality import sampled
 
-#: Labelled documents that a chain is fitted on, at most, and inputs that it looks at, at most.
+#: Labelled documents that a chain is fitted on, at most, and inputs that a model of it looks at, unless told otherwise.
 SAMPLE, INPUTS = 15_000, 2000
 FOLDS, ROUNDS, L2 = 4, 250, 2e-4
 STARTS, LEVELS = (3, 4, 5, 6, 7), (1, 2, 3, 5)
@@ -90,30 +90,37 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndar
     return w
 
 
-def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, folds: np.ndarray, width: int) -> list[np.ndarray]:
-    """A weight vector for each column of labels, in order; the k-th has k extra inputs."""
+def probability(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, n: int, width: int) -> np.ndarray:
+    return 1 / (1 + np.exp(-(np.bincount(rows, w[cols], n) + extra @ w[width:-1] + w[-1])))
+
+
+def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, folds: np.ndarray, allowed: np.ndarray) -> list[np.ndarray]:
+    """A weight vector for each column of labels, in order; the k-th has k extra inputs, the earlier probabilities.
+
+    allowed[f] marks the inputs chosen without fold f, allowed[FOLDS] those of the model itself.
+    """
     n, k = labels.shape
+    width = allowed.shape[1]
     extra, weights = np.zeros((n, 0)), []
     for c in range(k):
-        weights.append(fit_linear(rows, cols, extra, labels[:, c], width))
+        keep = allowed[FOLDS][cols]
+        weights.append(fit_linear(rows[keep], cols[keep], extra, labels[:, c], width))
         out = np.zeros(n)
         for f in range(FOLDS):
             inside = folds != f
             at = np.cumsum(inside) - 1
-            keep = inside[rows]
+            keep = inside[rows] & allowed[f][cols]
             w = fit_linear(at[rows[keep]], cols[keep], extra[inside], labels[inside, c], width)
-            z = np.bincount(rows, w[cols], n) + extra @ w[width:-1] + w[-1]
-            out[~inside] = z[~inside]
-        extra = np.column_stack([extra, np.clip(out, -8, 8)])
+            out[~inside] = probability(w, rows, cols, extra, n, width)[~inside]
+        extra = np.column_stack([extra, out])
     return weights
 
 
 def chain_scores(weights: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, n: int, width: int) -> np.ndarray:
     extra = np.zeros((n, 0))
     for w in weights:
-        z = np.bincount(rows, w[cols], n) + extra @ w[width:-1] + w[-1]
-        extra = np.column_stack([extra, np.clip(z, -8, 8)])
-    return 1 / (1 + np.exp(-extra))
+        extra = np.column_stack([extra, probability(w, rows, cols, extra, n, width)])
+    return extra
 
 
 def _score(chosen: list[int], weights: list[np.ndarray], names: list[str]):
@@ -149,12 +156,14 @@ def _score(chosen: list[int], weights: list[np.ndarray], names: list[str]):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], threshold: float = 0.5, sample: int = SAMPLE, inputs: int = INPUTS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], threshold: float = 0.5, sample: int = SAMPLE, inputs: int | None = INPUTS) -> DataFrame:
     """doc_id, p_<category> for each category in chain order, toxic (the last category's probability reaches the threshold).
 
     `labels` has doc_id and a 0/1 column for each category. Null labels count as 0; labels of absent documents teach nothing;
-    without labels nothing is toxic. Null, empty and wordless texts have no inputs and get the bias alone. Repeated rows are
-    each scored; an empty table gives no rows; other columns are ignored.
+    without labels nothing is toxic. `inputs` is how many marks each model may look at, the most associated ones; None lets it
+    look at every mark that two documents of the sample share. Null, empty and wordless texts have no inputs and get the bias
+    alone. A text that repeats with the same labels counts once in the sample. Repeated rows are each scored; an empty table
+    gives no rows; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     docs = documents_of(docs)
@@ -165,29 +174,44 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], th
     known = docs.join(F.broadcast(marks), "doc_id").withColumn("copy", F.xxhash64("text", *ys))
     first = cut(known.groupBy("copy").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     known = docs.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"])
-    rows = cut(known.select("doc_id", "text").mapInArrow(_inputs, "doc_id long, inputs array<long>").join(F.broadcast(marks), "doc_id"))
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
-    n = totals["n"]
-    counts = rows.select(F.explode("inputs").alias("input"), *ys).groupBy("input").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).filter("n > 1")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = cut(known.select("doc_id", "text").mapInArrow(_inputs, "doc_id long, inputs array<long>").join(F.broadcast(marks), "doc_id").select("doc_id", "inputs", *ys, fold))
 
-    def surprise(y: str):
-        """(Observed - expected) squared over the variance, for inputs that the category has more often than expected; others tell little."""
-        p = min(max((totals[y] or 0) / max(n, 1), 1e-6), 1 - 1e-6)
-        return F.pow(F.greatest(F.col(y) - F.col("n") * p, F.lit(0.0)), 2) / (F.col("n") * p * (1 - p) + 1)
+    # Sums over all rows (fold FOLDS) and over the rows outside of each fold.
+    def sums(f: int) -> list[Column]:
+        inside = F.lit(1) if f == FOLDS else (F.col("fold") != f).cast("int")
+        return [F.sum(inside).alias(f"n{f}"), *[F.sum(F.col(y) * inside).alias(f"{y}_{f}") for y in ys]]
 
-    best = cut(counts.select("input", F.greatest(*[surprise(y) for y in ys], F.lit(0.0)).alias("s")).orderBy(F.desc("s"), "input").limit(inputs).select("input"))
-    chosen = sorted(r["input"] for r in best.collect())
-    # Both are bounded: the sample's labels and, for each of its documents, at most `inputs` marks.
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold")
+    totals = rows.agg(*[x for f in range(FOLDS + 1) for x in sums(f)]).first()
+    counts = rows.select(F.explode("inputs").alias("input"), "fold", *ys).groupBy("input").agg(*[x for f in range(FOLDS + 1) for x in sums(f)]).filter(f"n{FOLDS} > 1")
+
+    def surprise(y: str, f: int) -> Column:
+        """(Observed - expected) squared over the variance, for inputs that the category has more often than expected; others tell little."""
+        p = min(max((totals[f"{y}_{f}"] or 0) / max(totals[f"n{f}"] or 0, 1), 1e-6), 1 - 1e-6)
+        n = F.col(f"n{f}")
+        return F.pow(F.greatest(F.col(f"{y}_{f}") - n * p, F.lit(0.0)), 2) / (n * p * (1 - p) + 1)
+
+    # Bounded by the marks of the sample's documents; `inputs` rows for each of FOLDS + 1 lists, unless it is None.
+    scores = cut(counts.select("input", *[F.greatest(*[surprise(y, f) for y in ys], F.lit(0.0)).alias(f"s{f}") for f in range(FOLDS + 1)]))
+    lists = [[r["input"] for r in (scores.orderBy(F.desc(f"s{f}"), "input").limit(inputs) if inputs is not None else scores).select("input").collect()] for f in range(FOLDS + 1)]
+    chosen = sorted(set().union(*lists))
+    place = {h: i for i, h in enumerate(chosen)}
+    allowed = np.zeros((FOLDS + 1, len(chosen)), bool)
+    for f, own in enumerate(lists):
+        allowed[f, [place[h] for h in own]] = True
+    # Both are bounded: the sample's labels and, for each of its documents, its marks among the chosen ones.
     schema = ", ".join(["doc_id long", *[f"{y} int" for y in ys], "fold int", "cols array<int>"])
-    small = rows.select("doc_id", *ys, fold, "inputs").mapInArrow(_chosen(chosen), schema).toArrow().sort_by("doc_id")
+    small = rows.select("doc_id", *ys, "fold", "inputs").mapInArrow(_chosen(chosen), schema).toArrow().sort_by("doc_id")
     if len(small) and chosen:
         at = np.repeat(np.arange(len(small)), [len(c) for c in small["cols"]])
         cols = small["cols"].combine_chunks().flatten().to_numpy().astype(np.int64)
         y = np.column_stack([small[y].to_numpy() > 0 for y in ys]).astype(float)
-        weights = fit_chain(at, cols, y, small["fold"].to_numpy(), len(chosen))
+        weights = fit_chain(at, cols, y, small["fold"].to_numpy(), allowed)
     else:
         weights = [np.concatenate([np.zeros(len(chosen) + k), [-8.0]]) for k in range(len(categories))]
+    # Scoring needs the marks of the models themselves only.
+    used = np.flatnonzero(allowed[FOLDS])
+    weights = [np.concatenate([w[: len(chosen)][used], w[len(chosen) :]]) for w in weights]
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in categories)
-    scored = docs.mapInArrow(_score(chosen, weights, categories), schema)
+    scored = docs.mapInArrow(_score([chosen[i] for i in used], weights, categories), schema)
     return scored.withColumn("toxic", F.col(f"p_{categories[-1]}") >= threshold)
