@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rasterfold.functions.kernels import burt_taps, expand_taps, reduce_taps
+from rasterfold.functions.kernels import KERNELS, burt_taps, expand_taps, reduce_taps
 from rasterfold.operators.geometry import Transform
 
 FIELDS = ("xoff", "yoff", "scale", "rot", "aspect", "shear", "px", "py")
@@ -36,84 +36,112 @@ def dense(taps: list, n: int) -> np.ndarray:
 # ---- registration -----------------------------------------------------------------------------
 
 
-def warp_bilinear(img: np.ndarray, m: list[float]) -> tuple[np.ndarray, np.ndarray]:
+def warped(img: np.ndarray, t: Transform, kernel: str = "spline4x4") -> tuple[np.ndarray, np.ndarray]:
+    """The plane resampled through its transform, with clamped taps, and which pixels have their source inside of it."""
     h, w = img.shape
-    yy, xx = np.mgrid[0:h, 0:w]
-    x, y = xx - (w - 1) / 2, yy - (h - 1) / 2
+    count, weights = KERNELS[kernel]
+    m = t.inverse(h, w)
+    y, x = np.mgrid[0:h, 0:w].astype(float)
     d = m[6] * x + m[7] * y + m[8]
-    sx, sy = (m[0] * x + m[1] * y + m[2]) / d + (w - 1) / 2, (m[3] * x + m[4] * y + m[5]) / d + (h - 1) / 2
+    sx, sy = (m[0] * x + m[1] * y + m[2]) / d, (m[3] * x + m[4] * y + m[5]) / d
     ok = (sx >= 0) & (sx <= w - 1) & (sy >= 0) & (sy <= h - 1)
-    ix, iy = np.clip(np.floor(sx).astype(int), 0, w - 1), np.clip(np.floor(sy).astype(int), 0, h - 1)
-    jx, jy, fx, fy = np.minimum(ix + 1, w - 1), np.minimum(iy + 1, h - 1), sx - np.floor(sx), sy - np.floor(sy)
-    out = (img[iy, ix] * (1 - fx) + img[iy, jx] * fx) * (1 - fy) + (img[jy, ix] * (1 - fx) + img[jy, jx] * fx) * fy
+    lx, ly = np.floor(sx), np.floor(sy)
+    of = weights if kernel in ("bilinear", "spline4x4") else np.vectorize(weights, otypes=[float] * count, signature=None)
+    wx, wy = of(sx - lx), of(sy - ly)
+    out = np.zeros_like(img)
+    for j in range(count):
+        row = np.clip(ly + (j - count // 2 + 1), 0, h - 1).astype(int)
+        for i in range(count):
+            out += wy[j] * wx[i] * img[row, np.clip(lx + (i - count // 2 + 1), 0, w - 1).astype(int)]
     return out, ok
 
 
 def cost(ref: np.ndarray, img: np.ndarray, t: Transform) -> float:
     """Root mean square of the difference without its mean, over the overlap; 1e9 if that is under 16 pixels."""
-    got, ok = warp_bilinear(img, t.matrix(*img.shape))
+    got, ok = warped(img, t)
     n = int(ok.sum())
     if n < 16:
         return 1e9
-    d = (got - ref)[ok]
+    d = (ref - got)[ok]
     return float(np.sqrt(max((d * d).mean() - d.mean() ** 2, 0.0)))
 
 
-def nelder_mead(f, x0: np.ndarray, step: np.ndarray, limit: np.ndarray, tol: float, rounds: int = 200) -> np.ndarray:
-    """Reflection 1, expansion 2, contraction and shrinking 1/2, within x0 +- limit."""
-    bound = lambda v: np.clip(v, x0 - limit, x0 + limit)
-    points = [x0, *[bound(x0 + np.eye(len(x0))[i] * step[i]) for i in range(len(x0))]]
-    values = [f(p) for p in points]
+def nelder_mead(f, x0: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: np.ndarray, tol: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Reflection 1, expansion 2, contraction and shrinking 1/2, within the box.
+
+    It stops when the values agree to 1e-4 (relative, from 1 up) and all points lie within tol of the best, or after `rounds`.
+    """
+    if not len(x0):
+        return x0
+    points = np.vstack([x0, np.clip(x0 + np.diag(step), lo, hi)])
+    values = np.array([f(p) for p in points])
     for _ in range(rounds):
         order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if max(np.abs((points[-1] - points[0]) / step)) < tol:
+        points, values = points[order], values[order]
+        if abs(values[-1] - values[0]) <= 1e-4 * (1 + abs(values[0])) and (np.abs(points[1:] - points[0]) <= tol).all():
             break
-        mean = np.mean(points[:-1], 0)
-        at = bound(2 * mean - points[-1])
-        v = f(at)
+        middle, worst = points[:-1].mean(0), points[-1]
+
+        def tried(far: float) -> tuple[np.ndarray, float]:
+            at = np.clip(middle + far * (middle - worst), lo, hi)
+            return at, f(at)
+
+        at, v = tried(1.0)
         if v < values[0]:
-            far = bound(3 * mean - 2 * points[-1])
-            fv = f(far)
-            points[-1], values[-1] = (far, fv) if fv < v else (at, v)
+            # The expansion goes on from the reflected point, which may lie on the box.
+            beyond = np.clip(middle + 2.0 * (at - middle), lo, hi)
+            bv = f(beyond)
+            points[-1], values[-1] = (beyond, bv) if bv < v else (at, v)
         elif v < values[-2]:
             points[-1], values[-1] = at, v
         else:
-            near = (mean + (at if v < values[-1] else points[-1])) / 2
-            nv = f(near)
-            if nv < min(v, values[-1]):
+            near, nv = tried(-0.5)
+            if nv < values[-1]:
                 points[-1], values[-1] = near, nv
             else:
-                points = [points[0], *[(p + points[0]) / 2 for p in points[1:]]]
-                values = [values[0], *[f(p) for p in points[1:]]]
+                points[1:] = np.clip((points[1:] + points[0]) / 2, lo, hi)
+                values[1:] = [f(p) for p in points[1:]]
     return points[int(np.argmin(values))]
 
 
-def align_pair(ref: np.ndarray, img: np.ndarray, start: Transform, free: tuple[int, ...], coarsen: int = 0, least: int = 12) -> Transform:
-    """Coarse to fine over the registration pyramid, stopping `coarsen` levels short of full size."""
+# Half-widths of the search box a parameter (a tenth of the frame, of the scale, five degrees, a twentieth of the others).
+SPAN = (0.10, 0.10, 0.10, math.radians(5), 0.05, 0.05, 0.05, 0.05)
+
+
+def gains_of(h: int, w: int) -> np.ndarray:
+    """Pixels that a point at the frame's edge moves, for a unit of each of FIELDS."""
+    r = max(h, w) / 2
+    return np.array([w, h, r, r, h / 2, h / 2, w / 4, h / 4])
+
+
+def align_pair(ref: np.ndarray, img: np.ndarray, start: Transform, free: tuple[int, ...], coarsen: int = 0) -> Transform:
+    """Coarse to fine over the registration pyramid (halved while it is over 64 high and over 8 wide), stopping `coarsen` levels short of full size.
+
+    A level's simplex starts one of its pixels wide and stops at a tenth of one; the box is SPAN about the start.
+    """
     levels = [(ref, img)]
-    while min(levels[-1][0].shape) // 2 >= least:
+    while levels[-1][0].shape[0] > 64 and levels[-1][0].shape[1] > 8:
         a, b = levels[-1]
         ty, tx = dense(burt_taps(a.shape[0]), a.shape[0]), dense(burt_taps(a.shape[1]), a.shape[1])
         levels.append((ty @ a @ tx.T, ty @ b @ tx.T))
     x = np.array([getattr(start, f) for f in FIELDS])
     index = list(free)
+    lo, hi = x[index] - np.array(SPAN)[index], x[index] + np.array(SPAN)[index]
     for k in range(len(levels) - 1, min(coarsen, len(levels) - 1) - 1, -1):
         a, b = levels[k]
-        unit = 1.0 / max(a.shape)
-        step = np.where(np.isin(index, (6, 7)), unit / 2, unit)
 
         def value(v: np.ndarray) -> float:
-            y = x.copy()
-            y[index] = v
-            return cost(a, b, Transform(*y))
+            at = x.copy()
+            at[index] = v
+            return cost(a, b, Transform(*at))
 
-        x[index] = nelder_mead(value, x[index], step, np.full(len(index), 0.25 if k == len(levels) - 1 else 8 * unit), 0.02)
+        pixel = 2.0**k / gains_of(*ref.shape)[index]
+        x[index] = nelder_mead(value, x[index], lo, hi, pixel, 0.1 * pixel)
     return Transform(*x)
 
 
 def align(luma: DataFrame, model: str = "similarity", coarsen: int = 0, fixed: tuple[str, ...] = ()) -> DataFrame:
-    """stack, frame, xoff .. py, m: frames (stack, frame, y, x, v) registered in a chain, each to the one before as aligned."""
+    """stack, frame, xoff .. py, m: frames (stack, frame, y, x, v) registered in a chain, each to the one before as aligned; m is the inverse that warp() takes."""
     free = tuple(i for i in MODELS[model] if FIELDS[i] not in fixed)
 
     def run(group: pa.Table) -> pa.Table:
@@ -124,9 +152,9 @@ def align(luma: DataFrame, model: str = "similarity", coarsen: int = 0, fixed: t
             img = plane(group.filter(pa.array(at == f)), "v")
             if ref is not None:
                 last = align_pair(ref, img, last, free, coarsen)
-            got, ok = warp_bilinear(img, last.matrix(*img.shape))
+            got, ok = warped(img, last)
             ref = np.where(ok, got, img)
-            rows.append({"stack": group["stack"][0].as_py(), "frame": f, **{k: float(getattr(last, k)) for k in FIELDS}, "m": [float(v) for v in last.matrix(*img.shape)]})
+            rows.append({"stack": group["stack"][0].as_py(), "frame": f, **{k: float(getattr(last, k)) for k in FIELDS}, "m": last.inverse(*img.shape)})
         return pa.Table.from_pylist(rows, pa.schema([("stack", pa.int64()), ("frame", pa.int32()), *[(k, pa.float64()) for k in FIELDS], ("m", pa.list_(pa.float64()))]))
 
     return luma.groupBy("stack").applyInArrow(run, "stack long, frame int, " + ", ".join(f"{k} double" for k in FIELDS) + ", m array<double>")
@@ -368,4 +396,10 @@ def dust(df: DataFrame, threshold: float = 0.1, mode: str = "fill", levels: int
 
 
 def report(t: Transform, h: int, w: int) -> str:
-    return f"{t.xoff * w:+.2f} {t.yoff * h:+.2f} px, scale {t.scale:.5f}, {math.degrees(t.rot):+.3f} deg"
+    """Shift in pixels, scale and turn; the other parameters only where they differ from none."""
+    out = f"dx={t.xoff * w:+7.2f}px dy={t.yoff * h:+7.2f}px scale={t.scale:.5f} rot={math.degrees(t.rot):+.3f} deg"
+    if t.aspect != 1 or t.shear != 0:
+        out += f" aspect={t.aspect:.5f} shear={t.shear:+.5f}"
+    if t.px != 0 or t.py != 0:
+        out += f" persp={t.px:+.5f}/{t.py:+.5f}"
+    return out

@@ -131,14 +131,13 @@ def _spline_weights(n: int, m: int) -> str:
 
 
 def _moves() -> str:
-    """The warp queries' transforms: about the centre, c and s being cosine and sine over the scale."""
+    """The warp queries' transforms move a pixel to centre + scale * turn * (pixel - centre) + shift; its source is the way back."""
     rows = []
     for f in range(N):
         scale, rot = 1 + 0.004 * f, 0.01 * f
-        c, s = math.cos(rot) / scale, math.sin(rot) / scale
-        rows.append(f"({f}, {c!r}::DOUBLE, {s!r}::DOUBLE, {0.01 * f * W!r}::DOUBLE, {-0.006 * f * H!r}::DOUBLE)")
-    x, y = f"(x::DOUBLE - {(W - 1) / 2})", f"(y::DOUBLE - {(H - 1) / 2})"
-    return f"mv(frame, c, s, dx, dy) AS (VALUES {', '.join(rows)}), src AS (SELECT frame, y, x, c * {x} - s * {y} + dx + {(W - 1) / 2} AS sx, s * {x} + c * {y} + dy + {(H - 1) / 2} AS sy FROM gray JOIN mv USING (frame)), ok AS (SELECT *, sx >= 0 AND sx <= {W - 1} AND sy >= 0 AND sy <= {H - 1} AS valid FROM src)"
+        rows.append(f"({f}, {math.cos(rot)!r}::DOUBLE, {math.sin(rot)!r}::DOUBLE, {scale!r}::DOUBLE, {0.01 * f * W!r}::DOUBLE, {-0.006 * f * H!r}::DOUBLE)")
+    u, v = f"(x::DOUBLE - {W / 2} - dx)", f"(y::DOUBLE - {H / 2} - dy)"
+    return f"mv(frame, c, s, k, dx, dy) AS (VALUES {', '.join(rows)}), src AS (SELECT frame, y, x, (c * {u} + s * {v}) / k + {W / 2} AS sx, (c * {v} - s * {u}) / k + {H / 2} AS sy FROM gray JOIN mv USING (frame)), ok AS (SELECT *, sx >= 0 AND sx <= {W - 1} AND sy >= 0 AND sy <= {H - 1} AS valid FROM src)"
 
 
 def _weights(kernel: str, t: str) -> list[str]:
@@ -189,11 +188,11 @@ ORACLE_SQL = {
     "srgb_curve": f"WITH {GRAY}, s AS (SELECT frame, y, x, v * 2 - 0.5 AS v FROM gray) SELECT frame, y, x, round({_enc('v')}, 6) + 0.0 AS e, round({_dec('v')}, 6) + 0.0 AS d FROM s",
     "look_space": _look(),
     "quantise": f"WITH {GRAY}, s AS (SELECT frame, y, x, v * 1.4 - 0.2 AS v FROM gray) SELECT frame, y, x, {_q('v', 65535)} AS q16, {_q('v', 255)} AS q8, floor({_q('v', 65535)} / 257 + 0.5)::INTEGER AS d8 FROM s",
-    "gray_stretch": f"WITH {GRAY}, s AS (SELECT * FROM gray WHERE frame = 0) SELECT y, x, floor((v - (SELECT min(v) FROM s)) / greatest((SELECT max(v) - min(v) FROM s), 1e-12) * 255 + 0.5)::INTEGER AS v FROM s",
-    "turbo_map": f"WITH {GRAY}, s AS (SELECT y, x, least(greatest(v, 0), 1) AS t FROM gray WHERE frame = 0) SELECT y, x, " + ", ".join(f"round(least(greatest({' + '.join(f'{k} * pow(t, {p})' for p, k in enumerate(row))}, 0.0), 1.0), 5) + 0.0 AS {c}" for c, row in zip(RGB, ((0.13572138, 4.6153926, -42.66032258, 132.13108234, -152.94239396, 59.28637943), (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604), (0.1066733, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973)))) + " FROM s",
+    "gray_stretch": f"WITH {GRAY} SELECT frame, y, x, floor((v - min(v) OVER (PARTITION BY frame)) / greatest(max(v) OVER (PARTITION BY frame) - min(v) OVER (PARTITION BY frame), 1e-12) * 255 + 0.5)::INTEGER AS v FROM gray",
+    "turbo_map": f"WITH {GRAY}, s AS (SELECT frame, y, x, least(greatest(v, 0), 1) AS t FROM gray) SELECT frame, y, x, " + ", ".join(f"round(least(greatest({' + '.join(f'{k} * pow(t, {p})' for p, k in enumerate(row))}, 0.0), 1.0), 5) + 0.0 AS {c}" for c, row in zip(RGB, ((0.13572138, 4.6153926, -42.66032258, 132.13108234, -152.94239396, 59.28637943), (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604), (0.1066733, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973)))) + " FROM s",
     "rotate_mirror": f"WITH {GRAY} SELECT frame, {rnd(['v'])}, {W - 1} - x AS y, {H - 1} - y AS x FROM gray",
     "crop": f"WITH {GRAY} SELECT frame, y - 3 AS y, x - 5 AS x, {rnd(['v'])} FROM gray WHERE x >= 5 AND x < 25 AND y >= 3 AND y < 18",
-    "rect_intersect": "WITH t AS (SELECT l_partkey % 50 AS x, l_suppkey % 50 AS y, l_linenumber * 5 AS w, l_quantity::INTEGER AS h, l_partkey % 37 AS x2, l_suppkey % 41 AS y2 FROM lineitem WHERE l_orderkey < 2000), u AS (SELECT greatest(x, x2) AS a, greatest(y, y2) AS b, least(x + w, x2 + 12) - greatest(x, x2) AS c, least(y + h, y2 + 9) - greatest(y, y2) AS d FROM t) SELECT CASE WHEN c > 0 AND d > 0 THEN a END::BIGINT AS ix, CASE WHEN c > 0 AND d > 0 THEN b END::BIGINT AS iy, CASE WHEN c > 0 AND d > 0 THEN c END::BIGINT AS iw, CASE WHEN c > 0 AND d > 0 THEN d END::BIGINT AS ih, count(*) AS n FROM u GROUP BY ALL",
+    "rect_intersect": "WITH t AS (SELECT l_partkey % 50 AS x, l_suppkey % 50 AS y, l_linenumber * 5 AS w, l_quantity::INTEGER AS h, l_partkey % 37 AS x2, l_suppkey % 41 AS y2 FROM lineitem), u AS (SELECT greatest(x, x2) AS a, greatest(y, y2) AS b, least(x + w, x2 + 12) - greatest(x, x2) AS c, least(y + h, y2 + 9) - greatest(y, y2) AS d FROM t) SELECT CASE WHEN c > 0 AND d > 0 THEN a END::BIGINT AS ix, CASE WHEN c > 0 AND d > 0 THEN b END::BIGINT AS iy, CASE WHEN c > 0 AND d > 0 THEN c END::BIGINT AS iw, CASE WHEN c > 0 AND d > 0 THEN d END::BIGINT AS ih, count(*) AS n FROM u GROUP BY ALL",
     "reduce": f"WITH {GRAY} SELECT frame, y, x, {rnd(['v'])} FROM {sep('gray', red(H), red(W), ['v'], FK)}",
     "expand": f"WITH {GRAY}, s AS {sep('gray', red(H), red(W), ['v'], FK)} SELECT frame, y, x, {rnd(['v'])} FROM {sep('s', exp(H), exp(W), ['v'], FK)}",
     "laplacian": f"WITH {LI}, {LAP} SELECT frame, y, x, {rnd(RGB)} FROM lap",
@@ -202,7 +201,7 @@ ORACLE_SQL = {
     "registration_reduce": f"WITH {GRAY} SELECT frame, y, x, {rnd(['v'])} FROM {sep('gray', _burt(H), _burt(W), ['v'], FK)}",
     "box_mean": f"WITH {GRAY} SELECT frame, y, x, {rnd(['v'])} FROM {box('gray', 2, ['v'], FK)}",
     "guided_filter": f"WITH {GF} SELECT gg.frame, gg.y, gg.x, round(a * i + b, 6) + 0.0 AS out FROM gg JOIN m2 USING (frame, y, x)",
-    "ring_difference": f"WITH {GRAY}, s AS (SELECT * FROM gray WHERE frame < 2) SELECT frame, y, x, round(abs(v), 6) + 0.0 AS v FROM {conv('s', _ring(), FK)}",
+    "ring_difference": f"WITH {GRAY} SELECT frame, y, x, round(abs(v), 6) + 0.0 AS v FROM {conv('gray', _ring(), FK)}",
     "modified_laplacian": f"WITH {GRAY}, {SML} SELECT frame, y, x, {rnd(['v'])} FROM sml",
     "block_mean": f"WITH {GRAY} SELECT frame, (y // 5)::INTEGER AS y, (x // 5)::INTEGER AS x, round(avg(v), 6) + 0.0 AS v FROM gray GROUP BY frame, y // 5, x // 5",
     "bilinear_upsample": f"WITH {GRAY}, s AS (SELECT frame, y // 4 AS y, x // 4 AS x, avg(v) AS v FROM gray GROUP BY frame, y // 4, x // 4) SELECT frame, y, x, {rnd(['v'])} FROM {sep('s', _bilinear(6, H, 4), _bilinear(8, W, 4), ['v'], FK)}",
@@ -241,7 +240,7 @@ ORACLE_SQL = {
     "frame_pick": f"WITH {WIN}, vo AS (SELECT a.y, a.x, b.winner, sum(CASE WHEN a.y = b.y AND a.x = b.x THEN 1.5 ELSE 1.0 END) AS n FROM won a JOIN won b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) SELECT y, x, winner AS frame FROM vo QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY n DESC, winner) = 1",
     "in_focus_render": f"WITH {WIN}, gr AS (SELECT y, x, {LUMA} AS v FROM li WHERE frame = 3), m AS {box('gr', 2, ['v'], [])}, k AS (SELECT won.y, won.x, 1 - 0.7 * least(greatest((abs(winner - 3) - 0.5) / 2.0, 0.0), 1.0) * (1 - least(greatest(abs(gr.v - m.v), 0.0), 1.0)) AS k FROM won JOIN gr USING (y, x) JOIN m USING (y, x)) SELECT y, x, {', '.join(f'round({c} * k, 6) + 0.0 AS {c}' for c in RGB)} FROM li JOIN k USING (y, x) WHERE frame = 3",
     **{f"warp_{k}": _warp(k) for k in ("nearest", "bilinear", "bicubic", "spline4x4", "spline6x6", "lanczos3")},
-    "common_area": f"WITH {GRAY}, {_moves()}, iv AS (SELECT frame, y, min(x) AS lo, max(x) AS hi FROM ok WHERE valid GROUP BY frame, y), rw AS (SELECT y, max(lo) AS lo, min(hi) AS hi FROM iv GROUP BY y HAVING count(*) = {N} AND max(lo) <= min(hi)), pr AS (SELECT a.y AS y0, b.y AS y1, max(c.lo) AS lo, min(c.hi) AS hi, count(*) AS n FROM rw a, rw b, rw c WHERE a.y <= b.y AND c.y BETWEEN a.y AND b.y GROUP BY a.y, b.y) SELECT lo AS x, y0 AS y, hi - lo + 1 AS w, y1 - y0 + 1 AS h FROM pr WHERE n = y1 - y0 + 1 AND lo <= hi ORDER BY (hi - lo + 1) * (y1 - y0 + 1) DESC, y0, y1 LIMIT 1",
+    "common_area": f"WITH {GRAY}, {_moves()}, iv AS (SELECT frame, y, min(x) AS lo, max(x) AS hi FROM ok WHERE frame > 0 AND sx >= 2 AND sx <= {W - 3} AND sy >= 2 AND sy <= {H - 3} GROUP BY frame, y), rw AS (SELECT y, max(lo) AS lo, min(hi) AS hi FROM iv GROUP BY y HAVING count(*) = {N - 1} AND max(lo) <= min(hi)), pr AS (SELECT a.y AS y0, b.y AS y1, max(c.lo) AS lo, min(c.hi) AS hi, count(*) AS n FROM rw a, rw b, rw c WHERE a.y <= b.y AND c.y BETWEEN a.y AND b.y GROUP BY a.y, b.y) SELECT lo AS x, y0 AS y, hi - lo + 1 AS w, y1 - y0 + 1 AS h FROM pr WHERE n = y1 - y0 + 1 AND lo <= hi ORDER BY (hi - lo + 1) * (y1 - y0 + 1) DESC, y0, y1 LIMIT 1",
     "restretch": f"WITH {GRAY}, s AS (SELECT frame, y - 2 AS y, x - 4 AS x, v FROM gray WHERE x >= 4 AND x < 28 AND y >= 2 AND y < 22) SELECT frame, y, x, {rnd(['v'])} FROM {sep('s', _spline_weights(20, H), _spline_weights(24, W), ['v'], FK)}",
     "rocking_shifts": "SELECT i, round(0.03 * sin(2 * pi() * i / 24), 6) + 0.0 AS shift FROM range(24) t(i)",
     "heightfield": f"WITH {MESH} SELECT i, j, {rnd(['px', 'py', 'pz', 'u', 'v', 'nx', 'ny', 'nz'])} FROM mesh",
@@ -254,7 +253,7 @@ ORACLE_SQL = {
     "reverse_frames": f"WITH {CAP} SELECT list, (count(*) OVER (PARTITION BY list) - 1 - frame)::INTEGER AS frame, {rnd(['t'])} FROM cap",
     "skip_frames": f"WITH {FRAMES} SELECT pos, path FROM fr WHERE pos NOT IN (2, 6, 7, 8, 11)",
     "path_parts": f"WITH {FRAMES} SELECT pos, regexp_extract(path, '([^/]*)\\.[^./]*$', 1) AS stem, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS dir, regexp_matches(path, '(?i)\\.(png|jpe?g|tiff?)$') AS image FROM fr",
-    "output_names": f"WITH {FRAMES} SELECT pos, 'out/' || regexp_extract(path, '([^/]+)/[^/]*$', 1) || '_' || lpad((pos + 1)::VARCHAR, 3, '0') || '_' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) || '.tif' AS a, 'out/fused_' || lpad((pos + 1)::VARCHAR, 3, '0') || '.tif' AS b FROM fr",
+    "output_names": f"WITH {FRAMES} SELECT pos, 'out/' || regexp_extract(path, '([^/]+)/[^/]*$', 1) || '_' || lpad((pos + 1)::VARCHAR, greatest(length((SELECT count(*) FROM fr)::VARCHAR), 2, length((pos + 1)::VARCHAR))::INTEGER, '0') || '_' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) || '.tif' AS a, 'out/fused_' || lpad((pos + 1)::VARCHAR, greatest(length((SELECT count(*) FROM fr)::VARCHAR), 2, length((pos + 1)::VARCHAR))::INTEGER, '0') || '.tif' AS b FROM fr",
     "clock_caption": "WITH f AS (SELECT user_id AS list, min(ts) AS ts FROM events GROUP BY user_id) SELECT list, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' n=' || list || ' of 7' AS caption FROM f",
     "exif_time": "SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN round(epoch(date_trunc('second', ts)) + CASE WHEN event_id % 2 = 0 THEN 0.25 ELSE 0 END, 3) + 0.0 END AS t FROM events",
     "near_end": "WITH e AS (SELECT user_id AS list, event_id, value FROM events WHERE event_id % 3 > 0 AND value IS NOT NULL) SELECT list, CASE WHEN arg_min(value, event_id) < arg_max(value, event_id) THEN true WHEN arg_min(value, event_id) > arg_max(value, event_id) THEN false END AS near_first FROM e GROUP BY list",

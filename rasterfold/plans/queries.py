@@ -36,7 +36,7 @@ def gray(spark: SparkSession, d: str) -> DataFrame:
 
 #: Transforms of the warp queries: fixed, so that kernels can be compared.
 def transforms(spark: SparkSession) -> DataFrame:
-    rows = [(f, Transform(xoff=0.01 * f, yoff=-0.006 * f, scale=1 + 0.004 * f, rot=0.01 * f).matrix(H, W)) for f in range(FRAMES)]
+    rows = [(f, Transform(xoff=0.01 * f, yoff=-0.006 * f, scale=1 + 0.004 * f, rot=0.01 * f).inverse(H, W)) for f in range(FRAMES)]
     return spark.createDataFrame(rows, "frame int, m array<double>")
 
 
@@ -403,7 +403,7 @@ for _k in KERNELS:
 
 @query
 def common_area(spark, d):
-    return geometry.common_area(geometry.warp(gray(spark, d), transforms(spark), H, W, "nearest", ["v"], ["frame"]), H, W, [])
+    return geometry.common_area(transforms(spark), H, W, "spline4x4", [])
 
 
 @query

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rasterfold.functions.kernels import KERNELS, binomial, expand_taps, reduce_taps, reflect
-from rasterfold.operators import batch, depth, solvers
+from rasterfold.operators import batch, depth, geometry, solvers
 from rasterfold.operators.geometry import Transform
 from rasterfold.sources import images
 
@@ -60,7 +60,7 @@ def test_registration_finds_a_shift():
     y, x = np.mgrid[0:64, 0:64].astype(float)
     scene = lambda a, b: np.sin(0.3 * a) + np.cos(0.23 * b) + 0.5 * np.sin(0.11 * a * 1.3 + 0.17 * b)
     t = solvers.align_pair(scene(x, y), scene(x - 2, y + 1), Transform(), (0, 1))
-    assert abs(t.xoff * 64 - 2) < 0.1 and abs(t.yoff * 64 + 1) < 0.1
+    assert abs(t.xoff * 64 + 2) < 0.1 and abs(t.yoff * 64 - 1) < 0.1
 
 
 def test_regions_touch_diagonally():
@@ -103,3 +103,35 @@ def test_settle_and_quiet(spark, tmp_path):
     assert {r["path"] for r in spark.table("settled").collect()} == {"a", "b"}
     files = spark.sql("select 0 watch, timestamp_seconds(t) ts, concat('f', t) path from values (0), (5), (30) v(t)")
     assert sorted(len(r["files"]) for r in watch.close_quiet(files, 10).collect()) == [1, 2]
+
+
+def test_transform_goes_from_the_frame_to_the_result():
+    t = Transform(xoff=0.1, yoff=-0.05, scale=1.2, rot=0.3, aspect=1.1, shear=0.05, px=0.02, py=-0.03)
+    h, w = 40, 60
+    m, back = np.array(t.matrix(h, w)).reshape(3, 3), np.array(t.inverse(h, w)).reshape(3, 3)
+    both = m @ back
+    assert np.abs(both / both[2, 2] - np.eye(3)).max() < 1e-12 and back[2, 2] == 1
+    centre = m @ [w / 2, h / 2, 1]
+    assert np.allclose(centre[:2] / centre[2], [w / 2 + 6, h / 2 - 2])
+    # The linear part: shear and aspect first, then the turn, then the scale.
+    u = np.array([3.0, 4.0])
+    turned = 1.2 * np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]]) @ [u[0] + 0.05 * u[1], 1.1 * u[1]] + [6, -2]
+    got = m @ [w / 2 + 3, h / 2 + 4, 1]
+    assert np.allclose(got[:2] / got[2] - [w / 2, h / 2], (turned + np.array([w / 2, h / 2]) * (0.02 * 3 / w - 0.03 * 4 / h)) / (1 + 0.02 * 3 / w - 0.03 * 4 / h) - np.array([w / 2, h / 2]) * (0.02 * 3 / w - 0.03 * 4 / h) / (1 + 0.02 * 3 / w - 0.03 * 4 / h))
+    assert Transform().inverse(24, 32) == np.eye(3).ravel().tolist()
+
+
+def test_common_area_has_the_kernels_margin(spark):
+    def area(ts, kernel):
+        df = spark.createDataFrame([(1, i, t.inverse(20, 30)) for i, t in enumerate(ts)], "stack long, frame int, m array<double>")
+        return tuple(geometry.common_area(df, 20, 30, kernel, ["stack"]).collect()[0])[1:]
+
+    assert area([Transform()], "spline4x4") == (0, 0, 30, 20)
+    assert area([Transform(), Transform(xoff=0.1)], "nearest") == (3, 0, 27, 20)
+    assert area([Transform(xoff=0.1), Transform(xoff=-0.1, yoff=0.1)], "bilinear") == (4, 3, 22, 16)
+    assert area([Transform(xoff=2.0)], "bilinear") == (0, 0, 30, 20)
+
+
+def test_report_names_what_differs():
+    assert solvers.report(Transform(xoff=0.1, rot=0.01), 10, 20) == "dx=  +2.00px dy=  +0.00px scale=1.00000 rot=+0.573 deg"
+    assert solvers.report(Transform(shear=0.5, px=0.25), 10, 20).endswith(" aspect=1.00000 shear=+0.50000 persp=+0.25000/+0.00000")
