@@ -130,7 +130,7 @@ def _score(chosen: list[int], weights: list[np.ndarray], names: list[str]):
         known: dict[str, tuple[int | None, list[str]]] = {}
         levels: dict[str, list[tuple[int, int]]] = {}
         for batch in batches:
-            if len(known) > 300_000:
+            if len(known) > 100_000:
                 known.clear()
             rows, cols = [], []
             for i, t in enumerate(batch["text"]):
