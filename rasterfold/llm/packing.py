@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rasterfold.llm.common import cut, documents_of, fresh_worker, gapless_rank, prepare, worker_store
 
 #: Words whose ids a worker remembers, as they stand in the text and without the punctuation after them.
-CACHE, BARE_CACHE = 100_000, 100_000
+CACHE, BARE_CACHE = 300_000, 150_000
 PUNCTUATION = ".,;:!?"
 
 
