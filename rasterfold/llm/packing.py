@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from rasterfold.llm.common import cut, documents_of, fresh_worker, gapless_rank, prepare, worker_store
 
-#: Words whose ids a worker remembers, as they stand in the text and without the punctuation after them.
-CACHE, BARE_CACHE = 300_000, 150_000
+#: Words whose ids a worker remembers, as they stand in the text and, as many again, without the punctuation after them (about 200 bytes each).
+CACHE = 500_000
 PUNCTUATION = ".,;:!?"
 
 
@@ -36,17 +36,19 @@ PUNCTUATION = ".,;:!?"
 class Words:
     """Ids of white-space separated words as bytes, remembered. The tokenizer's pattern cuts letters from punctuation, so `word,` is `word` and `,`."""
 
-    def __init__(self, tokenizer: str) -> None:
+    def __init__(self, tokenizer: str, cache: int) -> None:
         from tokenizers import Tokenizer
 
+        self.cache = cache
+
         self.encoder = Tokenizer.from_file(tokenizer)
         self.known: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
-        if len(self.bare) > BARE_CACHE:
+        if len(self.bare) > self.cache:
             self.bare.clear()
         known, bare = self.known, self.bare
         known[""] = b""
@@ -67,7 +69,7 @@ class Words:
         known.update(zip(new, [bare[b] + bare[w[len(b) :]] if len(b) < len(w) else bare[b] for w, b in zip(new, bases)]))
 
 
-def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool):
+def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -76,9 +78,10 @@ def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool):
         gc.freeze()
         gc.disable()  # the caches hold no cycles, and walking them costs more than the work
         store = worker_store("packing")
-        if tokenizer not in store:
-            store[tokenizer] = Words(tokenizer)
-        words_ids = store[tokenizer]
+        if (tokenizer, cache) not in store:
+            store.clear()
+            store[tokenizer, cache] = Words(tokenizer, cache)
+        words_ids = store[tokenizer, cache]
         tail = np.array([end], "<u4").tobytes()
         wide = 4 * capacity
         for batch in batches:
@@ -103,10 +106,10 @@ def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (null unless keep_ids): each document's ids and then `end`, cut only beyond capacity."""
     prepare(docs.sparkSession)
-    return documents_of(docs).mapInArrow(_pieces(tokenizer, capacity, end, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    return documents_of(docs).mapInArrow(_pieces(tokenizer, capacity, end, keep_ids, cache), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
 
 
 # ---- the program ------------------------------------------------------------------------------
@@ -255,11 +258,11 @@ def _last_run(runs, rank):
     return F.element_at(F.filter(runs, lambda r: r["first"] <= rank), -1)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False, rounds: int = 5) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False, rounds: int = 5, cache: int = CACHE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset.
 
     Null and empty texts are one piece of the end id alone. Only documents over capacity are cut. Repeated rows are each packed;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored. `cache` is how many words a worker remembers, and changes no result.
     """
-    packed = pack_pieces(token_pieces(docs, tokenizer, capacity, end, keep_ids), capacity, rounds)
+    packed = pack_pieces(token_pieces(docs, tokenizer, capacity, end, keep_ids, cache), capacity, rounds)
     return packed if keep_ids else packed.drop("ids")
