@@ -43,6 +43,21 @@ def test_chat_keeps_maximal(spark):
     assert not rows(chat.format_chats(long.limit(0)))
 
 
+def test_chat_deals_out_by_position(spark):
+    """Null and equal turn numbers, a null conversation, repeated rows and extra columns: positions and parts still follow the order."""
+    n = 3000
+    t = [(None, None, "u", f"{k % 700:04d}", 0, 0) for k in range(n)] + [(7, 5, None if k % 2 else "a", "same", 1, 1) for k in range(2100)] + [(8, 5, "", "same", 2, 2)] * 1050
+    docs = spark.createDataFrame(t, "conv_id long, turn long, role string, text string, position long, chunk long")
+    got = rows(chat.format_chats(docs))
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    for conv, want in ((None, [line("u", f"{k:04d}") for k in sorted(k % 700 for k in range(n))]), (7, [line("", "same")] * 1050 + [line("a", "same")] * 1050)):
+        parts = sorted((r["part"], r["text"]) for r in got if r["conv_id"] == conv)
+        assert [p for p, _ in parts] == [0, 1, 2] and "".join(x for _, x in parts) == "".join(want)
+        assert parts[0][1] == "".join(want[: chat.CHUNK])
+    assert not any(r["conv_id"] == 8 for r in got)  # a prefix of 7
+    assert chat.placed(docs).groupBy("conv_id", "position").count().filter("count > 1").isEmpty()
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
