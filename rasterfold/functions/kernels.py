@@ -35,6 +35,14 @@ def expand_taps(n: int) -> Taps:
     return gather(rows)
 
 
+def linear_taps(n: int) -> Taps:
+    """EXPAND to n of samples that have one more at each end, twice the last less the one before it."""
+    coarse = (n + 1) // 2
+    near, far = min(1, coarse - 1), max(coarse - 2, 0)
+    padded = [[(0, 2.0), (near, -1.0)], *[[(i, 1.0)] for i in range(coarse)], [(coarse - 1, 2.0), (far, -1.0)]]
+    return gather((o - 2, i, w * v) for o, c, w in expand_taps(2 * coarse + 4) if 2 <= o < n + 2 for i, v in padded[c])
+
+
 def binomial(r: int) -> list[float]:
     return [math.comb(2 * r, k) / 4**r for k in range(2 * r + 1)]
 

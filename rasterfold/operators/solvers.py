@@ -209,60 +209,66 @@ def _cycle(r: np.ndarray, data: np.ndarray, ax: np.ndarray, ay: np.ndarray) -> n
     return u + inv * (r - _apply(u, data, ax, ay))
 
 
-def wls(d: np.ndarray, conf: np.ndarray, guide: np.ndarray, lam: float, sigma: float, robust: float = 0.0, most: int = 200) -> np.ndarray:
-    """Weighted least squares along the guide's edges by conjugate gradients with a V-cycle, to a residual of 1e-5; one Huber step if robust > 0."""
+#: Weight of the data where there is no confidence at all.
+LEAST_DATA = 1e-4
+
+
+def _solve(d: np.ndarray, data: np.ndarray, guide: np.ndarray, lam: float, sigma: float, most: int) -> np.ndarray:
+    """(data + lam L) u = data d, from the sweeps' result on, to a residual of 1e-5."""
     ax, ay = (lam * e for e in _edges(guide, sigma))
-    data = np.maximum(conf, 1e-6)
-    u = np.full_like(d, (data * d).sum() / data.sum())
-    for turn in range(2 if robust > 0 else 1):
-        if turn:
-            data = np.maximum(conf, 1e-6) * np.minimum(1.0, robust / np.maximum(np.abs(d - u), 1e-12))
-        r = data * d - _apply(u, data, ax, ay)
-        top = np.linalg.norm(data * d) + 1e-30
+    u = sweeps(d, data, guide, lam, sigma)
+    r = data * d - _apply(u, data, ax, ay)
+    top = max(np.linalg.norm(data * d), 1e-30)
+    z = _cycle(r, data, ax, ay)
+    p, rz = z, float((r * z).sum())
+    for _ in range(most):
+        if np.linalg.norm(r) < 1e-5 * top:
+            break
+        q = _apply(p, data, ax, ay)
+        steep = float((p * q).sum())
+        if steep <= 0:
+            break
+        u = u + rz / steep * p
+        r = r - rz / steep * q
         z = _cycle(r, data, ax, ay)
-        p, rz = z, float((r * z).sum())
-        for _ in range(most):
-            if np.linalg.norm(r) <= 1e-5 * top:
-                break
-            q = _apply(p, data, ax, ay)
-            a = rz / float((p * q).sum())
-            u = u + a * p
-            r = r - a * q
-            z = _cycle(r, data, ax, ay)
-            new = float((r * z).sum())
-            p, rz = z + new / rz * p, new
+        new = float((r * z).sum())
+        p, rz = z + new / rz * p, new
+    return u
+
+
+def wls(d: np.ndarray, conf: np.ndarray, guide: np.ndarray, lam: float, sigma: float, robust: float = 0.0, most: int = 200) -> np.ndarray:
+    """Weighted least squares along the guide's edges by conjugate gradients with a V-cycle; one Huber step, solved anew, if robust > 0."""
+    u = _solve(d, np.maximum(conf, 0) + LEAST_DATA, guide, lam, sigma, most)
+    if robust > 0:
+        u = _solve(d, np.maximum(conf, 0) * np.minimum(1.0, robust / np.maximum(np.abs(d - u), 1e-12)) + LEAST_DATA, guide, lam, sigma, most)
     return u
 
 
-def sweeps(d: np.ndarray, conf: np.ndarray, guide: np.ndarray, lam: float, sigma: float, passes: int = 3) -> np.ndarray:
-    """The fast global smoother: tridiagonal solves along rows, then columns, with falling strength."""
-
-    def lines(num: np.ndarray, den: np.ndarray, edge: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
-        n = num.shape[1]
-        left = np.concatenate([np.zeros((len(num), 1)), strength * edge], 1)
-        right = np.concatenate([strength * edge, np.zeros((len(num), 1))], 1)
-        diag = 1 + left + right
-        c, out = np.zeros_like(num), []
-        for k in range(n):
-            m = diag[:, k] - (left[:, k] * c[:, k - 1] if k else 0)
-            c[:, k] = right[:, k] / m
-            for j, v in enumerate((num, den)):
-                if len(out) <= j:
-                    out.append(np.zeros_like(num))
-                out[j][:, k] = (v[:, k] + (left[:, k] * out[j][:, k - 1] if k else 0)) / m
-        for k in range(n - 2, -1, -1):
-            for v in out:
-                v[:, k] += c[:, k] * v[:, k + 1]
-        return out[0], out[1]
+def _lines(f: np.ndarray, data: np.ndarray, edge: np.ndarray, strength: float) -> np.ndarray:
+    """Each row of u with (data + strength L) u = data f, L along the row: elimination, then substitution, over all rows at once."""
+    n = f.shape[1]
+    side = np.pad(strength * edge, ((0, 0), (1, 1)))
+    diag, rhs = data + side[:, :-1] + side[:, 1:], data * f
+    c, u = np.zeros_like(f), np.zeros_like(f)
+    for k in range(n):
+        before = side[:, k]
+        m = diag[:, k] - (before * c[:, k - 1] if k else 0)
+        c[:, k] = side[:, k + 1] / m
+        u[:, k] = (rhs[:, k] + (before * u[:, k - 1] if k else 0)) / m
+    for k in range(n - 2, -1, -1):
+        u[:, k] += c[:, k] * u[:, k + 1]
+    return u
+
 
+def sweeps(d: np.ndarray, data: np.ndarray, guide: np.ndarray, lam: float, sigma: float, passes: int = 3) -> np.ndarray:
+    """The fast global smoother: rows, then columns, with falling strength. Only the first sweep weighs by data, so that holes are filled; later ones smooth what it made."""
     ex, ey = _edges(guide, sigma)
-    num, den = conf * d, conf.copy()
+    u, ones = d, np.ones_like(d)
     for t in range(passes):
-        strength = 1.5 * lam * 4 ** (passes - 1 - t) / (4**passes - 1) * 2
-        num, den = lines(num, den, ex, strength)
-        a, b = lines(num.T.copy(), den.T.copy(), ey.T.copy(), strength)
-        num, den = a.T, b.T
-    return num / np.maximum(den, 1e-12)
+        strength = 1.5 * lam * 4 ** (passes - 1 - t) / (4**passes - 1)
+        u = _lines(u, ones if t else data, ex, strength)
+        u = _lines(u.T, ones.T, ey.T, strength).T
+    return u
 
 
 def smooth_depth(df: DataFrame, lam: float = 1.0, sigma: float = 0.1, robust: float = 0.0, method: str = "wls") -> DataFrame:
@@ -270,7 +276,7 @@ def smooth_depth(df: DataFrame, lam: float = 1.0, sigma: float = 0.1, robust: fl
 
     def run(group: pa.Table) -> pa.Table:
         d, c, g = (plane(group, n) for n in ("depth", "conf", "guide"))
-        u = wls(d, c, g, lam, sigma, robust) if method == "wls" else sweeps(d, np.maximum(c, 1e-6), g, lam, sigma)
+        u = wls(d, c, g, lam, sigma, robust) if method == "wls" else sweeps(d, np.maximum(c, 0) + LEAST_DATA, g, lam, sigma)
         y, x = np.indices(d.shape)
         return pa.table({"stack": pa.array(np.full(d.size, group["stack"][0].as_py()), pa.int64()), "y": pa.array(y.ravel(), pa.int32()), "x": pa.array(x.ravel(), pa.int32()), "depth": u.ravel(), "conf": c.ravel()})
 

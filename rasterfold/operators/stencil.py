@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterfold.functions.kernels import Taps, binomial, expand_taps, reduce_taps, reflect, window_taps
+from rasterfold.functions.kernels import Taps, binomial, expand_taps, linear_taps, reduce_taps, reflect, window_taps
 
 
 def along(df: DataFrame, taps: Taps, axis: str, values: list[str], keys: list[str]) -> DataFrame:
@@ -29,6 +29,11 @@ def expand(df: DataFrame, h: int, w: int, values: list[str], keys: list[str]) ->
     return separable(df, expand_taps(h), expand_taps(w), values, keys)
 
 
+def expand_linear(df: DataFrame, h: int, w: int, values: list[str], keys: list[str]) -> DataFrame:
+    """EXPAND with borders that go on as a slope: a falling background keeps falling at the frame's edge."""
+    return separable(df, linear_taps(h), linear_taps(w), values, keys)
+
+
 def window_sum(df: DataFrame, h: int, w: int, r: int, values: list[str], keys: list[str]) -> DataFrame:
     return separable(df, window_taps(h, binomial(r)), window_taps(w, binomial(r)), values, keys)
 
@@ -48,13 +53,18 @@ def box(df: DataFrame, r: int, values: list[str], keys: list[str]) -> DataFrame:
     return twice.select(*keys, "y", "x", *[(F.col(v) / F.col("_n")).alias(v) for v in values])
 
 
-def guided(df: DataFrame, guide: str, value: str, r: int, eps: float, keys: list[str]) -> DataFrame:
-    """The guided filter: mean a times the guide plus mean b. Adds `out`."""
+def guided_coefficients(df: DataFrame, guide: str, value: str, r: int, eps: float, keys: list[str]) -> DataFrame:
+    """Mean a and b of the guided filter: value is about a times the guide plus b around each pixel."""
     g, p = F.col(guide), F.col(value)
     first = box(df.select(*keys, "y", "x", g.alias("mi"), p.alias("mp"), (g * p).alias("mip"), (g * g).alias("mii")), r, ["mi", "mp", "mip", "mii"], keys)
     a = (F.col("mip") - F.col("mi") * F.col("mp")) / (F.col("mii") - F.col("mi") * F.col("mi") + eps)
-    second = box(first.select(*keys, "y", "x", a.alias("a"), (F.col("mp") - a * F.col("mi")).alias("b")), r, ["a", "b"], keys)
-    return df.join(second, [*keys, "y", "x"]).withColumn("out", F.col("a") * g + F.col("b")).drop("a", "b")
+    return box(first.select(*keys, "y", "x", a.alias("a"), (F.col("mp") - a * F.col("mi")).alias("b")), r, ["a", "b"], keys)
+
+
+def guided(df: DataFrame, guide: str, value: str, r: int, eps: float, keys: list[str]) -> DataFrame:
+    """The guided filter: mean a times the guide plus mean b. Adds `out`."""
+    second = guided_coefficients(df, guide, value, r, eps, keys)
+    return df.join(second, [*keys, "y", "x"]).withColumn("out", F.col("a") * F.col(guide) + F.col("b")).drop("a", "b")
 
 
 def convolve(df: DataFrame, taps: list[tuple[int, int, float]], h: int, w: int, value: str, keys: list[str]) -> DataFrame:

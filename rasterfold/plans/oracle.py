@@ -170,6 +170,35 @@ got AS (SELECT ty.frame, ty.y, ty.x, sum(a.w * b.w * v) AS v FROM ty JOIN gray g
 SELECT ok.frame::INTEGER AS frame, ok.y, ok.x, valid, round(coalesce(got.v, gray.v), 5) + 0.0 AS v FROM ok JOIN gray USING (frame, y, x) LEFT JOIN got USING (frame, y, x)"""
 
 
+def _rgb_warp(kernel: str) -> str:
+    """wr: the three values of each pixel through the warp queries' transforms, and whether its source is inside."""
+    n = 2 if kernel == "bilinear" else 4
+
+    def axis(s: str, name: str, size: int) -> str:
+        at = ", ".join(f"struct_pack(i := least(greatest(floor({s})::BIGINT + {k - n // 2 + 1}, 0), {size - 1}), w := {w})" for k, w in enumerate(_weights(kernel, f"({s} - floor({s}))")))
+        return f"unnest([{at}]) AS {name}"
+
+    sums = ", ".join(f"sum(ka.w * kb.w * li.{c}) AS {c}" for c in RGB)
+    return f"""{GRAY}, {_moves()}, tx AS (SELECT frame, y, x, sy, {axis('sx', 'ka', W)} FROM ok WHERE valid), ty AS (SELECT frame, y, x, ka, {axis('sy', 'kb', H)} FROM tx),
+got AS (SELECT ty.frame, ty.y, ty.x, {sums} FROM ty JOIN li ON li.frame = ty.frame AND li.x = ka.i AND li.y = kb.i GROUP BY ALL),
+wr AS (SELECT ok.frame::INTEGER AS frame, ok.y, ok.x, valid, {', '.join(f'coalesce(got.{c}, li.{c}) AS {c}' for c in RGB)} FROM ok JOIN li USING (frame, y, x) LEFT JOIN got USING (frame, y, x)),
+pair AS (SELECT a.frame, count(*) AS n, {', '.join(f'sum(a.{c}) AS {c}, sum(z.{c}) AS z{c}' for c in RGB)} FROM wr a JOIN wr z ON z.frame = 0 AND z.y = a.y AND z.x = a.x WHERE a.valid AND a.y % 4 = 0 AND a.x % 4 = 0 GROUP BY a.frame),
+ga AS (SELECT frame, {', '.join(f'CASE WHEN n < 64 OR {c} <= 0 THEN 1.0 ELSE least(greatest(z{c} / {c}, 0.25), 4.0) END AS {c}' for c in RGB)} FROM pair)"""
+
+
+def _slope(src: str, axis: str, n: int, keys: str) -> str:
+    """One more sample at each end of an axis: twice the last less the one before it; places go up by one."""
+    ends = [(0, 0, 1), (n + 1, n - 1, n - 2)]
+    more = " UNION ALL ".join(f"SELECT {keys}, {at} AS {axis}, 2 * max(CASE WHEN {axis} = {i} THEN v END) - max(CASE WHEN {axis} = {j} THEN v END) AS v FROM {src} GROUP BY {keys}" for at, i, j in ends)
+    return f"(SELECT {keys}, {axis} + 1 AS {axis}, v FROM {src} UNION ALL {more})"
+
+
+def _fill(small: str, r: int, eps: float) -> str:
+    """co: mean a and b of the guided filter over small (frame, y, x, g, v)."""
+    a = f"(mgv - mg*mv) / (mgg - mg*mg + {eps})"
+    return f"mo AS (SELECT frame, y, x, g AS mg, v AS mv, g*v AS mgv, g*g AS mgg FROM {small}), mm AS {box('mo', r, ['mg', 'mv', 'mgv', 'mgg'], FK)}, ce AS (SELECT frame, y, x, {a} AS a, mv - {a} * mg AS b FROM mm), co AS {box('ce', r, ['a', 'b'], FK)}"
+
+
 MESH = f"""{WIN}, z AS (SELECT y, x, winner / 6.0 AS v FROM won), cells AS {sep('z', _shrink(H, 6), _shrink(W, 8), ['v'], [])},
 vt AS (SELECT x AS i, y AS j, x / 7.0 - 0.5 AS px, {(H - 1) / (W - 1)!r} * (0.5 - y / 5.0) AS py, 0.3 * (1 - least(greatest(v, 0.0), 1.0)) AS pz, x / 7.0 AS u, y / 5.0 AS v FROM cells),
 df AS (SELECT a.*, r.px - l.px AS ax, r.py - l.py AS ay, r.pz - l.pz AS az, d.px - t.px AS bx, d.py - t.py AS by_, d.pz - t.pz AS bz FROM vt a JOIN vt l ON l.j = a.j AND l.i = greatest(a.i - 1, 0) JOIN vt r ON r.j = a.j AND r.i = least(a.i + 1, 7) JOIN vt t ON t.i = a.i AND t.j = greatest(a.j - 1, 0) JOIN vt d ON d.i = a.i AND d.j = least(a.j + 1, 5)),
@@ -262,4 +291,13 @@ ORACLE_SQL = {
 }
 
 # The tables hold short decimals, so results often lie halfway between two roundings; both engines round a hair above that.
+GUIDE = f"{GRAY}, gd AS (SELECT y, x, avg(v) AS g FROM gray GROUP BY y, x)"
+ORACLE_SQL |= {
+    "expand_linear": f"WITH {GRAY}, s AS {sep('gray', red(H), red(W), ['v'], FK)}, px AS {_slope('s', 'x', W // 2, 'frame, y')}, py AS {_slope('px', 'y', H // 2, 'frame, x')}, big AS {sep('py', exp(H + 4), exp(W + 4), ['v'], FK)} SELECT frame, y - 2 AS y, x - 2 AS x, {rnd(['v'])} FROM big WHERE y BETWEEN 2 AND {H + 1} AND x BETWEEN 2 AND {W + 1}",
+    "draft_reduce": f"WITH {LI} SELECT frame, y // 8 AS y, x // 8 AS x, {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in RGB)} FROM li GROUP BY frame, y // 8, x // 8",
+    "focus_volume": f"WITH {GUIDE}, fm AS {conv('gray', _ring(), FK)}, sl AS (SELECT frame, y // 2 AS y, x // 2 AS x, avg(abs(v)) AS v FROM fm GROUP BY frame, y // 2, x // 2), gs AS (SELECT y // 2 AS y, x // 2 AS x, avg(g) AS g FROM gd GROUP BY y // 2, x // 2), sg AS (SELECT frame, y, x, g, v FROM sl JOIN gs USING (y, x)), {_fill('sg', 2, 1e-3)} SELECT frame, y, x, round(greatest(a * g + b, 0.0), 5) + 0.0 AS v FROM sg JOIN co USING (frame, y, x)",
+    "guided_upsample": f"WITH {GUIDE}, sg AS (SELECT frame, y // 4 AS y, x // 4 AS x, avg(g) AS g, avg(v) AS v FROM gray JOIN gd USING (y, x) GROUP BY frame, y // 4, x // 4), {_fill('sg', 1, 0.01)}, up AS {sep('co', _bilinear(6, H, 4), _bilinear(8, W, 4), ['a', 'b'], FK)} SELECT frame, y, x, round(a * g + b, 5) + 0.0 AS v FROM up JOIN gd USING (y, x)",
+    "aligned_gains": f"WITH {_rgb_warp('bilinear')} SELECT frame, {rnd(RGB, 5)} FROM ga",
+    "aligned_frames": f"WITH {_rgb_warp('bilinear')} SELECT frame, wr.y - 2 AS y, wr.x - 3 AS x, {', '.join(f'round(wr.{c} * CASE WHEN abs(ga.r - 1) < 1e-6 AND abs(ga.g - 1) < 1e-6 AND abs(ga.b - 1) < 1e-6 THEN 1 ELSE ga.{c} END, 5) + 0.0 AS {c}' for c in RGB)} FROM wr JOIN ga USING (frame) WHERE wr.x >= 3 AND wr.x < 27 AND wr.y >= 2 AND wr.y < 20",
+}
 ORACLE_SQL = {k: re.sub(r", ([3568])\) \+ 0\.0", r" + 2.7e-10, \1) + 0.0", v) for k, v in ORACLE_SQL.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterfold.functions import pixels as P
 from rasterfold.functions.kernels import KERNELS, bilinear_taps, burt_taps
-from rasterfold.operators import batch, bright, depth, fuse, geometry, retouch, solvers, stencil
+from rasterfold.operators import batch, bright, depth, focus, fuse, geometry, retouch, run, solvers, stencil
 from rasterfold.operators.geometry import Transform
 from rasterfold.sources.rasters import FRAMES, HEIGHT, WIDTH, captures, emb_stack, frame_list, li_stack, table
 
@@ -587,3 +587,61 @@ def brush_strokes(spark, d):
     target, source = (s.filter(f"frame = {f}").select("y", "x", P.quantise(F.col("g"), 16).alias("v")) for f in (0, 1))
     dabs = spark.createDataFrame([(0, 0, 8.0, 9.0, 4.0, 0.5), (0, 1, 10.0, 9.0, 4.0, 0.5), (1, 0, 20.0, 15.0, 6.0, 0.0), (2, 0, 3.0, 3.0, 3.0, 0.2)], "stroke int, seq int, dx double, dy double, r double, hard double")
     return retouch.replay(target, source, dabs, 1)
+
+
+# ---- stacks as a whole
+
+
+def _li_gray(spark, d):
+    return gray(spark, d).withColumn("stack", F.lit(0).cast("long"))
+
+
+def _li_guide(spark, d):
+    """The mean of all frames' luma, in place of a fused image."""
+    return _li_gray(spark, d).groupBy("stack", "y", "x").agg(F.avg("v").alias("v"))
+
+
+@query
+def expand_linear(spark, d):
+    return rounded(stencil.expand_linear(stencil.reduce(gray(spark, d), H, W, ["v"], ["frame"]), H, W, ["v"], ["frame"]))
+
+
+@query
+def draft_reduce(spark, d):
+    return rounded(geometry.draft(li_stack(spark, d), 3, RGB, ["frame"]))
+
+
+@query
+def focus_volume(spark, d):
+    guide = stencil.block_mean(_li_guide(spark, d), 2, ["v"], ["stack"]).withColumnRenamed("v", "g")
+    slices = focus.focus_slices(_li_gray(spark, d), H, W, ("ring", 1, 3), 2, ["stack"])
+    return rounded(focus.aggregated(slices, guide, 2, 1e-3, ["stack"]).drop("stack"), 5)
+
+
+@query
+def guided_upsample(spark, d):
+    guide = _li_guide(spark, d)
+    small = stencil.block_mean(_li_gray(spark, d), 4, ["v"], ["stack", "frame"]).join(stencil.block_mean(guide, 4, ["v"], ["stack"]).withColumnRenamed("v", "g"), ["stack", "y", "x"])
+    full = _li_gray(spark, d).select("stack", "frame", "y", "x").join(guide.withColumnRenamed("v", "g"), ["stack", "y", "x"])
+    return rounded(focus.guided_upsample(small, full, "v", H, W, 4, 1, 0.01, ["stack", "frame"]).drop("stack"), 5)
+
+
+@query
+def depth_from_focus(spark, d):
+    return rounded(focus.depth_from_focus(_li_gray(spark, d), _li_guide(spark, d), H, W), 5)
+
+
+@query
+def aligned_frames(spark, d):
+    at = run.aligned_frames(li_stack(spark, d), transforms(spark), H, W, "bilinear", [])
+    return rounded(geometry.crop(at, 3, 2, 24, 18), 5)
+
+
+@query
+def stack_fused(spark, d):
+    return rounded(run.fuse_stack(li_stack(spark, d), H, W, levels=1, bins=16, top_r=1)["image"], 5)
+
+
+@query
+def stack_depth(spark, d):
+    return rounded(run.fuse_stack(li_stack(spark, d), H, W, levels=1, rule="avg")["depth"], 4)
