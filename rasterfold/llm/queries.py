@@ -83,17 +83,41 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rasterfold.llm.bpe_replay import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterfold.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterfold.llm.fim import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_learned_partition_search, op4_sentencepiece, op5_exact_dedup, op6_quality, op7_ngram_join, op8_toxicity, op9_balanced_shards, op10_license_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_learned_partition_search, op4_sentencepiece, op5_exact_dedup, op6_quality, op7_ngram_join, op8_toxicity, op9_balanced_shards, op10_license_scan, op11_byte_bpe, op12_lexical_search, op13_fill_in_middle, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Maximal runs of what isn't ASCII, or is an ASCII letter or digit.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def _license_sql() -> str:
     from rasterfold.llm.license_scan import TEMPLATES
 
@@ -133,4 +157,23 @@ b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.v FROM r JOIN b ON r.y = b.u)
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(y) AS component_id FROM s JOIN r ON s.doc_id = r.x GROUP BY s.doc_id, len(g)""",
     "op10_license_scan": _license_sql(),
+    "op12_lexical_search": f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, g GROUP BY term),
+i AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS c FROM i GROUP BY ALL),
+p AS (SELECT term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS s FROM f JOIN d USING (doc_id) JOIN w USING (term), g),
+s AS (SELECT item_id, doc_id, sum(c * s)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20""",
+    "op13_fill_in_middle": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS d FROM documents),
+k AS (SELECT *, ('0x' || d[1:8])::BIGINT % (n + 1) AS a, ('0x' || d[9:16])::BIGINT % (n + 1) AS b, ('0x' || d[17:24])::BIGINT % 100 AS r, ('0x' || d[25:32])::BIGINT % 100 AS m FROM h),
+c AS (SELECT doc_id, t, n, least(a, b) AS lo, greatest(a, b) AS hi, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r >= 90 THEN 'plain' WHEN m < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+x AS (SELECT *, substring(t, 1, lo) AS p, substring(t, lo + 1, hi - lo) AS mid, substring(t, hi + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || mid ELSE '<S>' || s || '<P>' || p || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM x""",
 }
