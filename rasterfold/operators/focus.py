@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterfold.functions.kernels import bilinear_taps
 from rasterfold.functions.pixels import clamp
 from rasterfold.operators import depth
+from rasterfold.operators.keep import kept
 from rasterfold.operators.solvers import smooth_depth
 from rasterfold.operators.stencil import block_mean, convolve, guided, guided_coefficients, median3, modified_laplacian, ring_taps, separable
 
@@ -31,18 +32,6 @@ class DepthSettings:
     robust: float = 1.0
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Evaluated once, as later steps read it several times: a checkpoint in the session's shared folder if it names one, else
-    kept by the executors, which evaluate lost parts again."""
-    spark = df.sparkSession
-    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not named:
-            return df.persist()
-        context.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def focus_slices(frames: DataFrame, h: int, w: int, measure: tuple, k: int, keys: list[str]) -> DataFrame:
     """The focus measure of each frame's luma v, averaged over blocks of k x k."""
     each = [*keys, "frame"]

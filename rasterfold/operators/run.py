@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rasterfold.functions.pixels import luma
 from rasterfold.operators import bright, fuse, geometry
-from rasterfold.operators.focus import DepthSettings, depth_from_focus, kept
+from rasterfold.operators.focus import DepthSettings, depth_from_focus
+from rasterfold.operators.keep import kept
 from rasterfold.operators.solvers import align
 
 RGB = ["r", "g", "b"]

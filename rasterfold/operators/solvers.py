@@ -1,4 +1,4 @@
-"""Sequential solvers, one stack in one task: registration, depth smoothing, connected regions, filling.
+"""Sequential solvers, one stack in one task: registration, depth smoothing.
 
 A stack's planes fit one executor (tens of MB each); stacks are independent, so the work spreads over them.
 """
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rasterfold.functions.kernels import KERNELS, burt_taps, expand_taps, reduce_taps
+from rasterfold.functions.kernels import KERNELS, burt_taps
 from rasterfold.operators.geometry import Transform
 
 FIELDS = ("xoff", "yoff", "scale", "rot", "aspect", "shear", "px", "py")
@@ -283,122 +283,7 @@ def smooth_depth(df: DataFrame, lam: float = 1.0, sigma: float = 0.1, robust: fl
     return df.groupBy("stack").applyInArrow(run, "stack long, y int, x int, depth double, conf double")
 
 
-# ---- regions ----------------------------------------------------------------------------------
-
-
-def label_regions(mask: np.ndarray) -> np.ndarray:
-    """8-connected regions numbered from 1 in the order of their first pixel; 0 elsewhere."""
-    h, w = mask.shape
-    label, n = np.zeros((h, w), np.int64), 0
-    for y, x in zip(*np.nonzero(mask)):
-        if label[y, x]:
-            continue
-        n += 1
-        label[y, x], stack = n, [(y, x)]
-        while stack:
-            a, b = stack.pop()
-            for i in range(max(a - 1, 0), min(a + 2, h)):
-                for j in range(max(b - 1, 0), min(b + 2, w)):
-                    if mask[i, j] and not label[i, j]:
-                        label[i, j] = n
-                        stack.append((i, j))
-    return label
-
-
-def regions(df: DataFrame) -> DataFrame:
-    """stack, y, x, region from stack, y, x, mask."""
-
-    def run(group: pa.Table) -> pa.Table:
-        lab = label_regions(plane(group, "mask") > 0)
-        y, x = np.nonzero(lab)
-        return pa.table({"stack": pa.array(np.full(len(y), group["stack"][0].as_py()), pa.int64()), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "region": pa.array(lab[y, x], pa.int64())})
-
-    return df.groupBy("stack").applyInArrow(run, "stack long, y int, x int, region long")
-
-
-# ---- dust -------------------------------------------------------------------------------------
-
-
-def pull_push(v: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Holes (weight 0) filled from a weighted pyramid: averaged on the way down, expanded into the holes on the way up."""
-    h, w = v.shape
-    if weight.min() >= 1 or min(h, w) < 2:
-        return np.where(weight > 0, v, v[weight > 0].mean() if (weight > 0).any() else 0.0)
-    ty, tx = dense(reduce_taps(h), h), dense(reduce_taps(w), w)
-    num, den = ty @ (v * weight) @ tx.T, ty @ weight @ tx.T
-    coarse = pull_push(num / np.maximum(den, 1e-12), np.minimum(den * 4, 1.0) * (den > 1e-9))
-    ey, ex = dense(expand_taps(h), coarse.shape[0]), dense(expand_taps(w), coarse.shape[1])
-    up = ey @ coarse @ ex.T
-    return weight * v + (1 - weight) * up
-
-
-def background(v: np.ndarray, weight: np.ndarray, levels: int) -> np.ndarray:
-    """A smooth background: normalised convolution with linear terms on a coarse level, expanded again."""
-    sizes = []
-    yy, xx = np.mgrid[0 : v.shape[0], 0 : v.shape[1]].astype(float)
-    m = [weight, weight * xx, weight * yy, weight * xx * xx, weight * xx * yy, weight * yy * yy, weight * v, weight * v * xx, weight * v * yy]
-    for _ in range(levels):
-        h, w = m[0].shape
-        if min(h, w) < 4:
-            break
-        sizes.append((h, w))
-        ty, tx = dense(reduce_taps(h), h), dense(reduce_taps(w), w)
-        m = [ty @ a @ tx.T for a in m]
-    k = 2 ** len(sizes)
-    cy, cx = np.mgrid[0 : m[0].shape[0], 0 : m[0].shape[1]].astype(float) * k
-    s0 = np.maximum(m[0], 1e-9)
-    # Moments about the cell's own place, so that the plane's constant is the value there.
-    sx, sy = m[1] - cx * m[0], m[2] - cy * m[0]
-    sxx, sxy, syy = m[3] - 2 * cx * m[1] + cx * cx * m[0], m[4] - cx * m[2] - cy * m[1] + cx * cy * m[0], m[5] - 2 * cy * m[2] + cy * cy * m[0]
-    b0, bx, by = m[6], m[7] - cx * m[6], m[8] - cy * m[6]
-    a = np.stack([np.stack([s0, sx, sy], -1), np.stack([sx, sxx + 1e-3, sxy], -1), np.stack([sy, sxy, syy + 1e-3], -1)], -2)
-    out = np.linalg.solve(a, np.stack([b0, bx, by], -1)[..., None])[..., 0, 0]
-    out = pull_push(out, (m[0] > 1e-3).astype(float))
-    for h, w in reversed(sizes):
-        ey, ex = dense(expand_taps(h), out.shape[0]), dense(expand_taps(w), out.shape[1])
-        out = ey @ out @ ex.T
-    return out
-
-
-def detect_dust(y: np.ndarray, threshold: float, levels: int = 4, least: int = 4, margin: int = 2) -> np.ndarray:
-    """Spots (labels) darker than the background by a share of threshold; a second pass leaves the first one's spots out of the background."""
-    weight = np.ones_like(y)
-    for _ in range(2):
-        back = np.maximum(background(y, weight, levels), 1e-6)
-        dark = y / back < 1 - threshold
-        weight = 1.0 - dark
-    lab = label_regions(dark)
-    out, n = np.zeros_like(lab), 0
-    order = sorted(range(1, lab.max() + 1), key=lambda k: -(lab == k).sum())
-    for k in order:
-        yy, xx = np.nonzero(lab == k)
-        if len(yy) < least or max(np.ptp(yy), np.ptp(xx)) + 1 > min(y.shape) / 4:
-            continue
-        n += 1
-        a, b = slice(max(yy.min() - margin, 0), yy.max() + margin + 1), slice(max(xx.min() - margin, 0), xx.max() + margin + 1)
-        near = np.zeros(y.shape, bool)
-        for i, j in zip(yy, xx):
-            near[max(i - margin, 0) : i + margin + 1, max(j - margin, 0) : j + margin + 1] = True
-        out[a, b] = np.where(near[a, b], n, out[a, b])
-    return out
-
-
-def dust(df: DataFrame, threshold: float = 0.1, mode: str = "fill", levels: int = 3) -> DataFrame:
-    """stack, y, x, v, spot: dust found and filled from around it, or flattened by its gain; other pixels are unchanged. Spots number by area."""
-
-    def run(group: pa.Table) -> pa.Table:
-        v = plane(group, "v")
-        spot = detect_dust(v, threshold, levels)
-        if mode == "fill":
-            out = pull_push(v, (spot == 0).astype(float))
-        else:
-            back = background(v, (spot == 0).astype(float), levels)
-            out = v * np.clip(back / np.maximum(v, 1e-6), 0.25, 4.0)
-        out = np.where(spot > 0, out, v)
-        y, x = np.indices(v.shape)
-        return pa.table({"stack": pa.array(np.full(v.size, group["stack"][0].as_py()), pa.int64()), "y": pa.array(y.ravel(), pa.int32()), "x": pa.array(x.ravel(), pa.int32()), "v": out.ravel(), "spot": pa.array(spot.ravel(), pa.int64())})
-
-    return df.groupBy("stack").applyInArrow(run, "stack long, y int, x int, v double, spot long")
+# ---- report -----------------------------------------------------------------------------------
 
 
 def report(t: Transform, h: int, w: int) -> str:

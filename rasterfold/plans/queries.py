@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterfold.functions import pixels as P
 from rasterfold.functions.kernels import KERNELS, bilinear_taps, burt_taps
-from rasterfold.operators import batch, bright, depth, focus, fuse, geometry, retouch, run, solvers, stencil
+from rasterfold.operators import batch, bright, depth, focus, fuse, geometry, run, solvers, stencil
 from rasterfold.operators.geometry import Transform
 from rasterfold.sources.rasters import FRAMES, HEIGHT, WIDTH, captures, emb_stack, frame_list, li_stack, table
 
@@ -549,7 +549,7 @@ def unit_lengths(spark, d):
     return rounded(table(spark, d, "part").select("p_partkey", batch.length_um(s).alias("um")))
 
 
-# ---- solvers and retouching
+# ---- solvers
 
 
 @query
@@ -569,26 +569,6 @@ def registration(spark, d):
     return rounded(solvers.align(gray(spark, d).withColumn("stack", F.lit(0).cast("long"))).drop("m"), 5)
 
 
-@query
-def bright_regions(spark, d):
-    return solvers.regions(gray(spark, d).select(F.col("frame").cast("long").alias("stack"), "y", "x", (F.col("v") > 0.52).cast("int").alias("mask")))
-
-
-@query
-def dust_fill(spark, d):
-    spots = F.when(F.pow(F.col("y") - 10, 2) + F.pow(F.col("x") - 12, 2) < 5, 0.4).otherwise(1.0)
-    g = gray(spark, d).select(F.col("frame").cast("long").alias("stack"), "y", "x", ((0.7 + 0.02 * F.col("v")) * spots).alias("v"))
-    return rounded(solvers.dust(g, 0.15, "fill", 2))
-
-
-@query
-def brush_strokes(spark, d):
-    s = li_stack(spark, d)
-    target, source = (s.filter(f"frame = {f}").select("y", "x", P.quantise(F.col("g"), 16).alias("v")) for f in (0, 1))
-    dabs = spark.createDataFrame([(0, 0, 8.0, 9.0, 4.0, 0.5), (0, 1, 10.0, 9.0, 4.0, 0.5), (1, 0, 20.0, 15.0, 6.0, 0.0), (2, 0, 3.0, 3.0, 3.0, 0.2)], "stroke int, seq int, dx double, dy double, r double, hard double")
-    return retouch.replay(target, source, dabs, 1)
-
-
 # ---- stacks as a whole
 
 

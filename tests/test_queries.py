@@ -7,7 +7,10 @@ import pytest
 
 from rasterfold.plans.oracle import ORACLE_SQL
 from rasterfold.plans.queries import QUERIES
+from rasterfold.plans.scene_oracle import SCENE_SQL
+from rasterfold.plans.scene_queries import SCENE_QUERIES
 
+ALL_SQL, ALL = {**ORACLE_SQL, **SCENE_SQL}, {**QUERIES, **SCENE_QUERIES}
 DIR = "/root/testdata/sf0.001"
 
 
@@ -25,11 +28,11 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ALL_SQL))
 def test_sql(spark, con, name):
-    df = QUERIES[name](spark, DIR)
+    df = ALL[name](spark, DIR)
     cols = sorted(df.columns)
-    rel = con.sql(ORACLE_SQL[name])
+    rel = con.sql(ALL_SQL[name])
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
@@ -38,8 +41,3 @@ def test_sql(spark, con, name):
 
 def test_anaglyph_and_view_cover_the_frame(spark):
     assert QUERIES["sheared_view"](spark, DIR).count() == QUERIES["anaglyph"](spark, DIR).count() == 768
-
-
-def test_dust_fill_brightens_the_spot(spark):
-    rows = QUERIES["dust_fill"](spark, DIR).filter("spot > 0").collect()
-    assert rows and min(r["v"] for r in rows) > 0.5
