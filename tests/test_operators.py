@@ -85,18 +85,12 @@ def test_folder_reads_back(spark, tmp_path):
     assert len(rows) == 24 and all(round(r["r"] * 255) == px[r["y"], r["x"], 0] for r in rows)
 
 
-def test_settle_and_quiet(spark, tmp_path):
+def test_settle_and_quiet(spark):
     from rasterfold.streaming import watch
 
     rows = [("a", 10, 1.0, 0.0), ("a", 10, 1.0, 1.0), ("a", 10, 1.0, 2.5), ("a", 10, 1.0, 4.0), ("b", 1, 1.0, 0.0), ("b", 2, 1.5, 2.5), ("b", 2, 1.5, 4.6)]
     got = watch.settle(spark.createDataFrame(rows, "path string, size long, mtime double, at double")).collect()
     assert sorted((r["path"], r["at"]) for r in got) == [("a", 2.5), ("b", 4.6)]
-    schema = "path string, size long, mtime double, at double"
-    for k in range(2):  # sightings of two looks, as two files of a stream
-        spark.createDataFrame(rows[k::2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = watch.settle(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("settled").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert {r["path"] for r in spark.table("settled").collect()} == {"a", "b"}
     files = spark.sql("select 0 watch, timestamp_seconds(t) ts, concat('f', t) path from values (0), (5), (30) v(t)")
     assert sorted(len(r["files"]) for r in watch.close_quiet(files, 10).collect()) == [1, 2]
 
