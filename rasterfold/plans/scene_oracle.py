@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterfold.plans.oracle import EMB, FK, GRAY, LI, LUMA, RGB, H, N, W, exp, red, sep, win
+from rasterfold.plans.oracle import EMB, FK, GRAY, LI, LUMA, ORACLE_SQL, RGB, H, N, W, exp, red, sep, win
 
 #: Both engines round a hair above, as the tables hold short decimals.
 HAIR = "2.7e-10"
@@ -125,6 +125,14 @@ ht AS (SELECT a.stack, a.y, a.x, b.v AS s, slot, seq, hard, sqrt(pow(a.x - dx, 2
 hk AS (SELECT *, row_number() OVER (PARTITION BY stack, y, x ORDER BY slot, seq) AS k, least(greatest((t - hard) / (1 - hard), 0.0), 1.0) AS u FROM ht WHERE t < 1),
 pt(stack, y, x, k, v) AS (SELECT stack, y, x, 0::BIGINT, v::DOUBLE FROM im WHERE frame = 0 UNION ALL SELECT p.stack, p.y, p.x, h.k, floor(p.v + (1 - u * u * (3 - 2 * u)) * (h.s - p.v) + 0.5) FROM pt p JOIN hk h ON h.stack = p.stack AND h.y = p.y AND h.x = p.x AND h.k = p.k + 1)"""
 
+
+
+def _stl() -> str:
+    names = [f"{k}_{x}" for k in "abc" for x in "xyz"]
+    p = ", ".join(f"{n[0]}.p{n[2]} AS {n}" for n in names)
+    return f"WITH h AS ({ORACLE_SQL['heightfield']}), t AS ({ORACLE_SQL['mesh_triangles']}), w AS (SELECT j * 8 + i AS k, px, py, pz FROM h), m AS (SELECT {p} FROM t JOIN w a ON a.k = t.a JOIN w b ON b.k = t.b JOIN w c ON c.k = t.c) SELECT {rnd(names)} FROM m"
+
+
 SCENE_SQL = {
     "shifted_proxy": f"WITH {GRAY}, {shifts(1)}, m AS {blocks('gray', 3, ['v'])} SELECT view, frame, y, x, {rnd(['v', 'inside'])} FROM m",
     "shifted_frames": _fine(),
@@ -137,6 +145,7 @@ SCENE_SQL = {
 r AS (SELECT frame, count(*) AS rejected FROM bl WHERE greatest(x1 - x0 + 1, y1 - y0 + 1) * 4 > {min(HH, HW)} GROUP BY frame), j AS (SELECT frame, coalesce(n, 0) AS n, lo, hi, coalesce(covered, 0) AS covered, coalesce(rejected, 0) AS rejected FROM f FULL JOIN c USING (frame) FULL JOIN r USING (frame))
 SELECT frame, n AS spots, covered, rejected, CASE WHEN n = 0 THEN 'no dust spots' ELSE n || ' dust spot' || CASE WHEN n = 1 THEN '' ELSE 's' END || ', ' || CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '–' || hi END || ' px across, ' || printf('%.2f', 100.0 * covered / {H * W}) || ' % of the frame' END || CASE WHEN rejected = 0 THEN '' ELSE ' (' || rejected || ' blob' || CASE WHEN rejected = 1 THEN '' ELSE 's' END || ' wider than a quarter of the frame left out: not dust)' END AS report FROM j""",
     "dust_flat": f"WITH RECURSIVE {SPOTS}, {GAIN}, ga AS (SELECT frame, y, x, product(gain) AS gain, max(spot) AS spot FROM gn GROUP BY ALL), {SHOTS} SELECT so.frame, shot, so.y, so.x, round(v * coalesce(gain, 1.0) + {HAIR}, 6) + 0.0 AS v, coalesce(spot, 0) AS spot FROM so LEFT JOIN ga USING (frame, y, x)",
+    "mesh_stl": _stl(),
     "history_depths": f"WITH RECURSIVE {LOG} SELECT list, place AS undos, top - place AS redos FROM fin",
     "history_live": f"WITH RECURSIVE {LOG} SELECT list, slot, stroke FROM lv",
     "brush_strokes": f"WITH RECURSIVE {BRUSH} SELECT stack, y, x, arg_max(v, k)::BIGINT AS v FROM pt GROUP BY ALL",

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterfold.functions import pixels as P
-from rasterfold.operators import dust, refold, regions, retouch
+from rasterfold.operators import dust, geometry, refold, regions, retouch
+from rasterfold.operators.keep import kept
 from rasterfold.operators.stencil import reduce
-from rasterfold.plans.queries import RGB, H, W, gray, rounded
+from rasterfold.plans.queries import H, W, _mesh, gray, rounded
+from rasterfold.sources import meshes
 from rasterfold.sources.rasters import FRAMES, emb_stack, li_stack, table
 
 SCENE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +113,14 @@ def dust_flat(spark, d):
     return rounded(dust.flatten(_shot(spark, d), _map(spark, d), ["v"], ["frame"], "shot"))
 
 
+@query
+def mesh_stl(spark, d):
+    """The triangles of the lineitem stack's relief, read back from the bytes of an STL file."""
+    m = kept(_mesh(spark, d).withColumn("pz", F.round("pz", 9)))  # its triangles and their corners read it
+    read = meshes.stl_triangles(meshes.stl_chunks(m, geometry.triangles(m, 8, []), 8))
+    return rounded(read.select(*[F.col(f"{k}{x}").alias(f"{k}_{x}") for k in "abc" for x in "xyz"]))
+
+
 # ---- retouching
 
 
