@@ -93,7 +93,7 @@ def worker_store(name: str) -> dict:
 
 
 def fresh_worker(keep: str = "") -> None:
-    """At a task's start, rid its Python worker of what other operators left there: their caches, and their pause of garbage collection."""
+    """At a task's start or end, rid its Python worker of what operators left there: their caches, and their pause of garbage collection."""
     import ctypes
     import gc
 

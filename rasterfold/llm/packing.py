@@ -16,57 +16,78 @@ import bisect
 import gc
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import cut, documents_of, fresh_worker, gapless_rank, prepare, worker_store
+from rasterfold.llm.common import cut, documents_of, fresh_worker, gapless_rank, prepare
 
-#: Words whose ids a worker remembers, as they stand in the text and, as many again, without the punctuation after them (about 200 bytes each).
-CACHE = 500_000
+#: A task's memory for the ids of words, in bytes; it is given back when the task ends.
+CACHE = 96_000_000
 PUNCTUATION = ".,;:!?"
 
 
 # ---- tokens -----------------------------------------------------------------------------------
 
 
+class Recent(dict):
+    """Values by word in two generations: when the young one is full it becomes the old one, from which words that come again are taken back."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.size, self.old = limit // 2, 0, {}
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Words without a value. Room is made here and nowhere else, so what is in afterwards stays until the next call."""
+        if self.size > self.limit:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        out = []
+        for w in words:
+            if w not in self:
+                value = self.old.get(w)
+                if value is None:
+                    out.append(w)
+                else:
+                    self.add(w, value)
+        return out
+
+    def add(self, word: str, value: bytes) -> None:
+        self[word] = value
+        self.size += 200 + len(word) + len(value)
+
+
 class Words:
     """Ids of white-space separated words as bytes, remembered. The tokenizer's pattern cuts letters from punctuation, so `word,` is `word` and `,`."""
 
     def __init__(self, tokenizer: str, cache: int) -> None:
         from tokenizers import Tokenizer
 
-        self.cache = cache
-
         self.encoder = Tokenizer.from_file(tokenizer)
-        self.known: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.known, self.bare = Recent(cache // 2), Recent(cache // 2)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.cache:
-            self.known.clear()
-        if len(self.bare) > self.cache:
-            self.bare.clear()
         known, bare = self.known, self.bare
+        new = known.missing(words)
         known[""] = b""
-        new = [w for w in words if w not in known]
         bases = [w.rstrip(PUNCTUATION) for w in new]
         bases = [(x.lower() if x.isascii() else x) if x.isalpha() else w for x, w in zip(bases, new)]
-        whole = {x for x in bases if x not in bare}
-        whole.update(x for x in {w[len(b) :] for w, b in zip(new, bases)} if x not in bare)
+        whole = set(bare.missing({*bases, *(w[len(b) :] for w, b in zip(new, bases))}))
         # Plain small letters pass the normaliser and the pattern as they are.
         plain = [x for x in whole if x.isascii() and x.isalpha() and x.islower()]
         tokenize = self.encoder.model.tokenize
         for x in plain:
-            bare[x] = array("I", [t.id for t in tokenize(x)]).tobytes()
+            bare.add(x, array("I", [t.id for t in tokenize(x)]).tobytes())
         rest = list(whole.difference(plain))
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
-            bare.update(zip(part, [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(part, add_special_tokens=False)]))
-        known.update(zip(new, [bare[b] + bare[w[len(b) :]] if len(b) < len(w) else bare[b] for w, b in zip(new, bases)]))
+            for x, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False)):
+                bare.add(x, array("I", e.ids).tobytes())
+        for w, b in zip(new, bases):
+            known.add(w, bare[b] + bare[w[len(b) :]] if len(b) < len(w) else bare[b])
 
 
 def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool, cache: int):
@@ -74,14 +95,14 @@ def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool, cache: int)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        fresh_worker(keep="packing")
-        gc.freeze()
-        gc.disable()  # the caches hold no cycles, and walking them costs more than the work
-        store = worker_store("packing")
-        if (tokenizer, cache) not in store:
-            store.clear()
-            store[tokenizer, cache] = Words(tokenizer, cache)
-        words_ids = store[tokenizer, cache]
+        fresh_worker()
+        gc.disable()  # the memory of words holds no cycles, and walking it costs more than the work
+        try:
+            yield from pieces(Words(tokenizer, cache), batches)
+        finally:
+            fresh_worker()
+
+    def pieces(words_ids: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([end], "<u4").tobytes()
         wide = 4 * capacity
         for batch in batches:
@@ -262,7 +283,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: i
     """doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset.
 
     Null and empty texts are one piece of the end id alone. Only documents over capacity are cut. Repeated rows are each packed;
-    an empty table gives no rows; other columns are ignored. `cache` is how many words a worker remembers, and changes no result.
+    an empty table gives no rows; other columns are ignored. `cache` is how many bytes a task spends on remembered words, and changes no result.
     """
     packed = pack_pieces(token_pieces(docs, tokenizer, capacity, end, keep_ids, cache), capacity, rounds)
     return packed if keep_ids else packed.drop("ids")

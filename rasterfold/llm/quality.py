@@ -144,12 +144,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", s
     """doc_id, held_out, score, predicted for every row; learned from labels of rows that aren't held out.
 
     Only the statistics of the text enter a score. Null and empty texts get the score of all-zero statistics. Labels that are
-    null, or of documents that aren't there, teach nothing; repeated rows are each scored; without labels, or with one class,
+    null, or of documents that aren't there, teach nothing, of labels that repeat a doc_id the greatest counts; repeated rows are each scored; without labels, or with one class,
     all scores are one number. Empty table: no rows. Other columns are ignored.
     """
     prepare(docs.sparkSession)
     table = cut(documents_of(docs).mapInArrow(_statistics, "doc_id long, x array<double>"))
-    marks = labels.select("doc_id", F.col(target).cast("int").alias("y")).filter("y is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    marks = labels.select("doc_id", F.col(target).cast("int").alias("y")).filter("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     drawn = sampled(marks.filter(~is_held_out(F.col("doc_id"))), sample)
     known = table.join(drawn, "doc_id").orderBy("doc_id").collect()
     model = fit(np.array([r["x"] for r in known]).reshape(len(known), len(FEATURES)), np.array([r["y"] > 0 for r in known], float))

@@ -2,8 +2,8 @@
 
 Categories are predicted one after the other; the probabilities that earlier models give are inputs of the later ones. While
 the later ones are trained, those inputs are out-of-fold: each training row's come from models that haven't seen it, over inputs
-chosen without it. The other inputs are marks of presence for words and word beginnings, by default the ones most associated
-with a category in a bounded sample of labelled documents (or all of them, with inputs=None); a beginning has a mark for each of LEVELS, if so many distinct words of the text start with it. Scoring
+chosen without it. The other inputs are marks of presence for words and word beginnings, all those whose association with a
+category, for or against it, in a bounded sample of labelled documents is beyond chance; a beginning has a mark for each of LEVELS, if so many distinct words of the text start with it. Scoring
 looks each distinct word of a whole text up once.
 """
 
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from rasterfold.llm.common import cut, documents_of, fresh_worker, prepare
 from rasterfold.llm.quality import sampled
 
-#: Labelled documents that a chain is fitted on, at most, and inputs that a model of it looks at, unless told otherwise.
-SAMPLE, INPUTS = 15_000, 2000
+#: Labelled documents that a chain is fitted on, at most.
+SAMPLE = 15_000
+#: Chi-square (one degree of freedom) of a mark and a category from which the mark is an input: by chance in one of a hundred thousand marks.
+LEAST = 20.0
 FOLDS, ROUNDS, L2 = 4, 250, 2e-4
 STARTS, LEVELS = (3, 4, 5, 6, 7), (1, 2, 3, 5)
 _WORD = re.compile(r"[^\W_]+")
@@ -156,18 +158,19 @@ def _score(chosen: list[int], weights: list[np.ndarray], names: list[str]):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], threshold: float = 0.5, sample: int = SAMPLE, inputs: int | None = INPUTS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], threshold: float = 0.5, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
     """doc_id, p_<category> for each category in chain order, toxic (the last category's probability reaches the threshold).
 
-    `labels` has doc_id and a 0/1 column for each category. Null labels count as 0; labels of absent documents teach nothing;
-    without labels nothing is toxic. `inputs` is how many marks each model may look at, the most associated ones; None lets it
-    look at every mark that two documents of the sample share. Null, empty and wordless texts have no inputs and get the bias
+    `labels` has doc_id and a 0/1 column for each category. Null labels count as 0, and of labels that repeat a doc_id the greatest
+    counts; labels of absent documents teach nothing; without labels nothing is toxic. Inputs are the marks that two documents
+    of the sample share and whose chi-square with a category reaches `least`; 0 takes them all. Null, empty and wordless texts have no inputs and get the bias
     alone. A text that repeats with the same labels counts once in the sample. Repeated rows are each scored; an empty table
     gives no rows; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     docs = documents_of(docs)
-    marks = sampled(labels.select("doc_id", *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories)]).filter("doc_id is not null").dropDuplicates(["doc_id"]), sample)
+    each = labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories)])
+    marks = sampled(each, sample)
     ys = [f"y{k}" for k in range(len(categories))]
     # The sample is bounded, so its labels may be broadcast: texts needn't move.
     # Copies teach a model nothing more, so a text counts once for each set of labels.
@@ -185,15 +188,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], th
     totals = rows.agg(*[x for f in range(FOLDS + 1) for x in sums(f)]).first()
     counts = rows.select(F.explode("inputs").alias("input"), "fold", *ys).groupBy("input").agg(*[x for f in range(FOLDS + 1) for x in sums(f)]).filter(f"n{FOLDS} > 1")
 
-    def surprise(y: str, f: int) -> Column:
-        """(Observed - expected) squared over the variance, for inputs that the category has more often than expected; others tell little."""
-        p = min(max((totals[f"{y}_{f}"] or 0) / max(totals[f"n{f}"] or 0, 1), 1e-6), 1 - 1e-6)
+    def association(y: str, f: int) -> Column:
+        """Chi-square of a mark and a category: (observed - expected) squared over the variance."""
+        total = max(totals[f"n{f}"] or 0, 1)
+        p = min(max((totals[f"{y}_{f}"] or 0) / total, 1e-6), 1 - 1e-6)
         n = F.col(f"n{f}")
-        return F.pow(F.greatest(F.col(f"{y}_{f}") - n * p, F.lit(0.0)), 2) / (n * p * (1 - p) + 1)
+        return F.pow(F.col(f"{y}_{f}") - n * p, 2) / F.greatest(n * (1 - n / total) * p * (1 - p), F.lit(1e-9))
 
-    # Bounded by the marks of the sample's documents; `inputs` rows for each of FOLDS + 1 lists, unless it is None.
-    scores = cut(counts.select("input", *[F.greatest(*[surprise(y, f) for y in ys], F.lit(0.0)).alias(f"s{f}") for f in range(FOLDS + 1)]))
-    lists = [[r["input"] for r in (scores.orderBy(F.desc(f"s{f}"), "input").limit(inputs) if inputs is not None else scores).select("input").collect()] for f in range(FOLDS + 1)]
+    # Bounded by the marks of the sample's documents.
+    scores = cut(counts.select("input", *[f"n{f}" for f in range(FOLDS + 1)], *[F.greatest(*[association(y, f) for y in ys], F.lit(0.0)).alias(f"s{f}") for f in range(FOLDS + 1)]))
+    lists = [[r["input"] for r in scores.filter((F.col(f"s{f}") >= least) & (F.col(f"n{f}") > 1)).select("input").collect()] for f in range(FOLDS + 1)]
     chosen = sorted(set().union(*lists))
     place = {h: i for i, h in enumerate(chosen)}
     allowed = np.zeros((FOLDS + 1, len(chosen)), bool)

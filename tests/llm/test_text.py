@@ -221,3 +221,48 @@ def test_sql_of_the_new_queries(spark):
         got = QUERIES[name](spark, DIR)
         rel = con.sql(ORACLE_SQL[name])
         assert sorted(map(tuple, got.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+
+
+def test_toxicity_scorer_is_its_inputs_summed(spark):
+    """The scorer's own way to a text's marks against text_inputs, which the models are fitted on."""
+    import pyarrow as pa
+
+    from rasterfold.llm import toxicity
+
+    rng = random.Random(4)
+    words = [a + b for a in ("insul", "insula", "inspir", "plain", "x") for b in ("", "t", "ted", "tings", "ation")]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 30]))).title() for _ in range(60)] + ["", "?!", "ÉCLAIR insult_insult"]
+    every = sorted({h for t in texts for h in toxicity.text_inputs(t)})
+    chosen = sorted(rng.sample(every, len(every) // 2))
+    weights = [np.array([*np.linspace(-1, 1, len(chosen)), -0.2]), np.array([*np.linspace(0.5, -0.5, len(chosen)), 0.7, 0.1])]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    got = [r for b in toxicity._score(chosen, weights, ["a", "b"])(iter([batch])) for r in b.to_pylist()]
+    for r, t in zip(got, texts):
+        own = [chosen.index(h) for h in toxicity.text_inputs(t) if h in set(chosen)]
+        p = 1 / (1 + np.exp(-(weights[0][own].sum() + weights[0][-1])))
+        q = 1 / (1 + np.exp(-(weights[1][own].sum() + 0.7 * p + 0.1)))
+        assert abs(r["p_a"] - p) < 1e-12 and abs(r["p_b"] - q) < 1e-12
+
+
+def test_labels_that_repeat_count_as_the_greatest(spark):
+    from rasterfold.llm import quality, toxicity
+
+    docs = spark.createDataFrame([(k, ("vile scum " if k % 3 == 0 else "calm kind ") + "word " * (k % 5)) for k in range(120)], "doc_id long, text string")
+    once = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    twice = once.unionByName(spark.createDataFrame([(k, 0) for k in range(120)] + [(5, None)], "doc_id long, toxic int"))
+    score = lambda labels: sorted(map(tuple, toxicity.score_toxicity(docs, labels, ["toxic"], least=3.0).collect()))
+    assert score(once) == score(twice)
+    grade = lambda labels: sorted(map(tuple, quality.score_quality(docs, labels.withColumnRenamed("toxic", "quality")).collect()))
+    assert grade(once) == grade(twice)
+
+
+def test_words_are_remembered_in_two_generations():
+    from rasterfold.llm.packing import Recent
+
+    rng, r = random.Random(1), Recent(10_000)
+    for _ in range(300):
+        batch = {f"w{int(rng.expovariate(0.05))}" for _ in range(15)}
+        for w in r.missing(batch):
+            r.add(w, w.encode())
+        assert all(r[w] == w.encode() for w in batch)
+        assert r.size < 5_000 + 15 * 220 and len(r) + len(r.old) < 80
