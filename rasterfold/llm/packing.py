@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rasterfold.llm.common import cut, documents_of, fresh_worker, gapless_rank, prepare
 
 #: A task's memory for the ids of words, in bytes; it is given back when the task ends.
-CACHE = 96_000_000
+CACHE = 200_000_000
 PUNCTUATION = ".,;:!?"
 
 
