@@ -45,19 +45,17 @@ class Recent(dict):
         if self.size > self.limit:
             self.old, self.size = dict(self), 0
             self.clear()
-        out = []
-        for w in words:
-            if w not in self:
-                value = self.old.get(w)
-                if value is None:
-                    out.append(w)
-                else:
-                    self.add(w, value)
+        out = [w for w in words if w not in self]
+        if self.old:
+            old = self.old
+            again = [w for w in out if w in old]
+            self.fill(again, [old[w] for w in again])
+            out = [w for w in out if w not in old]
         return out
 
-    def add(self, word: str, value: bytes) -> None:
-        self[word] = value
-        self.size += 200 + len(word) + len(value)
+    def fill(self, words: list[str], values: list[bytes]) -> None:
+        self.update(zip(words, values))
+        self.size += 210 * len(words) + sum(map(len, values))
 
 
 class Words:
@@ -79,15 +77,12 @@ class Words:
         # Plain small letters pass the normaliser and the pattern as they are.
         plain = [x for x in whole if x.isascii() and x.isalpha() and x.islower()]
         tokenize = self.encoder.model.tokenize
-        for x in plain:
-            bare.add(x, array("I", [t.id for t in tokenize(x)]).tobytes())
+        bare.fill(plain, [array("I", [t.id for t in tokenize(x)]).tobytes() for x in plain])
         rest = list(whole.difference(plain))
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
-            for x, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False)):
-                bare.add(x, array("I", e.ids).tobytes())
-        for w, b in zip(new, bases):
-            known.add(w, bare[b] + bare[w[len(b) :]] if len(b) < len(w) else bare[b])
+            bare.fill(part, [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(part, add_special_tokens=False)])
+        known.fill(new, [bare[b] + bare[w[len(b) :]] if len(b) < len(w) else bare[b] for w, b in zip(new, bases)])
 
 
 def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool, cache: int):

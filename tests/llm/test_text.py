@@ -262,7 +262,7 @@ def test_words_are_remembered_in_two_generations():
     rng, r = random.Random(1), Recent(10_000)
     for _ in range(300):
         batch = {f"w{int(rng.expovariate(0.05))}" for _ in range(15)}
-        for w in r.missing(batch):
-            r.add(w, w.encode())
+        new = r.missing(batch)
+        r.fill(new, [w.encode() for w in new])
         assert all(r[w] == w.encode() for w in batch)
         assert r.size < 5_000 + 15 * 220 and len(r) + len(r.old) < 80
