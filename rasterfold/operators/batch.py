@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterfold.operators.order import numbered, running
+
 IMAGE_TYPES = ("png", "jpg", "jpeg", "tif", "tiff")
 
 
@@ -40,7 +42,8 @@ def natural_key(path: Column) -> Column:
 
 def natural_order(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Adds n, the place in natural order; equal names keep their order."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(natural_key(F.col("path")), position)) - 1)
+    placed = numbered(df.withColumn("_natural", natural_key(F.col("path"))), ["_natural", position], "n", keys)
+    return placed.drop("_natural")
 
 
 def skip_list(spec: str, n: int) -> list[int]:
@@ -70,20 +73,20 @@ def split_gap(df: DataFrame, gap: float, keys: list[str]) -> DataFrame:
 
 
 def split_count(df: DataFrame, n: int, keys: list[str], order: str = "frame") -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return df.withColumn("stack", F.floor(place / max(n, 1)).cast("long"))
+    placed = numbered(df, [order], "_place", keys)
+    return placed.withColumn("stack", F.floor(F.col("_place") / max(n, 1)).cast("long")).drop("_place")
 
 
 def split_dir(df: DataFrame, position: str, consecutive: bool = False) -> DataFrame:
     """Adds stack: one a folder, in the order in which folders first appear; or one for each run of a folder."""
     at = df.withColumn("_d", folder(F.col("path")))
     if consecutive:
-        order = Window.orderBy(position)
-        new = F.when(F.col("_d") != F.lag("_d").over(order), 1).otherwise(0)
-        return at.withColumn("_n", new).withColumn("stack", F.sum("_n").over(order)).drop("_d", "_n")
-    first = at.groupBy("_d").agg(F.min(position).alias("_p"))
-    first = first.select("_d", (F.row_number().over(Window.orderBy("_p")) - 1).cast("long").alias("stack"))
-    return at.join(first, "_d").drop("_d")
+        placed = numbered(at, [position], "_at")
+        before = placed.select((F.col("_at") + 1).alias("_at"), F.col("_d").alias("_before"))
+        new = placed.join(before, "_at", "left").withColumn("_new", F.coalesce(F.col("_d") != F.col("_before"), F.lit(False)).cast("long"))
+        return running(new, ["_at"], "stack", F.col("_new")).withColumn("stack", F.col("stack") + F.col("_new")).select(*df.columns, "stack")
+    first = numbered(at.groupBy("_d").agg(F.min(position).alias("_p")), ["_p"], "stack").drop("_p")
+    return at.join(first, "_d").select(*df.columns, "stack")
 
 
 def split_info(df: DataFrame, keys: list[str]) -> DataFrame:

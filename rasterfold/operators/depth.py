@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterfold.functions.pixels import clamp
+from rasterfold.operators.order import order_statistic
 from rasterfold.operators.stencil import box, guided
 
 CELL = ["y", "x"]
@@ -30,9 +31,9 @@ def every_seventh(df: DataFrame, value: str, share_num: int, share_den: int, key
     """One order statistic of every 7th cell in row-major order: the element at index n * num div den (0-based)."""
     some = df.withColumn("_i", F.col("y") * width + F.col("x")).filter("_i % 7 = 0")
     if not keys:
-        some = some.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
-    ranked = some.select(*by, value, F.row_number().over(Window.partitionBy(*by).orderBy(value)).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+        return order_statistic(some, value, lambda n: F.least(F.floor(n * share_num / share_den), n - 1), CELL)
+    stack = Window.partitionBy(*keys)
+    ranked = some.select(*keys, value, F.row_number().over(stack.orderBy(value)).alias("_r"), F.count("*").over(stack).alias("_n"))
     at = ranked.filter(F.col("_r") - 1 == F.least(F.floor(F.col("_n") * share_num / share_den), F.col("_n") - 1))
     return at.select(*keys, F.col(value).alias("stat"))
 
@@ -121,12 +122,14 @@ def render_by_depth(layers: DataFrame, depth: DataFrame, keys: list[str]) -> Dat
 def peaking(energy: DataFrame, share: float, keys: list[str]) -> DataFrame:
     """Frames in focus at a cell: e at least share^2 of the cell's largest, where that is over 2 % of its 99.5th percentile."""
     top = energy.groupBy(*keys, *CELL).agg(F.max("e").alias("top"))
-    if not keys:
-        top = top.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
-    ranked = top.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("top"))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    p = ranked.filter(F.col("_r") - 1 == F.least(F.floor(F.col("_n") * 0.995), F.col("_n") - 1)).select(*by, F.col("top").alias("p995"))
-    cells = top.join(F.broadcast(p), by).select(*keys, *CELL, "top", "p995")
+    if keys:
+        stack = Window.partitionBy(*keys)
+        ranked = top.withColumn("_r", F.row_number().over(stack.orderBy("top"))).withColumn("_n", F.count("*").over(stack))
+        p = ranked.filter(F.col("_r") - 1 == F.least(F.floor(F.col("_n") * 0.995), F.col("_n") - 1)).select(*keys, F.col("top").alias("p995"))
+        cells = top.join(p, keys).select(*keys, *CELL, "top", "p995")
+    else:
+        p = order_statistic(top, "top", lambda n: F.least(F.floor(n * 0.995), n - 1), CELL).select(F.lit(0).alias("_all"), F.col("stat").alias("p995"))
+        cells = top.withColumn("_all", F.lit(0)).join(F.broadcast(p), "_all").select(*CELL, "top", "p995")
     at = energy.join(cells, [*keys, *CELL])
     return at.select(*keys, "frame", *CELL, ((F.col("e") >= share * share * F.col("top")) & (F.col("top") > 0.02 * F.col("p995"))).alias("sharp"))
 

@@ -269,15 +269,22 @@ ORACLE_SQL = {
     "frame_pick": f"WITH {WIN}, vo AS (SELECT a.y, a.x, b.winner, sum(CASE WHEN a.y = b.y AND a.x = b.x THEN 1.5 ELSE 1.0 END) AS n FROM won a JOIN won b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) SELECT y, x, winner AS frame FROM vo QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY n DESC, winner) = 1",
     "in_focus_render": f"WITH {WIN}, gr AS (SELECT y, x, {LUMA} AS v FROM li WHERE frame = 3), m AS {box('gr', 2, ['v'], [])}, k AS (SELECT won.y, won.x, 1 - 0.7 * least(greatest((abs(winner - 3) - 0.5) / 2.0, 0.0), 1.0) * (1 - least(greatest(abs(gr.v - m.v), 0.0), 1.0)) AS k FROM won JOIN gr USING (y, x) JOIN m USING (y, x)) SELECT y, x, {', '.join(f'round({c} * k, 6) + 0.0 AS {c}' for c in RGB)} FROM li JOIN k USING (y, x) WHERE frame = 3",
     **{f"warp_{k}": _warp(k) for k in ("nearest", "bilinear", "bicubic", "spline4x4", "spline6x6", "lanczos3")},
-    "common_area": f"WITH {GRAY}, {_moves()}, iv AS (SELECT frame, y, min(x) AS lo, max(x) AS hi FROM ok WHERE frame > 0 AND sx >= 2 AND sx <= {W - 3} AND sy >= 2 AND sy <= {H - 3} GROUP BY frame, y), rw AS (SELECT y, max(lo) AS lo, min(hi) AS hi FROM iv GROUP BY y HAVING count(*) = {N - 1} AND max(lo) <= min(hi)), pr AS (SELECT a.y AS y0, b.y AS y1, max(c.lo) AS lo, min(c.hi) AS hi, count(*) AS n FROM rw a, rw b, rw c WHERE a.y <= b.y AND c.y BETWEEN a.y AND b.y GROUP BY a.y, b.y) SELECT lo AS x, y0 AS y, hi - lo + 1 AS w, y1 - y0 + 1 AS h FROM pr WHERE n = y1 - y0 + 1 AND lo <= hi ORDER BY (hi - lo + 1) * (y1 - y0 + 1) DESC, y0, y1 LIMIT 1",
+    "common_area": """WITH mv AS (SELECT vec_id // 10 AS stack, vec_id % 10 AS frame, list_transform(embedding[1:6], lambda v: v::DOUBLE) AS e FROM embeddings),
+placed AS (SELECT stack, frame, gx.i AS x, gy.i AS y, (1 + 0.1 * e[1]) * gx.i + 0.1 * e[2] * gy.i + 2 * e[3] AS sx, 0.1 * e[4] * gx.i + (1 + 0.1 * e[5]) * gy.i + 2 * e[6] AS sy FROM mv, range(8) gx(i), range(8) gy(i)),
+ok AS (SELECT stack, y, x FROM placed GROUP BY stack, y, x HAVING bool_and(sx BETWEEN 1 AND 6 AND sy BETWEEN 1 AND 6)),
+rw AS (SELECT stack, y, min(x) AS lo, max(x) AS hi FROM ok GROUP BY stack, y),
+pr AS (SELECT a.stack, a.y AS y0, b.y AS y1, max(c.lo) AS lo, min(c.hi) AS hi, count(*) AS n FROM rw a JOIN rw b ON a.stack = b.stack AND a.y <= b.y JOIN rw c ON a.stack = c.stack AND c.y BETWEEN a.y AND b.y GROUP BY a.stack, a.y, b.y),
+best AS (SELECT * FROM pr WHERE n = y1 - y0 + 1 AND lo <= hi QUALIFY row_number() OVER (PARTITION BY stack ORDER BY (hi - lo + 1) * (y1 - y0 + 1) DESC, y0, y1) = 1)
+SELECT stack, coalesce(lo, 0)::INTEGER AS x, coalesce(y0, 0)::INTEGER AS y, coalesce(hi - lo + 1, 8)::INTEGER AS w, coalesce(y1 - y0 + 1, 8)::INTEGER AS h FROM (SELECT DISTINCT stack FROM mv) LEFT JOIN best USING (stack)""",
     "restretch": f"WITH {GRAY}, s AS (SELECT frame, y - 2 AS y, x - 4 AS x, v FROM gray WHERE x >= 4 AND x < 28 AND y >= 2 AND y < 22) SELECT frame, y, x, {rnd(['v'])} FROM {sep('s', _spline_weights(20, H), _spline_weights(24, W), ['v'], FK)}",
-    "rocking_shifts": "SELECT i, round(0.03 * sin(2 * pi() * i / 24), 6) + 0.0 AS shift FROM range(24) t(i)",
+    "rocking_shifts": "SELECT list, frame, round(0.03 * sin(2 * pi() * frame / count(*) OVER (PARTITION BY list)), 6) + 0.0 AS shift FROM (SELECT user_id AS list, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)",
     "heightfield": f"WITH {MESH} SELECT i, j, {rnd(['px', 'py', 'pz', 'u', 'v', 'nx', 'ny', 'nz'])} FROM mesh",
     "mesh_triangles": f"WITH {MESH}, {TRI} SELECT q AS a, q + 8 AS b, CASE WHEN s THEN q + 9 ELSE q + 1 END AS c FROM tri UNION ALL SELECT CASE WHEN s THEN q ELSE q + 1 END, CASE WHEN s THEN q + 9 ELSE q + 8 END, CASE WHEN s THEN q + 1 ELSE q + 9 END FROM tri",
     "natural_order": f"WITH {FRAMES} SELECT row_number() OVER (ORDER BY array_to_string(list_transform({NATURAL}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '0' || lpad(length(regexp_replace(t, '^0+(.)', '\\1'))::VARCHAR, 3, '0') || regexp_replace(t, '^0+(.)', '\\1') ELSE t END), ''), pos) - 1 AS n, path FROM fr",
     "split_gap": f"WITH {GAP} SELECT list, stack::BIGINT AS stack, count(*) AS n, min(frame) AS first FROM gp GROUP BY list, stack",
     "split_count": f"WITH {CAP} SELECT list, (frame // 4)::BIGINT AS stack, count(*) AS n FROM cap GROUP BY list, frame // 4",
     "split_dir": f"WITH {FRAMES}, f2 AS (SELECT pos, regexp_extract(path, '^(.*)/', 1) AS d FROM fr), d2 AS (SELECT d, row_number() OVER (ORDER BY min(pos)) - 1 AS stack FROM f2 GROUP BY d) SELECT pos, stack FROM f2 JOIN d2 USING (d)",
+    "split_dir_runs": f"WITH {FRAMES}, f2 AS (SELECT pos, regexp_extract(path, '^(.*)/', 1) AS d FROM fr), d2 AS (SELECT pos, CASE WHEN d != lag(d) OVER (ORDER BY pos) THEN 1 ELSE 0 END AS s FROM f2) SELECT pos, sum(s) OVER (ORDER BY pos)::BIGINT AS stack FROM d2",
     "split_info": f"WITH {GAP}, g2 AS (SELECT list, d, stack = lag(stack) OVER (PARTITION BY list ORDER BY frame) AS same FROM gp), pz AS (SELECT list, max(d) AS pause FROM g2 WHERE d IS NOT NULL GROUP BY list), md AS (SELECT list, d AS step FROM (SELECT list, d, row_number() OVER (PARTITION BY list ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY list) AS n FROM g2 WHERE same) WHERE k = n // 2) SELECT pz.list, {rnd(['pause', 'step'])} FROM pz LEFT JOIN md USING (list)",
     "reverse_frames": f"WITH {CAP} SELECT list, (count(*) OVER (PARTITION BY list) - 1 - frame)::INTEGER AS frame, {rnd(['t'])} FROM cap",
     "skip_frames": f"WITH {FRAMES} SELECT pos, path FROM fr WHERE pos NOT IN (2, 6, 7, 8, 11)",

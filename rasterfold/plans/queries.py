@@ -12,6 +12,7 @@ from rasterfold.functions import pixels as P
 from rasterfold.functions.kernels import KERNELS, bilinear_taps, burt_taps
 from rasterfold.operators import batch, bright, depth, focus, fuse, geometry, run, solvers, stencil
 from rasterfold.operators.geometry import Transform
+from rasterfold.operators.order import numbered
 from rasterfold.sources.rasters import FRAMES, HEIGHT, WIDTH, captures, emb_stack, frame_list, li_stack, table
 
 RGB = ["r", "g", "b"]
@@ -401,9 +402,16 @@ for _k in KERNELS:
     QUERIES[f"warp_{_k}"] = _warped(_k)
 
 
+def embedded_transforms(spark, d):
+    """stack, frame, m: a transform for each vector, of its first six components; every frame of an 8 x 8 stack is moved by its own."""
+    e = lambda k, by: F.get("embedding", k).cast("double") * by
+    m = F.array(1 + e(0, 0.1), e(1, 0.1), e(2, 2.0), e(3, 0.1), 1 + e(4, 0.1), e(5, 2.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return table(spark, d, "embeddings").select((F.col("vec_id") / 10).cast("long").alias("stack"), (F.col("vec_id") % 10).cast("int").alias("frame"), m.alias("m"))
+
+
 @query
 def common_area(spark, d):
-    return geometry.common_area(transforms(spark), H, W, "spline4x4", [])
+    return geometry.common_area(embedded_transforms(spark, d), 8, 8, "bilinear", ["stack"])
 
 
 @query
@@ -434,7 +442,10 @@ def anaglyph(spark, d):
 
 @query
 def rocking_shifts(spark, d):
-    return rounded(spark.range(24).select(F.col("id").alias("i"), (0.03 * F.sin(2 * math.pi * F.col("id") / 24)).alias("shift")))
+    """The frames of each list as the views of one loop."""
+    lists = captures(spark, d)
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n"))
+    return rounded(lists.join(sizes, "list").select("list", "frame", geometry.rocking(0.03, F.col("frame"), F.col("n")).alias("shift")))
 
 
 def _mesh(spark, d):
@@ -462,14 +473,12 @@ def mesh_obj(spark, d):
 
 
 def _frames(spark, d):
-    from pyspark.sql.window import Window
-
-    return frame_list(spark, d).select((F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).alias("pos"), "path")
+    return numbered(frame_list(spark, d), ["conv_id", "turn"], "pos").select("pos", "path")
 
 
 @query
 def natural_order(spark, d):
-    return batch.natural_order(_frames(spark, d).withColumn("list", F.lit(0)), ["list"], "pos").select("n", "path")
+    return batch.natural_order(_frames(spark, d), [], "pos").select("n", "path")
 
 
 @query
@@ -487,6 +496,11 @@ def split_dir(spark, d):
     return batch.split_dir(_frames(spark, d), "pos").select("pos", "stack")
 
 
+@query
+def split_dir_runs(spark, d):
+    return batch.split_dir(_frames(spark, d), "pos", consecutive=True).select("pos", "stack")
+
+
 @query
 def split_info(spark, d):
     return rounded(batch.split_info(batch.split_gap(captures(spark, d), 86400.0, ["list"]), ["list"]))
