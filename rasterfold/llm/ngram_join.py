@@ -36,7 +36,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rasterfold.llm.common import BROADCAST_ROWS, attach_groups, components, cut, documents_of, fresh_worker, mix, prepare, release, removed, shingle_set, stored, worker_store
 
@@ -469,10 +468,11 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     # Members of blocks that several rows share, with the smallest of them.
     members = found.filter("doc_id is not null").select("doc_id", F.explode("blocks").alias("block"))
-    by_block = Window.partitionBy("block")
-    shared = members.select("block", "doc_id", F.min("doc_id").over(by_block).alias("center"), F.max("doc_id").over(by_block).alias("_last"), F.count("*").over(by_block).alias("n"))
+    centers = members.groupBy("block").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("_last"), F.count("*").alias("n"))
+    centers = cut(centers.filter("center != _last").drop("_last"))
+    places = found.filter("doc_id is not null").agg(F.sum(F.size("blocks"))).first()[0] or 0
     # A group of two is its star alone: its one pair is kept, and not its block.
-    shared, path = stored(shared.filter("center != _last and (n > 2 or doc_id != center)").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center"))
+    shared, path = stored(attach_groups(members, centers, "block", "n", places).filter("n > 2 or doc_id != center").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center"))
     release(spark)
     star = standing(standing(shared.filter("doc_id != center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct(), "u"), "v")
     star = cut(star.filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
