@@ -162,6 +162,26 @@ def subject_distance(text: Column) -> Column:
     return F.when((v > 0) & (a < 4294967295), v)
 
 
+def pixel_size(description: Column, make: Column, x_resolution: Column, resolution_unit: Column) -> Column:
+    """um and source: micrometres a pixel from what a microscope's software wrote into a TIFF file; null where nothing usable is written.
+
+    The first that applies counts: PhysicalSizeX of an OME description, in its PhysicalSizeXUnit or micrometres; pixels a unit of a
+    description by ImageJ; the plain resolution, an inch (2) or a centimetre (3), unless a camera made the file.
+    """
+    text = F.coalesce(description, F.lit(""))
+    size = F.trim(F.regexp_extract(text, r'PhysicalSizeX="([^"]*)"', 1)).try_cast("double")
+    given = F.regexp_extract(text, r'PhysicalSizeXUnit="([^"]*)"', 1)
+    ome_unit = F.when(text.contains('PhysicalSizeXUnit="'), unit_um(given)).otherwise(1.0)
+    each = F.when(x_resolution > 0, x_resolution)
+    line = F.regexp_extract(text, r"(?:^|\n)unit=([^\r\n]*)", 1)
+    plain = F.when(resolution_unit == 2, 25400.0).when(resolution_unit == 3, 1e4)
+
+    def found(um: Column, name: str) -> Column:
+        return F.when(um.isNotNull(), F.struct(um.alias("um"), F.lit(name).alias("source")))
+
+    return F.when(size > 0, found(size * ome_unit, "OME-XML")).when(text.startswith("ImageJ"), found(unit_um(line) / each, "ImageJ")).when(make.isNull(), found(plain / each, "TIFF resolution"))
+
+
 def near_end(df: DataFrame, keys: list[str]) -> DataFrame:
     """near_first: whether the first frame with a distance is nearer than the last; null if neither is."""
     ends = df.filter("dist is not null").groupBy(*keys).agg(F.min_by("dist", "frame").alias("a"), F.max_by("dist", "frame").alias("b"))
@@ -198,3 +218,38 @@ def nice_floor(most: Column) -> Column:
     base = F.pow(F.lit(10.0), F.floor(F.log10(F.when(most > 0, most))))
     top = most * (1 + 1e-9)
     return F.coalesce(F.when(5 * base <= top, 5 * base).when(2 * base <= top, 2 * base).otherwise(base), F.lit(1.0))
+
+
+def length_label(um: Column) -> Column:
+    """Micrometres as text, in the unit that keeps the number under 1000: up to three significant digits, no zeros at the end."""
+    of = lambda size, name: F.struct(F.lit(size).alias("of"), F.lit(name).alias("name"))
+    unit = F.when(um < 1, of(1e-3, "nm")).when(um < 1e3, of(1.0, "µm")).when(um < 1e6, of(1e3, "mm")).otherwise(of(1e6, "m"))
+    v = um / unit["of"]
+    places = F.least(F.greatest(2 - F.floor(F.log10(F.when(v > 0, v))), F.lit(0)), F.lit(6))
+    # A decimal of the rounded value, as doubles print large and small numbers with an exponent.
+    number = F.when(F.abs(v - F.round(v)) < 1e-6 * F.greatest(v, F.lit(1.0)), F.round(v)).otherwise(F.coalesce(*[F.when(places == k, F.round(v, k)) for k in range(7)]))
+    text = F.rtrim(F.rtrim(number.cast("decimal(38,6)").cast("string"), F.lit("0")), F.lit("."))
+    return F.when(um > 0, F.concat_ws(" ", text, unit["name"]))
+
+
+# ---- short specifications -----------------------------------------------------------------------
+
+
+def focus_measure(spec: Column) -> Column:
+    """kind, inner, outer of `rdf[:inner[:outer]]` (outer is 2 more unless given, and larger) or kind, step of `sml[:step]`; null if it is neither."""
+    parts = F.split(spec, ":")
+    number = lambda k, default: F.when(F.size(parts) <= k, default).when(F.get(parts, F.lit(k)).rlike(r"^\+?[0-9]+$"), F.get(parts, F.lit(k)).try_cast("int"))
+    inner, kind, none = number(1, F.lit(1)), F.get(parts, F.lit(0)), F.lit(None).cast("int")
+    outer = number(2, inner + 2)
+    of = lambda *v: F.struct(*[c.alias(n) for c, n in zip(v, ("kind", "inner", "outer", "step"))])
+    return F.when((kind == "rdf") & (outer > inner), of(F.lit("ring"), inner, outer, none)).when((kind == "sml") & inner.isNotNull(), of(F.lit("laplacian"), none, none, inner))
+
+
+def upsampling(spec: Column) -> Column:
+    """radius, eps of `guided[:radius[:eps]]`; radius 0 and no eps for `bilinear`; null if it is neither."""
+    parts = F.split(spec, ":")
+    kind, last = F.get(parts, F.lit(0)), F.size(parts)
+    radius = F.when(last <= 1, 2).when(F.get(parts, F.lit(1)).rlike(r"^\+?[0-9]+$"), F.get(parts, F.lit(1)).try_cast("int"))
+    eps = F.when(last <= 2, 1e-2).otherwise(F.get(parts, F.lit(2)).try_cast("double"))
+    of = lambda r, e: F.struct(r.cast("int").alias("radius"), e.alias("eps"))
+    return F.when(kind == "bilinear", of(F.lit(0), F.lit(None).cast("double"))).when((kind == "guided") & radius.isNotNull() & eps.isNotNull(), of(radius, eps))

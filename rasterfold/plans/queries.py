@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,13 @@ def look_space(spark, d):
     return rounded(li_stack(spark, d).select("frame", "y", "x", *[v.alias(c) for v, c in zip(out, RGB)]))
 
 
+@query
+def camera_space(spark, d):
+    """Look space back to camera space, by the inverse of the matrix."""
+    out = P.from_look([F.col(c) for c in RGB], BALANCE, np.linalg.inv(LOOK).tolist())
+    return rounded(li_stack(spark, d).select("frame", "y", "x", *[v.alias(c) for v, c in zip(out, RGB)]))
+
+
 @query
 def quantise(spark, d):
     v = F.col("v") * 1.4 - 0.2
@@ -440,6 +448,16 @@ def anaglyph(spark, d):
     return rounded(geometry.stereo(_view(spark, d, -0.05), _view(spark, d, 0.05), W, "anaglyph", []))
 
 
+@query
+def stereo_pair(spark, d):
+    return rounded(geometry.stereo(_view(spark, d, -0.05), _view(spark, d, 0.05), W, "parallel", []))
+
+
+@query
+def stereo_crossed(spark, d):
+    return rounded(geometry.stereo(_view(spark, d, -0.05), _view(spark, d, 0.05), W, "crossed", []))
+
+
 @query
 def rocking_shifts(spark, d):
     """The frames of each list as the views of one loop."""
@@ -465,7 +483,7 @@ def mesh_triangles(spark, d):
 
 @query
 def mesh_obj(spark, d):
-    m = _mesh(spark, d)
+    m = _mesh(spark, d).withColumn("pz", F.round("pz", 9))
     return geometry.obj_lines(m, geometry.triangles(m, 8, []), 8)
 
 
@@ -563,6 +581,55 @@ def unit_lengths(spark, d):
     return rounded(table(spark, d, "part").select("p_partkey", batch.length_um(s).alias("um")))
 
 
+@query
+def capture_times(spark, d):
+    """When frames were taken, of several dates of which some are absent or damaged: the first readable one counts."""
+    k, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    written = lambda hours, style: F.date_format(ts + F.make_dt_interval(hours=F.lit(hours)), style)
+    exif, xmp = "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"
+    original = F.when(k % 2 == 0, F.when(k % 3 == 0, "2024:13:01 00:00:00").otherwise(written(0, exif)))
+    digitised, plain = F.when(k % 5 == 0, written(1, exif)), F.when(k % 7 < 3, written(2, exif))
+    shot = F.when(k % 11 < 5, F.concat(written(3, xmp), F.lit(".5+02:00")))
+    modified = F.when(k % 13 < 6, written(4, xmp))
+    none = F.lit(None).cast("string")
+    at = batch.capture_time(batch.parse_time(original, F.lit("250")), *[batch.parse_time(s, none) for s in (digitised, plain, shot, modified)])
+    return rounded(table(spark, d, "events").select("event_id", at.alias("t")), 3)
+
+
+@query
+def subject_distances(spark, d):
+    k, v = F.col("p_partkey"), F.col("p_size")
+    text = F.when(k % 5 == 0, F.concat(v, F.lit("/0"))).when(k % 5 == 1, "4294967295/1").when(k % 5 == 2, F.concat(F.lit(" "), v, F.lit("/8 "))).when(k % 5 == 3, (v / 4).cast("string")).otherwise("0/1")
+    return rounded(table(spark, d, "part").select("p_partkey", batch.subject_distance(text).alias("metres")))
+
+
+@query
+def pixel_sizes(spark, d):
+    k, v = F.col("p_partkey"), F.col("p_size")
+    ome = F.concat(F.lit('<Pixels PhysicalSizeX="'), v / 8, F.when(k % 3 == 0, '" PhysicalSizeXUnit="nm').when(k % 3 == 1, '" PhysicalSizeXUnit="parsec').otherwise(""), F.lit('">'))
+    imagej = F.concat(F.lit("ImageJ=1.54f\n"), F.when(k % 3 == 0, "unit=micron\n").when(k % 3 == 1, "unit=mm\nloop=0\n").otherwise(""))
+    text = F.when(k % 7 == 0, ome).when(k % 7 == 1, imagej).when(k % 7 < 5, "a frame")
+    make = F.when(k % 7 == 2, "a camera")
+    size = batch.pixel_size(text, make, F.when(k % 9 > 0, v / 2), F.when(k % 4 > 0, (k % 4).cast("int")))
+    return rounded(table(spark, d, "part").select("p_partkey", size["um"].alias("um"), size["source"].alias("source")))
+
+
+@query
+def length_labels(spark, d):
+    v = F.col("p_retailprice") * F.pow(F.lit(10.0), F.col("p_partkey") % 9 - 5)
+    return table(spark, d, "part").select("p_partkey", batch.length_label(F.when(F.col("p_partkey") % 10 > 0, v)).alias("label"), batch.length_label(batch.nice_length(v)).alias("nice"))
+
+
+@query
+def focus_specs(spark, d):
+    """Measures and ways of upsampling as they are written in settings, some of them wrong."""
+    k, v = F.col("p_partkey"), F.col("p_size").cast("string")
+    measure = F.when(k % 6 == 0, "rdf").when(k % 6 == 1, F.concat(F.lit("rdf:"), v)).when(k % 6 == 2, F.concat(F.lit("rdf:"), v, F.lit(":9"))).when(k % 6 == 3, F.concat(F.lit("sml:"), v)).when(k % 6 == 4, "sml:x").otherwise(v)
+    up = F.when(k % 5 == 0, "bilinear").when(k % 5 == 1, F.concat(F.lit("guided:"), v)).when(k % 5 == 2, F.concat(F.lit("guided:"), v, F.lit(":0.5"))).when(k % 5 == 3, "guided").otherwise("guided:1:x")
+    m, u = batch.focus_measure(measure), batch.upsampling(up)
+    return table(spark, d, "part").select("p_partkey", *[m[c].alias(c) for c in ("kind", "inner", "outer", "step")], *[u[c].alias(c) for c in ("radius", "eps")])
+
+
 # ---- solvers
 
 

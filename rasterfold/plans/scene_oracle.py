@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from rasterfold.plans.oracle import EMB, FK, GRAY, LI, LUMA, ORACLE_SQL, RGB, H, N, W, exp, red, sep, win
+from rasterfold.plans.oracle import BIN, EMB, FK, GRAY, LI, LUMA, MESH, ORACLE_SQL, PARETO, RGB, TRI, WIN, H, N, W, _dec, exp, red, refl, sep, win
 
 #: Both engines round a hair above, as the tables hold short decimals.
 HAIR = "2.7e-10"
-BIN = [0.25, 0.5, 0.25]
 VIEWS = "vw(view, s) AS (VALUES (0, -0.08), (1, 0.0), (2, 0.11))"
 VK = ["view", "frame"]
 
@@ -150,3 +149,84 @@ SELECT frame, n AS spots, covered, rejected, CASE WHEN n = 0 THEN 'no dust spots
     "history_live": f"WITH RECURSIVE {LOG} SELECT list, slot, stroke FROM lv",
     "brush_strokes": f"WITH RECURSIVE {BRUSH} SELECT stack, y, x, arg_max(v, k)::BIGINT AS v FROM pt GROUP BY ALL",
 }
+
+
+# ---- views of a stack, meshes as text, the fold of two levels
+
+
+def _sheared(name: str, shift: float) -> str:
+    """name (y, x, r, g, b): frame 0 seen from the side; `won` has the depth. Every column looks for the surfaces that reach it."""
+    k, n = f"{shift * W!r}::DOUBLE", name
+    return f"""{n}d AS (SELECT y, x, z, x + {k} * (z - 0.5) AS d0, lead(x + {k} * (z - 0.5)) OVER r AS d1, lead(z) OVER r AS z1 FROM (SELECT y, x, winner / 6.0 AS z FROM won) WINDOW r AS (PARTITION BY y ORDER BY x)),
+{n}p AS (SELECT y, c.i AS c, x + (c.i - d0) / (d1 - d0) AS src, -z + (c.i - d0) / (d1 - d0) * (z - z1) AS n, x FROM {n}d, range({W}) c(i) WHERE d1 > d0 AND d1 - d0 <= 2 AND c.i >= d0 AND c.i < d1
+UNION ALL SELECT y, round(d0)::BIGINT, x, -z, x FROM {n}d WHERE NOT coalesce(d1 > d0 AND d1 - d0 <= 2, false) AND round(d0) BETWEEN 0 AND {W - 1}),
+{n}t AS (SELECT y, c, src, n FROM {n}p QUALIFY row_number() OVER (PARTITION BY y, c ORDER BY n DESC, x) = 1),
+{n}h AS (SELECT y, x AS c, (SELECT max(t.c) FROM {n}t t WHERE t.y = g.y AND t.c <= g.x) AS l, (SELECT min(t.c) FROM {n}t t WHERE t.y = g.y AND t.c >= g.x) AS r FROM won g),
+{n}s AS (SELECT h.y, h.c, least(greatest(coalesce(CASE WHEN b.n IS NULL OR a.n <= b.n THEN a.src ELSE b.src END, h.c), 0), {W - 1}) AS s FROM {n}h h LEFT JOIN {n}t a ON a.y = h.y AND a.c = h.l LEFT JOIN {n}t b ON b.y = h.y AND b.c = h.r),
+{n} AS (SELECT s.y, s.c AS x, {', '.join(f'a.{c} + (s - floor(s)) * (b.{c} - a.{c}) AS {c}' for c in RGB)} FROM {n}s s JOIN li a ON a.frame = 0 AND a.y = s.y AND a.x = floor(s) JOIN li b ON b.frame = 0 AND b.y = s.y AND b.x = least(floor(s) + 1, {W - 1}))"""
+
+
+_PAIR = f"WITH {WIN}, {_sheared('lv', -0.05)}, {_sheared('rv', 0.05)}"
+_TRIANGLES = """SELECT 2 * q AS n, q + 1 AS a, q + 9 AS b, CASE WHEN s THEN q + 10 ELSE q + 2 END AS c FROM tri UNION ALL SELECT CASE WHEN s THEN 2 * q ELSE 2 * q + 2 END, CASE WHEN s THEN q + 1 ELSE q + 2 END, CASE WHEN s THEN q + 10 ELSE q + 9 END, CASE WHEN s THEN q + 2 ELSE q + 10 END FROM tri"""
+
+
+def _text(letter: str, cols: list[str]) -> str:
+    return f"printf('{letter} {' '.join(['%.6f'] * len(cols))}', {', '.join(f'round({c}, 6) + 0.0' for c in cols)})"
+
+
+def _detail(k: int, src: str, h: int, w: int) -> str:
+    """Level k of the pyramid over src, folded: d{k} the next coarser picture, o{k} the coefficients of the frames with the most energy."""
+    return f"""d{k} AS {sep(src, red(h), red(w), RGB, FK)}, u{k} AS {sep(f'd{k}', exp(h), exp(w), RGB, FK)}, l{k} AS (SELECT a.frame, a.y, a.x, {', '.join(f'a.{c} - u.{c} AS {c}' for c in RGB)} FROM {src} a JOIN u{k} u USING (frame, y, x)),
+q{k} AS (SELECT frame, y, x, ({LUMA}) * ({LUMA}) AS e FROM l{k}), o{k} AS (SELECT l.y, l.x, {', '.join(f'l.{c}' for c in RGB)} FROM l{k} l JOIN {sep(f'q{k}', win(h, BIN), win(w, BIN), ['e'], FK)} e USING (frame, y, x) QUALIFY row_number() OVER (PARTITION BY l.y, l.x ORDER BY round(e.e, 10) DESC, l.frame) = 1)"""
+
+
+def _marked(src: str, h: int, w: int) -> str:
+    """tm: the residuals with their local deviation and entropy, over windows of 3 x 3 and 16 bins."""
+    return f"""tl AS (SELECT frame, y, x, {LUMA} AS v FROM {src}),
+nb AS (SELECT a.frame, a.y, a.x, b.v, floor(least(greatest(b.v, 0), 1) * 15 + 0.5)::INTEGER AS bin FROM tl a, range(-1, 2) p(dy), range(-1, 2) q(dx), tl b WHERE a.frame = b.frame AND b.y = {refl('a.y + dy', h)} AND b.x = {refl('a.x + dx', w)}),
+hb AS (SELECT frame, y, x, bin, count(*) / 9.0 AS p, sum(v) AS s, sum(v * v) AS q FROM nb GROUP BY ALL),
+mk AS (SELECT frame, y, x, round(greatest(sum(q) / 9.0 - (sum(s) / 9.0) * (sum(s) / 9.0), 0.0), 10) AS dev, round(-sum(p * ln(p)), 10) AS ent FROM hb GROUP BY ALL),
+tm AS (SELECT * FROM {src} JOIN mk USING (frame, y, x))"""
+
+
+def _added(name: str, won: str, coarse: str, h: int, w: int) -> str:
+    return f"{name} AS (SELECT a.y, a.x, {', '.join(f'a.{c} + u.{c} AS {c}' for c in RGB)} FROM {won} a JOIN {sep(coarse, exp(h), exp(w), RGB, [])} u USING (y, x))"
+
+
+def _camera() -> str:
+    """Back through the curve, then three equations for the camera's values by Cramer's rule."""
+    m = [[0.4124, 0.3576, 0.1805], [0.2126, 0.7152, 0.0722], [0.0193, 0.1192, 0.9505]]
+
+    def det(cols: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = cols
+        return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+    columns = [[f"{m[r][k]!r}::DOUBLE" for r in range(3)] for k in range(3)]
+    linear = [f"({_dec(c)})" for c in RGB]
+    solved = [f"{det([linear if j == k else col for j, col in enumerate(columns)])} / {det(columns)} / {by}" for k, by in enumerate((1.9, 1.0, 1.4))]
+    return f"WITH {LI}, cm AS (SELECT frame, y, x, {', '.join(f'{v} AS {c}' for v, c in zip(solved, RGB))} FROM li) SELECT frame, y, x, {rnd(RGB)} FROM cm"
+
+
+SCENE_SQL |= {
+    "camera_space": _camera(),
+    "capture_times": "WITH e AS (SELECT event_id AS k, epoch(date_trunc('second', ts)) AS s FROM events) SELECT k AS event_id, CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN s + 0.25 WHEN k % 5 = 0 THEN s + 3600 WHEN k % 7 < 3 THEN s + 7200 WHEN k % 11 < 5 THEN s + 10800.5 WHEN k % 13 < 6 THEN s + 14400 END::DOUBLE AS t FROM e",
+    "subject_distances": "SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN p_size / 8 WHEN 3 THEN p_size / 4 END::DOUBLE AS metres FROM part",
+    "pixel_sizes": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS a, p_partkey % 3 AS b, p_partkey % 4 AS u, p_size AS v, CASE WHEN p_partkey % 9 > 0 THEN p_size / 2 END AS each FROM part),
+s AS (SELECT p_partkey, CASE WHEN a = 0 THEN CASE b WHEN 0 THEN v / 8000 WHEN 2 THEN v / 8 END WHEN a = 1 THEN CASE b WHEN 0 THEN 1 / each WHEN 1 THEN 1000 / each END WHEN a > 2 THEN CASE u WHEN 2 THEN 25400 / each WHEN 3 THEN 10000 / each END END AS um, CASE a WHEN 0 THEN 'OME-XML' WHEN 1 THEN 'ImageJ' ELSE 'TIFF resolution' END AS source FROM p)
+SELECT p_partkey, """ + rnd(["um"]) + """, CASE WHEN um IS NOT NULL THEN source END AS source FROM s""",
+    "length_labels": """WITH v AS (SELECT p_partkey, p_retailprice * pow(10.0, p_partkey % 9 - 5) AS v FROM part), c AS (SELECT p_partkey, v, m * pow(10.0, floor(log10(v))) AS k FROM v, (VALUES (1.0), (2.0), (5.0), (10.0)) t(m)),
+n AS (SELECT p_partkey, arg_min(k, round(abs(log10(k) - log10(v)), 12)) AS n FROM c GROUP BY p_partkey), w AS (SELECT p_partkey, 'label' AS c, CASE WHEN p_partkey % 10 > 0 THEN v END AS um FROM v UNION ALL SELECT p_partkey, 'nice', n FROM n),
+d AS (SELECT *, um / CASE WHEN um < 1 THEN 1e-3 WHEN um < 1e3 THEN 1 WHEN um < 1e6 THEN 1e3 ELSE 1e6 END AS q, CASE WHEN um < 1 THEN ' nm' WHEN um < 1e3 THEN ' µm' WHEN um < 1e6 THEN ' mm' ELSE ' m' END AS unit FROM w),
+t AS (SELECT p_partkey, c, rtrim(rtrim(CASE WHEN abs(q - round(q)) < 1e-6 * greatest(q, 1) THEN round(q) ELSE round(q, least(greatest(2 - floor(log10(q)), 0), 6)::INTEGER) END::DECIMAL(38, 6)::VARCHAR, '0'), '.') || unit AS s FROM d)
+SELECT p_partkey, max(s) FILTER (WHERE c = 'label') AS label, max(s) FILTER (WHERE c = 'nice') AS nice FROM t GROUP BY p_partkey""",
+    "focus_specs": """WITH p AS (SELECT p_partkey, p_partkey % 6 AS a, p_partkey % 5 AS b, p_size::INTEGER AS v FROM part), m AS (SELECT *, CASE WHEN a < 3 AND (a <> 2 OR v < 9) THEN 'ring' WHEN a = 3 THEN 'laplacian' END AS kind FROM p)
+SELECT p_partkey, kind, CASE WHEN kind = 'ring' THEN CASE a WHEN 0 THEN 1 ELSE v END END::INTEGER AS inner, CASE WHEN kind = 'ring' THEN CASE a WHEN 0 THEN 3 WHEN 1 THEN v + 2 ELSE 9 END END::INTEGER AS outer, CASE WHEN kind = 'laplacian' THEN v END::INTEGER AS step, CASE b WHEN 0 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN NULL ELSE v END::INTEGER AS radius, CASE b WHEN 1 THEN 0.01 WHEN 2 THEN 0.5 WHEN 3 THEN 0.01 END::DOUBLE AS eps FROM m""".replace("AS inner", 'AS "inner"').replace("AS outer", 'AS "outer"'),
+    "sheared_view": f"WITH {WIN}, {_sheared('vw', 0.07)} SELECT y, x, {rnd(RGB)} FROM vw",
+    "anaglyph": f"{_PAIR} SELECT lv.y, lv.x, round(lv.r + {HAIR}, 6) + 0.0 AS r, round(rv.g + {HAIR}, 6) + 0.0 AS g, round(rv.b + {HAIR}, 6) + 0.0 AS b FROM lv JOIN rv USING (y, x)",
+    "stereo_pair": f"{_PAIR} SELECT y, x, {rnd(RGB)} FROM lv UNION ALL SELECT y, x + {W}, {rnd(RGB)} FROM rv",
+    "stereo_crossed": f"{_PAIR} SELECT y, x, {rnd(RGB)} FROM rv UNION ALL SELECT y, x + {W}, {rnd(RGB)} FROM lv",
+    "mesh_obj": f"WITH {MESH}, {TRI}, fc AS ({_TRIANGLES}) "
+    + " UNION ALL ".join(f"SELECT {k} AS part, (j * 8 + i)::BIGINT AS n, {_text(t, c)} AS line FROM mesh" for k, (t, c) in enumerate((("v", ["px", "py", "round(pz, 9)"]), ("vt", ["u", "v"]), ("vn", ["nx", "ny", "nz"]))))
+    + " UNION ALL SELECT 3, n, 'f ' || a || '/' || a || '/' || a || ' ' || b || '/' || b || '/' || b || ' ' || c || '/' || c || '/' || c FROM fc",
+    "fused_deep": f"WITH {LI}, {_detail(0, 'li', H, W)}, {_detail(1, 'd0', H // 2, W // 2)}, {_marked('d1', H // 4, W // 4)}, rs AS {PARETO}, {_added('i1', 'o1', 'rs', H // 2, W // 2)}, {_added('i0', 'o0', 'i1', H, W)} SELECT y, x, {', '.join(f'round(least(greatest({c}, 0.0), 1.0) + {HAIR}, 6) + 0.0 AS {c}' for c in RGB)} FROM i0",
+}
