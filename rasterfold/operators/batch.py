@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -222,14 +224,16 @@ def nice_floor(most: Column) -> Column:
 
 def length_label(um: Column) -> Column:
     """Micrometres as text, in the unit that keeps the number under 1000: up to three significant digits, no zeros at the end."""
-    of = lambda size, name: F.struct(F.lit(size).alias("of"), F.lit(name).alias("name"))
-    unit = F.when(um < 1, of(1e-3, "nm")).when(um < 1e3, of(1.0, "µm")).when(um < 1e6, of(1e3, "mm")).otherwise(of(1e6, "m"))
-    v = um / unit["of"]
-    places = F.least(F.greatest(2 - F.floor(F.log10(F.when(v > 0, v))), F.lit(0)), F.lit(6))
-    # A decimal of the rounded value, as doubles print large and small numbers with an exponent.
-    number = F.when(F.abs(v - F.round(v)) < 1e-6 * F.greatest(v, F.lit(1.0)), F.round(v)).otherwise(F.coalesce(*[F.when(places == k, F.round(v, k)) for k in range(7)]))
-    text = F.rtrim(F.rtrim(number.cast("decimal(38,6)").cast("string"), F.lit("0")), F.lit("."))
-    return F.when(um > 0, F.concat_ws(" ", text, unit["name"]))
+    units = F.array(*[F.struct(F.lit(most).alias("most"), F.lit(size).alias("of"), F.lit(name).alias("name")) for most, size, name in ((1.0, 1e-3, "nm"), (1e3, 1.0, "µm"), (1e6, 1e3, "mm"), (math.inf, 1e6, "m"))])
+    fitting = F.transform(F.array(F.when(um > 0, um)), lambda u: F.transform(F.slice(F.filter(units, lambda k: u < k["most"]), 1, 1), lambda k: F.struct((u / k["of"]).alias("v"), k["name"].alias("name"))))
+
+    def text(v: Column) -> Column:
+        places = F.least(F.greatest(2 - F.floor(F.log10(v)), F.lit(0)), F.lit(6)).cast("int")
+        short = F.get(F.array(*[F.round(v, k) for k in range(7)]), places)
+        number = F.when(F.abs(v - F.round(v)) < 1e-6 * F.greatest(v, F.lit(1.0)), F.round(v)).otherwise(short)
+        return F.regexp_replace(number.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")  # doubles would print an exponent
+
+    return F.get(F.flatten(F.transform(fitting, lambda f: F.transform(f, lambda k: F.concat_ws(" ", text(k["v"]), k["name"])))), F.lit(0))
 
 
 # ---- short specifications -----------------------------------------------------------------------

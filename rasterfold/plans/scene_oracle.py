@@ -214,7 +214,7 @@ SCENE_SQL |= {
     "pixel_sizes": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS a, p_partkey % 3 AS b, p_partkey % 4 AS u, p_size AS v, CASE WHEN p_partkey % 9 > 0 THEN p_size / 2 END AS each FROM part),
 s AS (SELECT p_partkey, CASE WHEN a = 0 THEN CASE b WHEN 0 THEN v / 8000 WHEN 2 THEN v / 8 END WHEN a = 1 THEN CASE b WHEN 0 THEN 1 / each WHEN 1 THEN 1000 / each END WHEN a > 2 THEN CASE u WHEN 2 THEN 25400 / each WHEN 3 THEN 10000 / each END END AS um, CASE a WHEN 0 THEN 'OME-XML' WHEN 1 THEN 'ImageJ' ELSE 'TIFF resolution' END AS source FROM p)
 SELECT p_partkey, """ + rnd(["um"]) + """, CASE WHEN um IS NOT NULL THEN source END AS source FROM s""",
-    "length_labels": """WITH v AS (SELECT p_partkey, p_retailprice * pow(10.0, p_partkey % 9 - 5) AS v FROM part), c AS (SELECT p_partkey, v, m * pow(10.0, floor(log10(v))) AS k FROM v, (VALUES (1.0), (2.0), (5.0), (10.0)) t(m)),
+    "length_labels": """WITH v AS (SELECT p_partkey, p_retailprice * 1.0003::DOUBLE * pow(10.0, p_partkey % 9 - 5) AS v FROM part), c AS (SELECT p_partkey, v, m * pow(10.0, floor(log10(v))) AS k FROM v, (VALUES (1.0), (2.0), (5.0), (10.0)) t(m)),
 n AS (SELECT p_partkey, arg_min(k, round(abs(log10(k) - log10(v)), 12)) AS n FROM c GROUP BY p_partkey), w AS (SELECT p_partkey, 'label' AS c, CASE WHEN p_partkey % 10 > 0 THEN v END AS um FROM v UNION ALL SELECT p_partkey, 'nice', n FROM n),
 d AS (SELECT *, um / CASE WHEN um < 1 THEN 1e-3 WHEN um < 1e3 THEN 1 WHEN um < 1e6 THEN 1e3 ELSE 1e6 END AS q, CASE WHEN um < 1 THEN ' nm' WHEN um < 1e3 THEN ' µm' WHEN um < 1e6 THEN ' mm' ELSE ' m' END AS unit FROM w),
 t AS (SELECT p_partkey, c, rtrim(rtrim(CASE WHEN abs(q - round(q)) < 1e-6 * greatest(q, 1) THEN round(q) ELSE round(q, least(greatest(2 - floor(log10(q)), 0), 6)::INTEGER) END::DECIMAL(38, 6)::VARCHAR, '0'), '.') || unit AS s FROM d)
