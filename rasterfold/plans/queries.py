@@ -14,6 +14,7 @@ from rasterfold.functions.kernels import KERNELS, bilinear_taps, burt_taps
 from rasterfold.operators import batch, bright, depth, focus, fuse, geometry, run, solvers, stencil
 from rasterfold.operators.geometry import Transform
 from rasterfold.operators.order import numbered
+from rasterfold.sources import projects
 from rasterfold.sources.rasters import FRAMES, HEIGHT, WIDTH, captures, emb_stack, frame_list, li_stack, table
 
 RGB = ["r", "g", "b"]
@@ -630,6 +631,30 @@ def focus_specs(spark, d):
     return table(spark, d, "part").select("p_partkey", *[m[c].alias(c) for c in ("kind", "inner", "outer", "step")], *[u[c].alias(c) for c in ("radius", "eps")])
 
 
+def _projects(spark, d):
+    """A project file for each list of captures: some of its frames are switched off, its settings follow the number of the list."""
+    k = F.col("list")
+    c = captures(spark, d)
+    frame = F.struct(F.concat(F.lit("f"), "frame", F.lit(".tif")).alias("name"), F.when(F.col("frame") % 3 > 0, F.concat(F.lit("shoot/f"), "frame", F.lit(".tif"))).alias("path"), F.when(F.col("frame") % 4 == 0, True).alias("off"))
+    lists = c.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("frame", frame.alias("f")))).alias("_f"))
+    params = F.struct((k % 2 == 0).alias("align"), (k % 3 > 0).alias("shift"), (k % 5 > 0).alias("rotation"), (k % 7).alias("coarsen"), F.when(k % 4 > 0, "lanczos3").alias("interp"), (k % 6).alias("levels"), F.when(k % 8 == 0, "deep").otherwise((k % 8).cast("string")).alias("halo"), F.when(k % 3 == 0, "gap").when(k % 3 == 1, "dir").otherwise("other").alias("split"))
+    save = F.struct(F.array(F.lit("lap"), F.when(k % 2 == 0, "stereo").otherwise("winner"), F.when(k % 3 == 0, "mesh").otherwise("depth16")).alias("sel"), F.when(k % 4 == 0, "jpeg").alias("sv-format"), (k % 5 > 0).alias("sv-crop"), (k / 4).cast("string").alias("v3-shift"))
+    crop = F.struct((k + 0.75).alias("x"), k.alias("y"), F.when(k % 2 == 0, 30).alias("w"), F.lit(20).alias("h"))
+    text = F.to_json(F.struct(F.lit(1).alias("stack_project"), F.concat(F.lit("list"), k).alias("name"), F.transform("_f", lambda f: f["f"]).alias("frames"), params.alias("params"), save.alias("save"), F.struct(crop.alias("crop")).alias("run")))
+    return lists.select(k.cast("string").alias("project"), text.alias("text"))
+
+
+@query
+def project_settings(spark, d):
+    s = projects.settings(_projects(spark, d))
+    return s.select("project", "output", "align", F.array_join("fixed", " ").alias("fixed"), "brightness", "coarsen", "kernel", "levels", "split.by", "split.size", "window.x", "window.w", "crop", F.array_join("outputs", " ").alias("outputs"), "stereo.shift", "stereo.layout", "mesh.form", F.array_join("notes", "; ").alias("notes"))
+
+
+@query
+def project_frames(spark, d):
+    return projects.frames(_projects(spark, d)).select("project", "frame", "name", "path")
+
+
 # ---- solvers
 
 

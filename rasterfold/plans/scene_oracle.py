@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterfold.plans.oracle import BIN, EMB, FK, GRAY, LI, LUMA, MESH, ORACLE_SQL, PARETO, RGB, TRI, WIN, H, N, W, _dec, exp, red, refl, sep, win
+from rasterfold.plans.oracle import BIN, CAP, EMB, FK, GRAY, LI, LUMA, MESH, ORACLE_SQL, PARETO, RGB, TRI, WIN, H, N, W, _dec, exp, red, refl, sep, win
 
 #: Both engines round a hair above, as the tables hold short decimals.
 HAIR = "2.7e-10"
@@ -219,6 +219,11 @@ n AS (SELECT p_partkey, arg_min(k, round(abs(log10(k) - log10(v)), 12)) AS n FRO
 d AS (SELECT *, um / CASE WHEN um < 1 THEN 1e-3 WHEN um < 1e3 THEN 1 WHEN um < 1e6 THEN 1e3 ELSE 1e6 END AS q, CASE WHEN um < 1 THEN ' nm' WHEN um < 1e3 THEN ' µm' WHEN um < 1e6 THEN ' mm' ELSE ' m' END AS unit FROM w),
 t AS (SELECT p_partkey, c, rtrim(rtrim(CASE WHEN abs(q - round(q)) < 1e-6 * greatest(q, 1) THEN round(q) ELSE round(q, least(greatest(2 - floor(log10(q)), 0), 6)::INTEGER) END::DECIMAL(38, 6)::VARCHAR, '0'), '.') || unit AS s FROM d)
 SELECT p_partkey, max(s) FILTER (WHERE c = 'label') AS label, max(s) FILTER (WHERE c = 'nice') AS nice FROM t GROUP BY p_partkey""",
+    "project_settings": """WITH l AS (SELECT DISTINCT user_id AS k FROM events)
+SELECT k::VARCHAR AS project, 'list' || k || '_stacked.' || CASE WHEN k % 4 = 0 THEN 'jpg' ELSE 'png' END AS output, k % 2 = 0 AS "align", concat_ws(' ', CASE WHEN k % 3 = 0 THEN 'xoff yoff' END, CASE WHEN k % 5 = 0 THEN 'rot' END) AS fixed, true AS brightness, (k % 7)::INTEGER AS coarsen, CASE WHEN k % 4 > 0 THEN 'lanczos3' END AS kernel, nullif(k % 6, 0)::INTEGER AS levels,
+CASE k % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'dir' END AS "by", CASE WHEN k % 3 = 0 THEN 10.0::DOUBLE END AS size, CASE WHEN k % 2 = 0 THEN (k + 1)::INTEGER END AS x, CASE WHEN k % 2 = 0 THEN 30 END AS w, k % 5 > 0 AS crop,
+concat_ws(' ', CASE WHEN k % 3 > 0 THEN 'depth' END, CASE WHEN k % 2 = 0 THEN 'stereo' END, CASE WHEN k % 3 = 0 THEN 'mesh' END) AS outputs, CASE WHEN k % 2 = 0 THEN k / 4 END::DOUBLE AS shift, CASE WHEN k % 2 = 0 THEN 'sbs' END AS layout, CASE WHEN k % 3 = 0 THEN 'glb' END AS form, CASE WHEN k % 2 = 1 THEN 'left out: winner' ELSE '' END AS notes FROM l""",
+    "project_frames": f"WITH {CAP}, s AS (SELECT list, frame, row_number() OVER (PARTITION BY list ORDER BY frame) - 1 AS n FROM cap WHERE frame % 4 <> 0) SELECT list::VARCHAR AS project, n::INTEGER AS frame, 'f' || frame || '.tif' AS name, CASE WHEN frame % 3 > 0 THEN 'shoot/' ELSE '' END || 'f' || frame || '.tif' AS path FROM s",
     "focus_specs": """WITH p AS (SELECT p_partkey, p_partkey % 6 AS a, p_partkey % 5 AS b, p_size::INTEGER AS v FROM part), m AS (SELECT *, CASE WHEN a < 3 AND (a <> 2 OR v < 9) THEN 'ring' WHEN a = 3 THEN 'laplacian' END AS kind FROM p)
 SELECT p_partkey, kind, CASE WHEN kind = 'ring' THEN CASE a WHEN 0 THEN 1 ELSE v END END::INTEGER AS inner, CASE WHEN kind = 'ring' THEN CASE a WHEN 0 THEN 3 WHEN 1 THEN v + 2 ELSE 9 END END::INTEGER AS outer, CASE WHEN kind = 'laplacian' THEN v END::INTEGER AS step, CASE b WHEN 0 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN NULL ELSE v END::INTEGER AS radius, CASE b WHEN 1 THEN 0.01 WHEN 2 THEN 0.5 WHEN 3 THEN 0.01 END::DOUBLE AS eps FROM m""".replace("AS inner", 'AS "inner"').replace("AS outer", 'AS "outer"'),
     "sheared_view": f"WITH {WIN}, {_sheared('vw', 0.07)} SELECT y, x, {rnd(RGB)} FROM vw",

@@ -218,10 +218,3 @@ def encode(pixels: DataFrame, keys: list[str], bits: int = 16, form: str = "png"
         return group.select(keys).slice(0, 1).append_column("content", pa.array([data], pa.binary()))
 
     return pixels.groupBy(*keys).applyInArrow(run, f"{name}, content binary")
-
-
-def read_project(spark: SparkSession, path: str) -> DataFrame:
-    """frame, path, note of a JSON project, without frames that are switched off."""
-    project = spark.read.schema("frames array<struct<path:string,off:boolean,note:string>>").json(path, multiLine=True)
-    rows = project.select(F.posexplode("frames").alias("frame", "f"))
-    return rows.filter(~F.coalesce(F.col("f.off"), F.lit(False))).select("frame", "f.path", "f.note")
