@@ -48,6 +48,19 @@ def natural_order(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     return placed.drop("_natural")
 
 
+def expanded(inputs: DataFrame, files: DataFrame) -> DataFrame:
+    """n and path: several inputs (place, path, is_dir) in order, a folder replaced by the images directly in it (of files: path) in natural order.
+
+    Other inputs stay where they are, and an input given twice is there twice. A folder without images is an error.
+    """
+    images = files.filter(is_image(F.col("path"))).select(folder(F.col("path")).alias("_d"), F.col("path").alias("_f"))
+    given = inputs.select("place", F.when(F.col("is_dir"), F.regexp_replace("path", "/+$", "")).otherwise(F.col("path")).alias("path"), "is_dir")
+    found = given.join(images, F.col("is_dir") & (F.col("path") == F.col("_d")), "left")
+    path = F.when(~F.col("is_dir"), F.col("path")).when(F.col("_f").isNull(), F.raise_error(F.concat("path", F.lit(" holds no images"))).cast("string")).otherwise(F.col("_f"))
+    listed = found.select("place", path.alias("path"))
+    return numbered(listed.withColumn("_natural", natural_key(F.col("path"))), ["place", "_natural", "path"], "n").select("n", "path")
+
+
 def skip_list(spec: str, n: int) -> list[int]:
     """0-based frames of a list like 3,7-9,12; backward or overlong ranges are errors."""
     out: set[int] = set()

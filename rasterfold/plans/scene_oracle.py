@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterfold.plans.oracle import BIN, CAP, EMB, FK, GRAY, LI, LUMA, MESH, ORACLE_SQL, PARETO, RGB, TRI, WIN, H, N, W, _dec, exp, red, refl, sep, win
+from rasterfold.plans.oracle import BIN, CAP, EMB, FK, FRAMES, GRAY, LI, LUMA, MESH, ORACLE_SQL, PARETO, RGB, TRI, WIN, H, N, W, _dec, _shrink, exp, red, refl, sep, win
 
 #: Both engines round a hair above, as the tables hold short decimals.
 HAIR = "2.7e-10"
@@ -219,6 +219,15 @@ n AS (SELECT p_partkey, arg_min(k, round(abs(log10(k) - log10(v)), 12)) AS n FRO
 d AS (SELECT *, um / CASE WHEN um < 1 THEN 1e-3 WHEN um < 1e3 THEN 1 WHEN um < 1e6 THEN 1e3 ELSE 1e6 END AS q, CASE WHEN um < 1 THEN ' nm' WHEN um < 1e3 THEN ' µm' WHEN um < 1e6 THEN ' mm' ELSE ' m' END AS unit FROM w),
 t AS (SELECT p_partkey, c, rtrim(rtrim(CASE WHEN abs(q - round(q)) < 1e-6 * greatest(q, 1) THEN round(q) ELSE round(q, least(greatest(2 - floor(log10(q)), 0), 6)::INTEGER) END::DECIMAL(38, 6)::VARCHAR, '0'), '.') || unit AS s FROM d)
 SELECT p_partkey, max(s) FILTER (WHERE c = 'label') AS label, max(s) FILTER (WHERE c = 'nice') AS nice FROM t GROUP BY p_partkey""",
+    "mesh_texture": f"WITH {LI}, t AS {sep('li', _shrink(H, 15), _shrink(W, 20), RGB, FK)} SELECT frame, y, x, {', '.join(f'floor(least(greatest(round({c}, 9), 0.0), 1.0) * 255 + 0.5)::INTEGER AS {c}' for c in RGB)} FROM t",
+    "scale_bars": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 > 0 THEN p_size * 0.013::DOUBLE * pow(10.0, p_partkey % 6 - 2) END AS um, CASE WHEN p_partkey % 5 = 0 THEN p_size * 3.0::DOUBLE * pow(10.0, p_partkey % 3) END AS asked, 300 + 7 * p_size AS w, 0.03::DOUBLE * (200 + p_partkey % 900) AS em FROM part),
+q AS (SELECT *, coalesce(um, 1.0::DOUBLE) AS e, w - 2 * 0.8::DOUBLE * em - 2 * (greatest(floor(0.05::DOUBLE * em + 0.5), 1) + 1) AS room FROM p),
+n AS (SELECT k, arg_min(m * pow(10.0, x), round(abs(log10(m) + x - log10(0.2::DOUBLE * w * e)), 12)) AS near, max(m * pow(10.0, y)) FILTER (WHERE m * pow(10.0, y) <= room * e * (1 + 1e-9::DOUBLE)) AS most FROM (SELECT *, floor(log10(0.2::DOUBLE * w * e)) AS x, floor(log10(room * e)) AS y FROM q), (VALUES (1.0), (2.0), (5.0), (10.0)) t(m) GROUP BY k),
+l AS (SELECT k, um, e, CASE WHEN coalesce(asked, near) > room * e THEN most ELSE coalesce(asked, near) END AS length FROM q JOIN n USING (k)),
+d AS (SELECT *, length / CASE WHEN um IS NULL THEN 1 WHEN length < 1 THEN 1e-3 WHEN length < 1e3 THEN 1 WHEN length < 1e6 THEN 1e3 ELSE 1e6 END AS v, CASE WHEN um IS NULL THEN ' px' WHEN length < 1 THEN ' nm' WHEN length < 1e3 THEN ' µm' WHEN length < 1e6 THEN ' mm' ELSE ' m' END AS unit FROM l)
+SELECT k AS p_partkey, """ + rnd(["length"]) + """, greatest(floor(length / e + 0.5), 1)::INTEGER AS px, rtrim(rtrim(CASE WHEN um IS NULL THEN v WHEN abs(v - round(v)) < 1e-6 * greatest(v, 1) THEN round(v) ELSE round(v, least(greatest(2 - floor(log10(v)), 0), 6)::INTEGER) END::DECIMAL(38, 6)::VARCHAR, '0'), '.') || unit AS label FROM d""",
+    "burnt_bar": f"WITH {LI}, cv AS (SELECT frame, y, x, greatest(least(x + 1, frame * 3.5 + 9.75) - greatest(x, 3.25), 0)::DOUBLE * greatest(least(y + 1, 20.75) - greatest(y, 18.5), 0)::DOUBLE AS k FROM li), ha AS (SELECT a.frame, a.y, a.x, max(b.k) AS h FROM cv a JOIN cv b ON a.frame = b.frame AND pow(a.y - b.y, 2) + pow(a.x - b.x, 2) <= 4 GROUP BY ALL) SELECT frame, y, x, {', '.join(f'round({c} * (1 - h) * (1 - k) + k + {HAIR}, 6) + 0.0 AS {c}' for c in RGB)} FROM li JOIN cv USING (frame, y, x) JOIN ha USING (frame, y, x)",
+    "expanded_inputs": f"WITH {FRAMES}, fl AS (SELECT DISTINCT path, regexp_extract(path, '([0-9]+)/', 1)::INTEGER AS d, regexp_extract(path, 'f([0-9]+)[.]', 1)::INTEGER AS t FROM fr), pl AS (SELECT -2 * d - 1 AS p, min(path) AS path, 0 AS t FROM fl GROUP BY d UNION ALL SELECT -2 * d, path, t FROM fl) SELECT row_number() OVER (ORDER BY p, t, path) - 1 AS n, path FROM pl",
     "project_settings": """WITH l AS (SELECT DISTINCT user_id AS k FROM events)
 SELECT k::VARCHAR AS project, 'list' || k || '_stacked.' || CASE WHEN k % 4 = 0 THEN 'jpg' ELSE 'png' END AS output, k % 2 = 0 AS "align", concat_ws(' ', CASE WHEN k % 3 = 0 THEN 'xoff yoff' END, CASE WHEN k % 5 = 0 THEN 'rot' END) AS fixed, true AS brightness, (k % 7)::INTEGER AS coarsen, CASE WHEN k % 4 > 0 THEN 'lanczos3' END AS kernel, nullif(k % 6, 0)::INTEGER AS levels,
 CASE k % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'dir' END AS "by", CASE WHEN k % 3 = 0 THEN 10.0::DOUBLE END AS size, CASE WHEN k % 2 = 0 THEN (k + 1)::INTEGER END AS x, CASE WHEN k % 2 = 0 THEN 30 END AS w, k % 5 > 0 AS crop,

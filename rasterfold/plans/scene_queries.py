@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterfold.functions import pixels as P
-from rasterfold.operators import dust, geometry, refold, regions, retouch
+from rasterfold.operators import batch, dust, geometry, overlay, refold, regions, retouch
 from rasterfold.operators.keep import kept
 from rasterfold.operators.stencil import reduce
 from rasterfold.plans.queries import H, W, _mesh, gray, rounded
 from rasterfold.sources import meshes
-from rasterfold.sources.rasters import FRAMES, emb_stack, li_stack, table
+from rasterfold.sources.rasters import FRAMES, emb_stack, frame_list, li_stack, table
 
 SCENE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -121,6 +121,43 @@ def mesh_stl(spark, d):
     return rounded(read.select(*[F.col(f"{k}{x}").alias(f"{k}_{x}") for k in "abc" for x in "xyz"]))
 
 
+@query
+def mesh_texture(spark, d):
+    return geometry.texture(li_stack(spark, d), H, W, 20, ["frame"])
+
+
+# ---- overlays
+
+
+@query
+def scale_bars(spark, d):
+    """Bars for pictures of many sizes, with and without a calibration or a length asked for."""
+    k, v = F.col("p_partkey"), F.col("p_size")
+    um = F.when(k % 4 > 0, v * 0.013 * F.pow(F.lit(10.0), k % 6 - 2))
+    length = F.when(k % 5 == 0, v * 3.0 * F.pow(F.lit(10.0), k % 3))
+    b = overlay.bar(um, length, 300 + 7 * v, 200 + k % 900, F.lit(0.03), "halo")
+    return rounded(table(spark, d, "part").select("p_partkey", *[b[c].alias(c) for c in ("length", "px", "label")]))
+
+
+@query
+def burnt_bar(spark, d):
+    """A bar with a halo in each frame, longer in each, its edges between pixels."""
+    frame = F.col("frame")
+    outlines = li_stack(spark, d).select("frame").distinct().select(frame, F.lit(3.25).alias("x0"), F.lit(18.5).alias("y0"), (frame * 3.5 + 9.75).alias("x1"), F.lit(20.75).alias("y1"))
+    ink = overlay.coverage(outlines, H, W, ["frame"])
+    return rounded(overlay.burn(li_stack(spark, d), ink, overlay.halo(ink, 2, H, W, ["frame"]), "white", "halo", ["frame"]))
+
+
+@query
+def expanded_inputs(spark, d):
+    """Folders of the frame list, the last first, each after the first file in it."""
+    files = frame_list(spark, d).select("path").distinct()
+    dirs = files.groupBy(batch.folder(F.col("path")).alias("d")).agg(F.min("path").alias("f"))
+    at = 2 * F.regexp_extract("d", "([0-9]+)$", 1).cast("int")
+    inputs = dirs.select(F.explode(F.array(F.struct((-at - 1).alias("place"), F.col("f").alias("path"), F.lit(False).alias("is_dir")), F.struct((-at).alias("place"), F.concat("d", F.lit("/")).alias("path"), F.lit(True).alias("is_dir")))).alias("i")).select("i.*")
+    return batch.expanded(inputs, files)
+
+
 # ---- retouching
 
 
