@@ -266,3 +266,36 @@ def test_words_are_remembered_in_two_generations():
         r.fill(new, [w.encode() for w in new])
         assert all(r[w] == w.encode() for w in batch)
         assert r.size < 5_000 + 15 * 220 and len(r) + len(r.old) < 80
+
+
+def test_toxicity_models_are_fitted_in_tasks(spark):
+    """A chain over tasks gives the weights of a chain in one place, and only weights and sums come to the driver."""
+    from rasterfold.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    n, width = 300, 8
+    hits = rng.random((n, width)) < 0.4
+    hits[:5] = False
+    at, cols = np.nonzero(hits)
+    labels = np.column_stack([hits[:, 0], hits[:, 0] & hits[:, 1]]).astype(float)
+    folds = np.arange(n) % toxicity.FOLDS
+    allowed = rng.random((toxicity.FOLDS + 1, width)) < 0.8
+    small = spark.createDataFrame([(d, int(labels[d, 0]), int(labels[d, 1]), int(folds[d]), np.flatnonzero(hits[d]).tolist()) for d in rng.permutation(n).tolist()], "doc_id long, y0 int, y1 int, fold int, cols array<int>").repartition(5)
+    got, want = toxicity.fitted(small, 2, allowed), toxicity.fit_chain(at, cols, labels, folds, allowed)
+    assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(got, want, strict=True))
+    assert toxicity.fitted(small.limit(0), 2, allowed) == []
+
+
+def test_toxicity_scorer_forgets_words(monkeypatch):
+    from rasterfold.llm import toxicity
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abé", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    chosen = sorted({h for t in texts[::2] for h in toxicity.text_inputs(t)})
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 20)
+    marks = toxicity.Marks(chosen)
+    for k in range(0, 60, 6):
+        rows, cols = marks.inputs(texts[k : k + 6])
+        assert sorted(zip(rows.tolist(), cols.tolist())) == sorted((i, chosen.index(h)) for i, t in enumerate(texts[k : k + 6]) for h in toxicity.text_inputs(t) if h in chosen)
+        assert len(marks) <= 20 + 6 * 12
+    assert [len(x) for x in marks.inputs([])] == [0, 0]
