@@ -58,31 +58,81 @@ class Recent(dict):
         self.size += 210 * len(words) + sum(map(len, values))
 
 
-class Words:
-    """Ids of white-space separated words as bytes, remembered. The tokenizer's pattern cuts letters from punctuation, so `word,` is `word` and `,`."""
+class Words(dict):
+    """Numbers of white-space separated words, and the ids of each in one array; all are forgotten when they take about half of `cache` bytes.
 
-    def __init__(self, tokenizer: str, cache: int) -> None:
-        from tokenizers import Tokenizer
+    The tokenizer's pattern cuts letters from punctuation, so `word,` is `word` and `,`. Such parts are remembered apart from words, in the other half.
+    """
 
-        self.encoder = Tokenizer.from_file(tokenizer)
-        self.known, self.bare = Recent(cache // 2), Recent(cache // 2)
+    def __init__(self, tokenizer: str, end: int, cache: int) -> None:
+        from tokenizers import Tokenizer
 
-    def learn(self, words: set[str]) -> None:
-        known, bare = self.known, self.bare
-        new = known.missing(words)
-        known[""] = b""
+        super().__init__()
+        self.encoder, self.end, self.limit, self.parts = Tokenizer.from_file(tokenizer), end, cache // 2, Recent(cache // 2)
+        suffix = getattr(self.encoder.model, "end_of_word_suffix", None)
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a match of the pattern
+        self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self[None] = 0  # the end of a document
+        self.new: list[str] = []
+        self.ids, self.starts = array("I", [self.end]), array("q", [0, 1])
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        """Ids of each, a word in one call."""
+        return [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are one match of the pattern each: encoded as one text, which is cut where a match ends. Should there be more matches, one by one."""
+        ids = np.array(self.encoder.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(parts):
+            return self.encoded(parts)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self) -> None:
+        """Ids of the new words."""
+        new, parts = self.new, self.parts
         bases = [w.rstrip(PUNCTUATION) for w in new]
         bases = [(x.lower() if x.isascii() else x) if x.isalpha() else w for x, w in zip(bases, new)]
-        whole = set(bare.missing({*bases, *(w[len(b) :] for w, b in zip(new, bases))}))
-        # Plain small letters pass the normaliser and the pattern as they are.
-        plain = [x for x in whole if x.isascii() and x.isalpha() and x.islower()]
-        tokenize = self.encoder.model.tokenize
-        bare.fill(plain, [array("I", [t.id for t in tokenize(x)]).tobytes() for x in plain])
-        rest = list(whole.difference(plain))
-        for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
-            bare.fill(part, [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(part, add_special_tokens=False)])
-        known.fill(new, [bare[b] + bare[w[len(b) :]] if len(b) < len(w) else bare[b] for w, b in zip(new, bases)])
+        tails = [w[len(b) :] for w, b in zip(new, bases)]
+        unknown = parts.missing({*bases, *tails})
+        parts[""] = b""
+        one = [x for x in unknown if x.isalpha() or not x.strip(PUNCTUATION) and x]
+        many = list({*unknown}.difference(one, [""]))
+        for some, ids_of in ((one, self.joined), (many, self.encoded)):
+            for k in range(0, len(some), 20_000):
+                parts.fill(some[k : k + 20_000], ids_of(some[k : k + 20_000]))
+        values = [parts[b] + parts[t] if t else parts[b] for b, t in zip(bases, tails)]
+        self.ids.frombytes(b"".join(values))
+        self.starts.extend((self.starts[-1] + np.cumsum([len(v) // 4 for v in values], dtype=np.int64)).tolist())
+        self.new = []
+
+    def documents(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of each text and the end, as bytes."""
+        if 210 * len(self) + 4 * len(self.ids) > self.limit:
+            self.forget()
+        # These four are white space to the tokenizer's normaliser, and no token crosses white space.
+        numbers = [array("q", map(self.__getitem__, [*t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), None])) for t in texts]
+        if not numbers:
+            return []
+        self.learn()
+        word, starts = np.concatenate([np.frombuffer(x, np.int64) for x in numbers]), np.frombuffer(self.starts, np.int64)
+        first = starts[word]
+        size = starts[word + 1] - first
+        after = np.cumsum(size)
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(first - after + size, size) + np.arange(after[-1])].astype("<u4").tobytes()
+        ends = (4 * after[np.cumsum([len(x) for x in numbers]) - 1]).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool, cache: int):
@@ -93,21 +143,15 @@ def _pieces(tokenizer: str, capacity: int, end: int, keep_ids: bool, cache: int)
         fresh_worker()
         gc.disable()  # the memory of words holds no cycles, and walking it costs more than the work
         try:
-            yield from pieces(Words(tokenizer, cache), batches)
+            yield from pieces(Words(tokenizer, end, cache), batches)
         finally:
             fresh_worker()
 
-    def pieces(words_ids: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], "<u4").tobytes()
+    def pieces(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = 4 * capacity
         for batch in batches:
-            # These four are white space to the tokenizer's normaliser, and no token crosses white space.
-            split = [t.as_py().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch["text"]]
-            words_ids.learn(set().union(*split))
-            known = words_ids.known
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            for doc, words in zip(batch["doc_id"].to_pylist(), split):
-                ids = b"".join([known[w] for w in words]) + tail
+            for doc, ids in zip(batch["doc_id"].to_pylist(), words.documents(t.as_py() for t in batch["text"])):
                 for p, at in enumerate(range(0, len(ids), wide)):
                     piece = ids[at : at + wide]
                     out["doc_id"].append(doc)

@@ -299,3 +299,26 @@ def test_toxicity_scorer_forgets_words(monkeypatch):
         assert sorted(zip(rows.tolist(), cols.tolist())) == sorted((i, chosen.index(h)) for i, t in enumerate(texts[k : k + 6]) for h in toxicity.text_inputs(t) if h in chosen)
         assert len(marks) <= 20 + 6 * 12
     assert [len(x) for x in marks.inputs([])] == [0, 0]
+
+
+def test_packing_encodes_parts_as_one_text():
+    """Parts that are one match of the tokenizer's pattern are encoded together, others by themselves, and the ids are the library's either way."""
+    from tokenizers import Tokenizer
+
+    from rasterfold.llm.packing import Words
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    odd = ["İstanbul", "ΟΔΟΣ", "été", "don't", "'s", "<|endoftext|>", "a<|endoftext|>b", "x1y22", "...", ".!!", "!!,word", "_a_", "", " ", " ", "日本語", "ñandú,", "Été?!", "ǅ", "ª", "\x85", "a‍b", "%%%", "st́.", "ﬁn"]
+    plain = ["".join(rng.choices("abcdeéñ", k=rng.randint(1, 9))) + rng.choice(["", "", ",", ".", "?!"]) for _ in range(400)]
+    texts = [rng.choice([" ", "\n", "  ", "\t"]).join(rng.choices(plain + odd, k=rng.randint(0, 30))) for _ in range(300)]
+    want = [np.array([*e.ids, 1], "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    words = Words(path, 1, 40_000)
+    assert [x for k in range(0, 300, 30) for x in words.documents(texts[k : k + 30])] == want and len(words) < 425
+    calm = ["stone", "été", ".", "?!"]
+    calls = []
+    words.encoded = lambda parts: calls.append(parts)
+    assert words.joined(calm) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in calm] and not calls
+    words.joined([*calm, "İ"])
+    assert calls == [[*calm, "İ"]] and words.documents([]) == []
