@@ -28,6 +28,11 @@ from rasterfold.llm.common import cut, documents_of, fresh_worker, gapless_rank,
 #: A task's memory for the ids of words, in bytes; it is given back when the task ends.
 CACHE = 200_000_000
 PUNCTUATION = ".,;:!?"
+#: A byte-level vocabulary writes each byte as one character, those that can't be seen as the characters from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {**{b: chr(b) for b in _SEEN}, **{b: chr(256 + k) for k, b in enumerate(sorted({*range(256)}.difference(_SEEN)))}}
+#: Small Latin letters beyond ASCII as such a vocabulary writes them; normalising changes none of them.
+_LATIN = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(128, 0x250) if chr(c).isalpha() and chr(c) == chr(c).lower()}
 
 
 # ---- tokens -----------------------------------------------------------------------------------
@@ -73,6 +78,8 @@ class Words(dict):
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a match of the pattern
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        probe = ["stone", "été", "ñandúœ"]
+        self.byte_level = self.encoded(probe) == self.small(probe)
         self.forget()
 
     def forget(self) -> None:
@@ -90,6 +97,11 @@ class Words(dict):
         """Ids of each, a word in one call."""
         return [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def small(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of small Latin letters, which pass the normaliser and the pattern as they are."""
+        tokenize = self.encoder.model.tokenize
+        return [array("I", [t.id for t in tokenize(x if x.isascii() else x.translate(_LATIN))]).tobytes() for x in parts]
+
     def joined(self, parts: list[str]) -> list[bytes]:
         """Ids of parts that are one match of the pattern each: encoded as one text, which is cut where a match ends. Should there be more matches, one by one."""
         ids = np.array(self.encoder.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
@@ -106,10 +118,13 @@ class Words(dict):
         bases = [(x.lower() if x.isascii() else x) if x.isalpha() else w for x, w in zip(bases, new)]
         tails = [w[len(b) :] for w, b in zip(new, bases)]
         unknown = parts.missing({*bases, *tails})
-        parts[""] = b""
-        one = [x for x in unknown if x.isalpha() or not x.strip(PUNCTUATION) and x]
-        many = list({*unknown}.difference(one, [""]))
-        for some, ids_of in ((one, self.joined), (many, self.encoded)):
+        small, one, many = [], [], []
+        for x in unknown:
+            if not x.isalpha():
+                (many if x.strip(PUNCTUATION) else one if x else small).append(x)
+            else:
+                (small if self.byte_level and x == x.lower() and (x.isascii() or max(x) < "\u0250") else one).append(x)
+        for some, ids_of in ((small, self.small), (one, self.joined), (many, self.encoded)):
             for k in range(0, len(some), 20_000):
                 parts.fill(some[k : k + 20_000], ids_of(some[k : k + 20_000]))
         values = [parts[b] + parts[t] if t else parts[b] for b, t in zip(bases, tails)]

@@ -316,6 +316,9 @@ def test_packing_encodes_parts_as_one_text():
     want = [np.array([*e.ids, 1], "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
     words = Words(path, 1, 40_000)
     assert [x for k in range(0, 300, 30) for x in words.documents(texts[k : k + 30])] == want and len(words) < 425
+    latin = [chr(c) for c in range(128, 0x250) if chr(c).isalpha()]
+    both = [a + b for a in latin for b in rng.sample(latin, 3)] + [f"a{a}b" for a in latin]
+    assert words.byte_level and words.documents(both) == [np.array([*e.ids, 1], "<u4").tobytes() for e in library.encode_batch_fast(both, add_special_tokens=False)]
     calm = ["stone", "été", ".", "?!"]
     calls = []
     words.encoded = lambda parts: calls.append(parts)
