@@ -455,6 +455,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     docs = documents_of(docs)
     found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, counts binary, parity binary, blocks array<long>")
     found, path3 = stored(found)
+    release(spark)
     own = found.select("doc_id", "n_shingles", "set_digest", "counts", "parity")
     sets = own.filter("set_digest is not null and doc_id is not null")
     rows = sets.select("doc_id", "n_shingles", "set_digest", "counts", "parity").dropDuplicates(["doc_id", "set_digest"]).drop("set_digest")
@@ -470,6 +471,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     members = found.filter("doc_id is not null").select("doc_id", F.explode("blocks").alias("block"))
     centers = members.groupBy("block").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("_last"), F.count("*").alias("n"))
     centers = cut(centers.filter("center != _last").drop("_last"))
+    release(spark)
     places = found.filter("doc_id is not null").agg(F.sum(F.size("blocks"))).first()[0] or 0
     # A group of two is its star alone: its one pair is kept, and not its block.
     shared, path = stored(attach_groups(members, centers, "block", "n", places).filter("n > 2 or doc_id != center").select(F.when(F.col("n") > 2, F.col("block")).alias("block"), "doc_id", "center"))
@@ -479,11 +481,13 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     links = _verified(_screened(star, rows, num, den), docs, size, num, den)
     groups, path2 = stored(standing(shared.filter("block is not null").select("block", "doc_id"), "doc_id").distinct())
     removed(spark, path)
+    release(spark)
     # First a spanning forest of what may link in each tile, then, in tiles that sent one, of what links.
     places, path4 = stored(_tiles(groups, components(links), rows))
     bucket = F.pmod(F.xxhash64(*TILE_KEY), F.lit(-(-places.count() // TASK_ROWS) + 1)).cast("int").alias("bucket")
     tiles = places.select(bucket, "*").join(rows, "doc_id")
     forest = cut(tiles.groupBy("bucket").applyInArrow(_forest(num, den), f"{TILE}, u long, v long"))
+    release(spark)
     links = links.unionByName(_verified(forest.select("u", "v").distinct(), docs, size, num, den)).unionByName(same)
     labels = components(links)
     again = places.select(bucket, "*").drop("component").join(forest.select(*TILE_KEY).distinct(), TILE_KEY, "left_semi").join(rows, "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
