@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import BROADCAST_ROWS, attach_groups, components, cut, documents_of, fresh_worker, mix, prepare, release, removed, shingle_set, stored, worker_store
+from rasterfold.llm.common import BROADCAST_ROWS, attach_groups, components, cut, documents_of, fresh_worker, mix, prepare, release, removed, shingle_set, shuffles_dropped, stored, worker_store
 
 #: Column ranges in which a row's entries are counted (up to 255 each), and the wider ranges that are compared first.
 RANGES, WIDE = 128, 32
@@ -307,7 +307,7 @@ class Tiles:
             x = np.repeat(own, n)
             y = np.arange(len(x)) + np.repeat(self.start[own] - (n.cumsum() - n), n)
             at = to
-            fits = (side[y] != 1) & (self.label[x] != self.label[y]) & ((side[x] != 0) | (self.ids[x] < self.ids[y]))
+            fits = (side[y] != 1) & (self.label[x] != self.label[y]) & ((side[x] != 0) | (side[y] == 2) | (self.ids[x] < self.ids[y]))
             x, y = x[fits], y[fits]
             fits = np.minimum(total[x], total[y]) * self.den >= np.maximum(total[x], total[y]) * self.num
             x, y = x[fits], y[fits]
@@ -380,7 +380,8 @@ def _tiles(members: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
     """The tiles' rows of groups with several components: block, kind, i, j, side, doc_id, component.
 
     Rows outside of the group's largest component (minor ones) are compared with each other (kind 0) and with the others (kind
-    1), each in row blocks, so a group that is one component but for a few rows is dealt out about once.
+    1), each in row blocks, so a group that is one component but for a few rows is dealt out about once. The others' first row
+    block goes to the tiles in which a minor row block meets itself, so of a small group each row is in one tile.
     """
     at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(rows.select("doc_id", "n_shingles"), "doc_id")
     at = at.select("block", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
@@ -395,16 +396,16 @@ def _tiles(members: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
     rest = at.join(whole, "block").withColumn("_minor", F.col("component") != F.col("_largest"))
     rest = rest.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.when(F.col("_minor"), F.col("_m")).otherwise(F.col("_k"))).cast("int"))
 
-    def places(n, f):
-        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    def places(n, f, first=0):
+        return F.transform(F.filter(F.sequence(F.lit(0), F.col(n) - 1), lambda o: o >= first), f)
 
     def place(kind, i, j, side):
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+        return F.struct((F.lit(kind) if isinstance(kind, int) else kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
 
     b = F.col("_b")
     among = places("_m", lambda o: place(0, F.least(b, o), F.greatest(b, o), F.when(b == o, 0).when(b < o, 1).otherwise(2)))
-    to_major = places("_k", lambda o: place(1, b, o, F.lit(1)))
-    to_minor = places("_m", lambda o: place(1, o, b, F.lit(2)))
+    to_major = places("_k", lambda o: place(1, b, o, F.lit(1)), 1)
+    to_minor = places("_m", lambda o: place(F.when(b == 0, 0).otherwise(1), o, F.when(b == 0, o).otherwise(b), F.lit(2)))
     spread = F.explode(F.when(F.col("_minor"), F.concat(among, to_major)).otherwise(to_minor)).alias("_t")
     return rest.select("block", "doc_id", "component", spread).select("block", "_t.kind", "_t.i", "_t.j", "_t.side", "doc_id", "component")
 
@@ -452,7 +453,11 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     links with. A null doc_id is linked with nothing and its component is null. Empty table: no rows. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    docs = documents_of(docs)
+    with shuffles_dropped(spark):
+        return _components(spark, documents_of(docs), size, num, den)
+
+
+def _components(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     found = docs.mapInArrow(_set_digests(size, num, den), "doc_id long, n_shingles long, set_digest binary, counts binary, parity binary, blocks array<long>")
     found, path3 = stored(found)
     release(spark)

@@ -1,7 +1,9 @@
 """Operators against brute force on small tables, with nulls, empties, ties, repeats and clashing columns."""
 
 import collections
+import gc
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -230,6 +232,54 @@ def test_ngram_join_on_a_cloud_of_near_copies(spark, monkeypatch):
     assert got == {d: find(d) for d in sets} and max(links) <= 8 * len(table)
 
 
+def test_ngram_join_drops_its_shuffle_files(spark, monkeypatch, docs):
+    """Not only when the driver happens to collect its garbage; and the session's setting stays as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept, at_once = spark.conf.get(name), [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "release", lambda s: None)
+
+    def shuffle_files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f.getName() for f in blocks.getAllFiles().mkString("\n").split("\n") and [spark._jvm.java.io.File(x) for x in blocks.getAllFiles().mkString("\n").split("\n")] if f.getName().startswith("shuffle_")}
+
+    old = shuffle_files()
+
+    def left(df):
+        out, end = at_once(df), time.time() + 10 * (not any(kept))
+        while shuffle_files() - old and time.time() < end:
+            time.sleep(0.05)
+        kept.append(len(shuffle_files() - old))
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", left)
+    gc.disable()  # the driver's Python may hold the plans for as long as it likes
+    try:
+        ngram_join.ngram_components(docs, 5, 80, 100)
+    finally:
+        gc.enable()
+    assert kept and not any(kept) and spark.conf.get(name) == before
+
+
+def test_tiles_hold_each_row_of_a_small_group_once(spark, monkeypatch):
+    """Rows 0 to 5 are one component, 6 to 8 stand alone. With row blocks of two rows, every pair with a row from 6 on still meets in one tile."""
+    rows_ = spark.range(9).selectExpr("id doc_id", "10L n_shingles")
+    labels = spark.range(6).selectExpr("id", "0L component")
+    members = spark.range(9).selectExpr("7L block", "id doc_id")
+
+    def tiles():
+        out = collections.defaultdict(dict)
+        for r in ngram_join._tiles(members, labels, rows_).collect():
+            out[r["kind"], r["i"], r["j"]][r["doc_id"]] = r["side"]
+        return out
+
+    assert [sorted(t) for t in tiles().values()] == [list(range(9))]
+    monkeypatch.setattr(ngram_join, "ROW_BLOCK", 2)
+    met = collections.Counter()
+    for sides in tiles().values():
+        met.update(tuple(sorted((x, y))) for x, s in sides.items() for y, t in sides.items() if s != 2 and t != 1 and (s or t == 2 or x < y))
+    assert met == {(x, y): 1 for y in range(6, 9) for x in range(y)}
+
+
 def test_ngram_join_on_repeated_and_null_ids(spark):
     a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
     docs = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b), (9, b), (None, a), (None, b)], "doc_id long, text string")
